@@ -72,36 +72,36 @@ def explicit_date(slash: Column, iso: Column) -> Column:
     return F.when(iso != "", iso).when(slash != "", padded)
 
 
-def _iso(day: Column) -> Column:
-    return day.cast("date").cast("string")
+# Relative dates in the order they are tested.
+RELATIVE_DATES = ["today", "yesterday", "this week", "last week", "this month", "last month"]
 
 
-def message_date(text: Column, ts: Column, explicit: Column) -> Column:
-    """A named day overrides an explicit date."""
-    day = ts.cast("date")
-    return (
-        F.when(text.contains("today"), _iso(day))
-        .when(text.contains("yesterday"), _iso(F.date_sub(day, 1)))
-        .otherwise(explicit)
-    )
+def relative_date(text: Column) -> Column:
+    """Number of the first relative date named, null when there is none."""
+    chain = F
+    for number, name in enumerate(RELATIVE_DATES):
+        chain = chain.when(text.contains(name), number)
+    return chain
 
 
-def message_date_range(text: Column, ts: Column) -> Column:
-    """Named weeks (from Monday) and months; a named day suppresses them."""
-    day = ts.cast("date")
-    monday = F.trunc(day, "week")
-    first = F.trunc(day, "month")
-    before = F.date_sub(first, 1)
+def message_date(named: Column, ts: Column, explicit: Column) -> Column:
+    """A named day (today, yesterday) overrides an explicit date."""
+    return F.when(named <= 1, F.date_sub(ts.cast("date"), named).cast("string")).otherwise(explicit)
 
-    def span(start: Column, end: Column) -> Column:
-        return F.struct(_iso(start).alias("start"), _iso(end).alias("end"))
 
+def message_date_range(named: Column, ts: Column) -> Column:
+    """Named weeks (from Monday) and months; those named 'this' end on the day."""
+    day = ts.cast("date")
+    monday, first = F.trunc(day, "week"), F.trunc(day, "month")
+    start = (
+        F.when(named == 2, monday)
+        .when(named == 3, F.date_sub(monday, 7))
+        .when(named == 4, first)
+        .otherwise(F.add_months(first, -1))
+    )
+    end = F.when(named == 3, F.date_sub(monday, 1)).when(named == 5, F.date_sub(first, 1)).otherwise(day)
     return F.when(
-        ~contains_any(text, ["today", "yesterday"]),
-        F.when(text.contains("this week"), span(monday, day))
-        .when(text.contains("last week"), span(F.date_sub(monday, 7), F.date_sub(monday, 1)))
-        .when(text.contains("this month"), span(first, day))
-        .when(text.contains("last month"), span(F.trunc(before, "month"), before)),
+        named >= 2, F.struct(start.cast("string").alias("start"), end.cast("string").alias("end"))
     )
 
 
@@ -121,18 +121,22 @@ def with_entities(messages: DataFrame, message: str = "message", ts: str = "ts")
     """Add ``text`` (the lower-cased message) and the ``entities`` struct.
 
     Null fields are absent entities; ``ts``, the message's own time, anchors
-    relative dates. Each regex runs once, in its own projection.
+    relative dates. Each regex runs once, in its own projection. A null message
+    reads as an empty one; knowing that ``text`` is never null also keeps the
+    generated code short enough for the JIT compiler.
     """
     text = F.col("text")
-    matched = messages.withColumn("text", F.lower(message)).withColumns(
-        {name: first_match(text, pattern) for name, pattern in MATCHES.items()}
+    lowered = F.lower(F.coalesce(F.col(message), F.lit("")))
+    matched = messages.withColumn("text", lowered).withColumns(
+        {"_named": relative_date(text), **{n: first_match(text, pattern) for n, pattern in MATCHES.items()}}
     )
+    named = F.col("_named")
     entities = F.struct(
         account_type(text).alias("account_type"),
         transaction_id(F.col("_id")).alias("transaction_id"),
-        message_date(text, F.col(ts), explicit_date(F.col("_slash"), F.col("_iso"))).alias("date"),
-        message_date_range(text, F.col(ts)).alias("date_range"),
+        message_date(named, F.col(ts), explicit_date(F.col("_slash"), F.col("_iso"))).alias("date"),
+        message_date_range(named, F.col(ts)).alias("date_range"),
         amount(F.col("_word"), F.col("_sign")).alias("amount"),
         recipient(text).alias("recipient"),
     )
-    return matched.withColumn("entities", entities).drop(*MATCHES)
+    return matched.withColumn("entities", entities).drop("_named", *MATCHES)

@@ -8,28 +8,46 @@ from tellerflow.functions.entities import contains_any, with_entities
 from tellerflow.sources import catalogue
 
 
-def _label(intent: str, confidence: float) -> Column:
-    return F.struct(F.lit(intent).alias("intent"), F.lit(confidence).alias("confidence"))
-
-
-def base_intent(text: Column, entities: Column) -> Column:
-    """(intent, confidence) without dialogue state; the first rule that holds wins."""
+# Intent and confidence by rule number; the last is the default.
+RULES = [
+    ("specific_transaction", 0.9),
+    ("date_transactions", 0.9),
+    ("account_balance", 0.9),
+    ("account_transactions", 0.9),
+    ("greeting", 0.9),
+    ("balance_inquiry", 0.8),
+    ("transfer_money", 0.8),
+    ("transaction_history", 0.8),
+    ("greeting", 0.5),
+]
+
+
+def base_rule(text: Column, entities: Column) -> Column:
+    """Number of the first rule that holds, without dialogue state."""
     dated = entities["date"].isNotNull() | entities["date_range"].isNotNull()
-    names_account = text.contains("account") & contains_any(text, catalogue.ACCOUNT_TYPES)
-    rules = [
-        (text.contains("transaction") & contains_any(text, catalogue.ID_WORDS), "specific_transaction", 0.9),
-        (contains_any(text, ["transactions", "spending"]) & dated, "date_transactions", 0.9),
-        (names_account & text.contains("balance"), "account_balance", 0.9),
-        (names_account & text.contains("transactions"), "account_transactions", 0.9),
-        (contains_any(text, catalogue.GREETING_WORDS), "greeting", 0.9),
-        (contains_any(text, catalogue.BALANCE_WORDS), "balance_inquiry", 0.8),
-        (contains_any(text, catalogue.TRANSFER_WORDS), "transfer_money", 0.8),
-        (contains_any(text, catalogue.HISTORY_WORDS), "transaction_history", 0.8),
+    names_account = text.contains("account") & entities["account_type"].isNotNull()
+    tests = [
+        text.contains("transaction") & contains_any(text, catalogue.ID_WORDS),
+        dated & contains_any(text, ["transactions", "spending"]),
+        names_account & text.contains("balance"),
+        names_account & text.contains("transactions"),
+        contains_any(text, catalogue.GREETING_WORDS),
+        contains_any(text, catalogue.BALANCE_WORDS),
+        contains_any(text, catalogue.TRANSFER_WORDS),
+        contains_any(text, catalogue.HISTORY_WORDS),
     ]
     chain = F
-    for condition, intent, confidence in rules:
-        chain = chain.when(condition, _label(intent, confidence))
-    return chain.otherwise(_label("greeting", 0.5))
+    for number, test in enumerate(tests):
+        chain = chain.when(test, number)
+    return chain.otherwise(len(tests))
+
+
+def rule_intent(rule: Column) -> Column:
+    return F.get(F.array(*[F.lit(intent) for intent, _ in RULES]), rule)
+
+
+def rule_confidence(rule: Column) -> Column:
+    return F.get(F.array(*[F.lit(confidence) for _, confidence in RULES]), rule)
 
 
 def base_state(intent: Column, entities: Column) -> Column:
@@ -47,7 +65,7 @@ def base_state(intent: Column, entities: Column) -> Column:
 def answers(text: Column, entities: Column) -> Column:
     """Which pending questions a message would answer."""
     return F.struct(
-        contains_any(text, catalogue.ACCOUNT_TYPES).alias("account"),
+        entities["account_type"].isNotNull().alias("account"),
         (entities["amount"].isNotNull() | contains_any(text, catalogue.AMOUNT_WORDS)).alias("amount"),
         F.when(contains_any(text, catalogue.YES_WORDS), "confirmation_yes")
         .when(contains_any(text, catalogue.NO_WORDS), "confirmation_no")
@@ -74,8 +92,10 @@ def with_base_intent(messages: DataFrame) -> DataFrame:
     text, entities = F.col("text"), F.col("entities")
     return (
         with_entities(messages)
-        .withColumns({"label": base_intent(text, entities), "answers": answers(text, entities)})
-        .withColumns({"base_intent": F.col("label.intent"), "base_confidence": F.col("label.confidence")})
+        .withColumns({"rule": base_rule(text, entities), "answers": answers(text, entities)})
+        .withColumns(
+            {"base_intent": rule_intent(F.col("rule")), "base_confidence": rule_confidence(F.col("rule"))}
+        )
         .withColumn("base_state", base_state(F.col("base_intent"), entities))
-        .drop("label", "text")
+        .drop("rule", "text")
     )

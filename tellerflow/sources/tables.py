@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 # One customer message per event; the twenty forms reach every intent.
 UTTERANCES = """
 SELECT event_id, user_id, ts,
-  CASE event_id % 20
+  CASE k
     WHEN 0 THEN 'Hello there'
     WHEN 1 THEN 'What''s my account balance?'
     WHEN 2 THEN 'balance of my savings account please'
@@ -34,7 +34,7 @@ SELECT event_id, user_id, ts,
     WHEN 18 THEN concat('transactions on ', CAST(month(ts) AS STRING), '/', CAST(day(ts) AS STRING), '/24')
     ELSE 'Good evening'
   END AS message
-FROM events
+FROM (SELECT *, event_id % 20 AS k FROM events) AS e
 """
 
 # Messages as they arrive: padded, and some blank.
@@ -49,7 +49,7 @@ FROM ({UTTERANCES}) AS u
 # Relative dates, overrides and the amount, date and recipient traps.
 ENTITY_MESSAGES = """
 SELECT event_id, user_id, ts,
-  CASE event_id % 16
+  CASE k
     WHEN 0 THEN 'spending today'
     WHEN 1 THEN 'What did I buy YESTERDAY in savings'
     WHEN 2 THEN 'transactions this week'
@@ -67,13 +67,13 @@ SELECT event_id, user_id, ts,
     WHEN 14 THEN 'I want to transfer money to bob account or to ann account'
     ELSE concat('send $12,34 to another account on ', CAST(112 + event_id % 3 AS STRING), '/05/2025')
   END AS message
-FROM events
+FROM (SELECT *, event_id % 16 AS k FROM events) AS e
 """
 
 # Notes with prices, long numbers, contractions, links and mail addresses.
 NOISY_NOTES = """
 SELECT event_id AS id,
-  CASE event_id % 15
+  CASE k
     WHEN 0 THEN concat('cars ', CAST(event_id % 10 AS STRING), ' and 10usd')
     WHEN 1 THEN concat('1.5 or 12.5 or 1,234.56 or ', CAST(event_id AS STRING))
     WHEN 2 THEN concat('I paid $', CAST(event_id AS STRING), '.50 for € 7 tea')
@@ -90,7 +90,7 @@ SELECT event_id AS id,
     WHEN 13 THEN concat('Loans, deposit and the documents at branch ', CAST(event_id % 50 AS STRING))
     ELSE concat('1,2,3 then 1.2.3 then 12 345 @ x@ @y rs ', CAST(event_id AS STRING))
   END AS text
-FROM events
+FROM (SELECT *, event_id % 15 AS k FROM events) AS e
 """
 
 # One ledger row per event.
