@@ -97,45 +97,63 @@ def pending_change(intent: Column, entities: Column, account: Column, recipient:
     )
 
 
-def pending_actions(messages: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The pending transfer after each message."""
+def _track_pending(frame):
+    change = pending_change(F.col("intent"), F.col("entities"), F.col("active_account"), F.col("pending_recipient"))
+    if "seed" in frame.rows.columns:
+        change = F.when(F.col("seed").isNotNull(), F.col("seed.pending")).otherwise(change)
+    return frame.derive(pending=Latest(change))
 
-    def steps(frame):
-        frame = _score(frame)
-        change = pending_change(
-            F.col("intent"), F.col("entities"), F.col("active_account"), F.col("pending_recipient")
-        )
-        return frame.derive(pending=Latest(change)).rows
 
+def _track_memory(frame):
+    def mentioned(field: str) -> Column:
+        value = F.col("entities")[field]
+        if "seed" in frame.rows.columns:
+            value = F.when(F.col("seed").isNotNull(), F.col("seed.memory")[field]).otherwise(value)
+        return value
+
+    return frame.derive(**{f"memory_{f}": Latest(mentioned(f)) for f in ENTITY_FIELDS})
+
+
+def pending_actions(messages: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The pending transfer after each message."""
+    steps = lambda frame: _track_pending(_score(frame)).rows
     return along_timeline(_understood(messages), steps, hot_rows=hot_rows)
 
 
 def entity_memory(messages: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Per entity the last value the user mentioned so far."""
+    return along_timeline(_understood(messages), lambda f: _track_memory(f).rows, hot_rows=hot_rows)
 
-    def steps(frame):
-        memory = {f"memory_{f}": Latest(F.col("entities")[f]) for f in ENTITY_FIELDS}
-        return frame.derive(**memory).rows
 
+def track(messages: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Everything a dialogue carries: score, pending transfer and entity memory.
+
+    Rows may include one ``seed`` row per user (see ``streaming``): where the
+    user's dialogue stood before these messages.
+    """
+    steps = lambda frame: _track_memory(_track_pending(_score(frame))).rows
     return along_timeline(_understood(messages), steps, hot_rows=hot_rows)
 
 
-def history(answered: DataFrame, n: int = 10, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The last ``n`` exchanges up to and including each message, oldest first."""
-    exchange = F.struct(
+def exchange() -> Column:
+    return F.struct(
         F.col("message").alias("user"), F.col("response").alias("bot"), F.col("intent"), F.col("entities")
     )
+
+
+def history(answered: DataFrame, n: int = 10, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The last ``n`` exchanges up to and including each message, oldest first."""
     return along_timeline(
-        answered, lambda f: f.derive(history=Trailing(exchange, n)).rows, hot_rows=hot_rows
+        answered, lambda f: f.derive(history=Trailing(exchange(), n)).rows, hot_rows=hot_rows
     )
 
 
 def prompt_context(answered: DataFrame, n: int = 3, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The last ``n`` exchanges before each message, as prompt text."""
-    exchange = F.concat(F.lit("User: "), "message", F.lit("\nBot: "), "response")
+    spoken = F.concat(F.lit("User: "), "message", F.lit("\nBot: "), "response")
     rows = along_timeline(
         answered,
-        lambda f: f.derive(context=Trailing(exchange, n, inclusive=False)).rows,
+        lambda f: f.derive(context=Trailing(spoken, n, inclusive=False)).rows,
         hot_rows=hot_rows,
     )
     return rows.withColumn("context", F.array_join("context", "\n"))

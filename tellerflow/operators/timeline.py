@@ -174,6 +174,8 @@ def along_timeline(
         return steps(KeyFrame(rows, key, order))
     shared_folder(rows.sparkSession)
     hot = hot.checkpoint()
-    ordinary = steps(KeyFrame(rows.join(F.broadcast(hot), key, "left_anti"), key, order))
-    sliced = steps(SliceFrame.cut(rows.join(F.broadcast(hot), key, "left_semi"), key, order))
+    few = rows.join(F.broadcast(hot), key, "left_anti").select(*rows.columns)
+    many = rows.join(F.broadcast(hot), key, "left_semi").select(*rows.columns)
+    ordinary = steps(KeyFrame(few, key, order))
+    sliced = steps(SliceFrame.cut(many, key, order))
     return ordinary.unionByName(sliced.drop(SliceFrame.SLICE).select(*ordinary.columns))

@@ -447,6 +447,7 @@ chat_rows AS (
   SELECT event_id AS id, user_id, message, response, intent, CAST(confidence AS DOUBLE) AS confidence,
     date_trunc('second', ts) AS timestamp FROM answered)"""
 ORACLES["chat_log"] = f"WITH {_LOG} SELECT * FROM chat_rows"
+ORACLES["dialogue_stream"] = ORACLES["chat_log"]
 ORACLES["chat_history_top10"] = f"""
 WITH {_LOG},
 newest AS (

@@ -17,6 +17,7 @@ from tellerflow.operators import ledger as ledgers
 from tellerflow.session import scratch_path
 from tellerflow.sources import catalogue, files, schemas, tables
 from tellerflow.sources.generate import generate
+from tellerflow.streaming.dialogue_stream import DialogueStream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -546,3 +547,18 @@ def _generated(name: str) -> Query:
 
 
 QUERIES.update({f"gen_{name}": _generated(name) for name in GENERATED_FROM})
+
+
+# --- Streaming ---------------------------------------------------------------
+
+
+@query
+def dialogue_stream(spark, sf_dir):
+    """The chat log as the streaming job writes it from the event files."""
+    schema = tables.table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    job = DialogueStream(
+        spark, scratch_path(spark, "dialogue"), tables.accounts(spark, sf_dir), tables.ledger(spark, sf_dir)
+    )
+    job.start(spark.sql(tables.on_frame(tables.UTTERANCES, "events"), events=events), availableNow=True).awaitTermination()
+    return job.chat_log()

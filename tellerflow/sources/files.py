@@ -11,8 +11,7 @@ from tellerflow.sources import catalogue, schemas
 
 log = logging.getLogger(__name__)
 
-# Addresses and free text hold quotes, commas and line breaks. Empty text and
-# null stay different: "" against nothing.
+# Addresses and free text hold quotes, commas and line breaks.
 CSV_OPTIONS = {
     "header": "true",
     "quote": '"',
@@ -26,9 +25,12 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV with a header row and quoted line breaks.
 
     Such files cannot be split, so a large table should come as many files, or
-    be converted once with ``to_parquet``.
+    be converted once with ``to_parquet``. Nothing between two commas is null;
+    ``""`` is empty text. (The null marker only keeps the reader from taking
+    empty text for null; it does not occur in files.)
     """
-    return spark.read.options(**CSV_OPTIONS).option("multiLine", "true").schema(schema).csv(path)
+    reader = spark.read.options(**CSV_OPTIONS).option("multiLine", "true").option("nullValue", "\u0000")
+    return reader.schema(schema).csv(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

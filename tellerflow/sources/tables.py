@@ -159,11 +159,15 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run a view text over the tables it names."""
     words = set(sql.replace("(", " ").replace(")", " ").replace("\n", " ").split())
     frames = {name: table(spark, sf_dir, name) for name in _BASE_TABLES if name in words}
-    text = sql
-    for name in frames:
+    return spark.sql(on_frame(sql, *frames), **frames)
+
+
+def on_frame(sql: str, *names: str) -> str:
+    """A view text that takes the named tables as ``spark.sql`` arguments."""
+    for name in names:
         for keyword in ("FROM", "JOIN"):
-            text = text.replace(f"{keyword} {name}", f"{keyword} {{{name}}}")
-    return spark.sql(text, **frames)
+            sql = sql.replace(f"{keyword} {name}", f"{keyword} {{{name}}}")
+    return sql
 
 
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
