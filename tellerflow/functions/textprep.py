@@ -3,10 +3,13 @@
 ``clean`` is one chain of JVM expressions per row: no Python worker, no
 shuffle, whole texts. Every pattern is linear in the text and loops without
 recursion (possessive groups), so a very long text cannot blow the regex stack.
+Most texts hold no digit, quote, link or address; a plain test skips the regexes
+that could not match them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -18,18 +21,23 @@ _SPACE = r"\s\p{Z}\x1c-\x1f\x85"
 _DIGITS = r"\p{Nd}"
 _WORD = r"[\p{L}\p{N}_]"
 
-CURRENCY = rf"(?:\$|€|£|₹|¥|₩|₽|₿|rs|inr|usd)[{_SPACE}]?{_DIGITS}+(?:[.,]{_DIGITS}+)*+"
+# The look-ahead lets the engine pass over most characters with one test.
+CURRENCY = (
+    r"(?=[$£¥riu\x{20a0}-\x{20bf}])(?:[$€£₹¥₩₽₿]|rs|inr|usd)"
+    rf"[{_SPACE}]?{_DIGITS}+(?:[.,]{_DIGITS}+)*+"
+)
 
-# A number of at least four characters, separators counted: the four shapes
-# such a number can have, so that no per-match callback is needed.
-LONG_NUMBER = "|".join(
+# A number of at least four characters, separators counted: after its first
+# digit the four shapes such a number can have, so that no per-match callback
+# is needed.
+LONG_NUMBER = f"{_DIGITS}(?:" + "|".join(
     [
-        rf"{_DIGITS}{{4,}}(?:[.,]{_DIGITS}+)*+",
-        rf"{_DIGITS}{{2,3}}(?:[.,]{_DIGITS}+)++",
-        rf"{_DIGITS}[.,]{_DIGITS}{{2,}}(?:[.,]{_DIGITS}+)*+",
-        rf"{_DIGITS}(?:[.,]{_DIGITS}+){{2,}}+",
+        rf"{_DIGITS}{{3,}}(?:[.,]{_DIGITS}+)*+",
+        rf"{_DIGITS}{{1,2}}(?:[.,]{_DIGITS}+)++",
+        rf"[.,]{_DIGITS}{{2,}}(?:[.,]{_DIGITS}+)*+",
+        rf"(?:[.,]{_DIGITS}+){{2,}}+",
     ]
-)
+) + ")"
 URL = rf"https?://[^{_SPACE}]+|www\.[^{_SPACE}]+"
 
 # A whole whitespace-free run with an inner '@'. Anchored at the start of the
@@ -68,10 +76,39 @@ def keep_characters(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, DROPPED, " "))
 
 
+def _bind(value: Column, step: Callable[[Column], Column]) -> Column:
+    """``step`` applied to a value computed once, however often it refers to it."""
+    return F.get(F.transform(F.array(value), step), 0)
+
+
+def _only_if(test: Callable[[Column], Column], step: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda text: F.when(test(text), step(text)).otherwise(text)
+
+
+# Each marking step behind a cheap test that holds for every text it can change.
+_MARKING = [
+    _only_if(lambda t: t.rlike(_DIGITS), lambda t: mark_numbers(mark_currency(t))),
+    _only_if(lambda t: t.contains("'"), expand_contractions),
+    _only_if(lambda t: t.contains("://") | t.contains("www."), mark_urls),
+    _only_if(lambda t: t.contains("@"), mark_emails),
+]
+
+
 def clean(text: Column) -> Column:
     """Cleaned text; null becomes the empty string."""
-    steps = [F.lower, mark_currency, mark_numbers, expand_contractions, mark_urls, mark_emails, keep_characters]
-    return reduce(lambda t, step: step(t), steps, F.coalesce(text.cast("string"), F.lit("")))
+    return keep_characters(reduce(_bind, _MARKING, F.lower(F.coalesce(text.cast("string"), F.lit("")))))
+
+
+def _token_breaks() -> tuple[str, str]:
+    """One pattern for all that is set apart or split in two, and its replacement."""
+    whole = [f"({head})({tail})" for head, tail in catalogue.FUSED_FORMS[:-1]]
+    head, tail = catalogue.FUSED_FORMS[-1]  # only before a space
+    fused = rf"(?:{'|'.join(whole)})(?!{_WORD})|({head})({tail})(?=[\s@#%&]|--|$)"
+    pattern = rf"(?=[@#%&\-cglwCGLW])(?:([@#%&]|--)|(?<!{_WORD})(?i:{fused}))"
+    n = len(catalogue.FUSED_FORMS)
+    firsts = "".join(f"${2 * i + 2}" for i in range(n))
+    seconds = "".join(f"${2 * i + 3}" for i in range(n))
+    return pattern, f" $1{firsts} {seconds} "
 
 
 def tokenize(cleaned: Column) -> Column:
@@ -80,12 +117,8 @@ def tokenize(cleaned: Column) -> Column:
     Of the Treebank rules only these can still apply after ``clean``: isolated
     symbols, double dashes and the fused verb forms.
     """
-    spaced = F.regexp_replace(cleaned, "[@#%&]", " $0 ")
-    spaced = F.regexp_replace(spaced, "--", " -- ")
-    for head, tail in catalogue.FUSED_FORMS:
-        end = r"(?=\s|$)" if (head, tail) == ("wan", "na") else rf"(?!{_WORD})"
-        spaced = F.regexp_replace(spaced, rf"(?i)(?<!{_WORD})({head})({tail}){end}", " $1 $2 ")
-    return F.filter(F.split(spaced, " +"), lambda t: t != "")
+    spaced = F.regexp_replace(cleaned, *_token_breaks())
+    return F.filter(F.split(spaced, " "), lambda t: t != "")
 
 
 def keep_tokens(tokens: Column) -> Column:

@@ -134,7 +134,10 @@ def token_filter(spark, sf_dir):
 @query
 def lemma_tokens(spark, sf_dir):
     """Lemmas found by the noun rules in the corpus's own vocabulary."""
-    kept = _document_tokens(spark, sf_dir).select("doc_id", textprep.keep_tokens(F.col("tokens")).alias("kept"))
+    path = scratch_path(spark, "tokens")  # used twice: prepare the texts once
+    prepared = _document_tokens(spark, sf_dir).select("doc_id", textprep.keep_tokens(F.col("tokens")).alias("kept"))
+    files.write_table(prepared, path)
+    kept = spark.read.schema(prepared.schema).parquet(path)
     vocabulary = kept.select(F.explode("kept").alias("token")).distinct()
     table = lemmas.noun_lemmas(vocabulary, vocabulary.withColumnRenamed("token", "word"))
     rows = lemmas.lemmatize_tokens(kept, "doc_id", "kept", table)
