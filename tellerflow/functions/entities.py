@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tellerflow.sources import catalogue
 
+# What an entity looks like in a lower-cased message.
 _SPACE = r"[\s\p{Z}\x1c-\x1f\x85]"
 MONEY = "decimal(18,2)"
 

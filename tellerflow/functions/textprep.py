@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tellerflow.sources import catalogue
 
-# Whitespace and digits as Unicode understands them; the JVM's \s and \d are ASCII.
+# What the marking steps look for. Whitespace and digits are meant
+# as Unicode understands them; the JVM's \s and \d are ASCII.
 _SPACE = r"\s\p{Z}\x1c-\x1f\x85"
 _DIGITS = r"\p{Nd}"
 _WORD = r"[\p{L}\p{N}_]"
@@ -123,24 +124,20 @@ def tokenize(cleaned: Column) -> Column:
 
 def keep_tokens(tokens: Column) -> Column:
     """Drop stop words, except that domain terms always stay."""
-    return F.filter(
-        tokens,
-        lambda t: t.isin(*catalogue.DOMAIN_TERMS) | ~t.isin(*catalogue.STOP_WORDS),
-    )
+    dropped = [w for w in catalogue.STOP_WORDS if w not in catalogue.DOMAIN_TERMS]
+    return F.filter(tokens, lambda t: ~t.isin(*dropped))
 
 
 def lemmatize_with(tokens: Column, lemmas: dict[str, str]) -> Column:
-    """Replace tokens by a small literal table (a few hundred entries at most)."""
-    if not lemmas:
+    """Replace tokens by a small literal table (a few hundred entries at most);
+    domain terms stay as they are."""
+    used = {token: lemma for token, lemma in lemmas.items() if token not in catalogue.DOMAIN_TERMS}
+    if not used:
         return tokens
-    if len(lemmas) > 500:
+    if len(used) > 500:
         raise ValueError("use lemmatize_tokens with a lemma table for large dictionaries")
-    table = F.create_map(*[F.lit(part) for pair in lemmas.items() for part in pair])
-    terms = catalogue.DOMAIN_TERMS
-    return F.transform(
-        tokens,
-        lambda t: F.when(t.isin(*lemmas) & ~t.isin(*terms), F.try_element_at(table, t)).otherwise(t),
-    )
+    table = F.create_map(*[F.lit(part) for pair in used.items() for part in pair])
+    return F.transform(tokens, lambda t: F.when(t.isin(*used), F.try_element_at(table, t)).otherwise(t))
 
 
 def preprocess(text: Column, lemmas: dict[str, str] | None = None) -> Column:

@@ -45,8 +45,17 @@ def with_response(scored: DataFrame, facts: DataFrame) -> DataFrame:
     return joined.withColumn("response", text).drop("kind", "arg", "account_type", "fact")
 
 
+def failed(messages: DataFrame) -> DataFrame:
+    """Messages without text, which fail: they get the error reply and leave no
+    trace in the dialogue."""
+    return messages.filter(F.col("message").isNull()).withColumns(
+        {"intent": F.lit("error"), "confidence": F.lit(0.0), "response": render.reply("error")}
+    )
+
+
 def answer(messages: DataFrame, accounts: DataFrame, ledger: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Messages (event_id, user_id, ts, message) with intent, confidence, state and reply."""
-    understood = with_base_intent(messages)
+    understood = with_base_intent(messages.filter(F.col("message").isNotNull()))
     facts = lookups.facts(accounts, ledger, requests(understood))
-    return with_response(dialogue.score(understood, hot_rows), facts)
+    answered = with_response(dialogue.score(understood, hot_rows), facts)
+    return answered.unionByName(failed(messages), allowMissingColumns=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 RECENT = 10
 
@@ -65,6 +65,12 @@ def upsert_accounts(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return kept.unionByName(incoming)
 
 
+def merge_user_data(existing: Column, incoming: Column) -> Column:
+    """A user's data map with the incoming entries replacing those of the same key."""
+    kept = F.map_filter(existing, lambda k, _: ~F.map_contains_key(incoming, k))
+    return F.coalesce(F.map_concat(kept, incoming), existing, incoming)
+
+
 def check_registrations(requests: DataFrame, users: DataFrame | None = None) -> DataFrame:
     """Add ``status``: accepted, missing_field, password_mismatch or name_taken.
 

@@ -141,19 +141,26 @@ def exchange() -> Column:
     )
 
 
-def history(answered: DataFrame, n: int = 10, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The last ``n`` exchanges up to and including each message, oldest first."""
-    return along_timeline(
-        answered, lambda f: f.derive(history=Trailing(exchange(), n)).rows, hot_rows=hot_rows
-    )
+def history(
+    answered: DataFrame, n: int = 10, hot_rows: int = HOT_ROWS, messages: DataFrame | None = None
+) -> DataFrame:
+    """The last ``n`` exchanges up to and including each message, oldest first.
+
+    ``messages``, the messages the answers are for, spares counting the answers.
+    """
+    steps = lambda frame: frame.derive(history=Trailing(exchange(), n)).rows
+    return along_timeline(answered, steps, hot_rows=hot_rows, counted=messages)
 
 
-def prompt_context(answered: DataFrame, n: int = 3, hot_rows: int = HOT_ROWS) -> DataFrame:
+def prompt_context(
+    answered: DataFrame, n: int = 3, hot_rows: int = HOT_ROWS, messages: DataFrame | None = None
+) -> DataFrame:
     """The last ``n`` exchanges before each message, as prompt text."""
     spoken = F.concat(F.lit("User: "), "message", F.lit("\nBot: "), "response")
     rows = along_timeline(
         answered,
         lambda f: f.derive(context=Trailing(spoken, n, inclusive=False)).rows,
         hot_rows=hot_rows,
+        counted=messages,
     )
     return rows.withColumn("context", F.array_join("context", "\n"))

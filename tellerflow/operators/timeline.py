@@ -28,6 +28,9 @@ from tellerflow.session import shared_folder
 # leave two million keys, a few MB.
 HOT_ROWS = 5_000_000
 
+# Tasks a range partitioning may have; the carry table has a row or two for each.
+MAX_SLICES = 100_000
+
 
 @dataclass(frozen=True)
 class Previous:
@@ -82,11 +85,11 @@ class SliceFrame:
         self.window = Window.partitionBy(key, self.SLICE).orderBy(*order)
 
     @classmethod
-    def cut(cls, rows: DataFrame, key: str, order: tuple[str, ...]) -> "SliceFrame":
+    def cut(cls, rows: DataFrame, key: str, order: tuple[str, ...], slices: int) -> "SliceFrame":
         """Range-partition, number the slices and store them, so that a lost
         executor re-reads the same slice numbers instead of drawing new ones."""
         shared_folder(rows.sparkSession)
-        sliced = rows.repartitionByRange(key, *order).withColumn(cls.SLICE, F.spark_partition_id())
+        sliced = rows.repartitionByRange(slices, key, *order).withColumn(cls.SLICE, F.spark_partition_id())
         return cls(sliced.checkpoint(), key, order)
 
     def with_rows(self, rows: DataFrame) -> "SliceFrame":
@@ -157,8 +160,8 @@ def _local(spec, window) -> Column:
 
 
 def hot_keys(rows: DataFrame, key: str, hot_rows: int) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows; the count is pre-aggregated map-side."""
-    return rows.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > hot_rows).select(key)
+    """Keys with more than ``hot_rows`` rows, and how many; counted map-side first."""
+    return rows.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > hot_rows)
 
 
 def along_timeline(
@@ -167,15 +170,23 @@ def along_timeline(
     key: str = "user_id",
     order: tuple[str, ...] = ("ts", "event_id"),
     hot_rows: int = HOT_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
-    """Apply ``steps`` to every key's timeline. (key, order) must identify a row."""
-    hot = hot_keys(rows, key, hot_rows)
+    """Apply ``steps`` to every key's timeline. (key, order) must identify a row.
+
+    ``counted`` holds the same keys as ``rows`` but is cheaper to count, where
+    ``rows`` is the result of joins.
+    """
+    hot = hot_keys(rows if counted is None else counted, key, hot_rows)
     if hot.isEmpty():
         return steps(KeyFrame(rows, key, order))
     shared_folder(rows.sparkSession)
     hot = hot.checkpoint()
+    # one number: how many slices of about hot_rows rows the hot keys fill
+    slices = int(hot.agg(F.sum("n")).first()[0]) // max(hot_rows, 1) + 1
+    hot = hot.select(key)
     few = rows.join(F.broadcast(hot), key, "left_anti").select(*rows.columns)
     many = rows.join(F.broadcast(hot), key, "left_semi").select(*rows.columns)
     ordinary = steps(KeyFrame(few, key, order))
-    sliced = steps(SliceFrame.cut(many, key, order))
+    sliced = steps(SliceFrame.cut(many, key, order, min(slices, MAX_SLICES)))
     return ordinary.unionByName(sliced.drop(SliceFrame.SLICE).select(*ordinary.columns))

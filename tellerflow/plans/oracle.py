@@ -382,6 +382,12 @@ SELECT coalesce(i.user_id, a.user_id) AS user_id, coalesce(i.account_type, a.acc
   CAST(coalesce(i.balance, a.balance) AS VARCHAR) AS balance
 FROM accounts a FULL JOIN incoming i ON i.user_id = a.user_id AND i.account_type = a.account_type"""
 
+ORACLES["user_data_merge"] = """
+SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0
+    THEN 'name=' || upper(c_name) || '; nation=' || c_nationkey || '; segment=' || c_mktsegment
+    ELSE 'name=' || c_name || '; segment=' || c_mktsegment END AS data
+FROM customer"""
+
 # --- Replies -----------------------------------------------------------------
 
 _ACCOUNT = "s.active_account"

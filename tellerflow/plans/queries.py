@@ -247,17 +247,20 @@ def _history_text(rows: DataFrame) -> DataFrame:
 
 @query
 def history_10(spark, sf_dir):
-    return _history_text(dialogue.history(_answered(spark, sf_dir), 10))
+    messages = tables.utterances(spark, sf_dir)
+    return _history_text(dialogue.history(_answered(spark, sf_dir), 10, messages=messages))
 
 
 @query
 def history_5(spark, sf_dir):
-    return _history_text(dialogue.history(_answered(spark, sf_dir), 5))
+    messages = tables.utterances(spark, sf_dir)
+    return _history_text(dialogue.history(_answered(spark, sf_dir), 5, messages=messages))
 
 
 @query
 def prompt_context(spark, sf_dir):
-    return dialogue.prompt_context(_answered(spark, sf_dir)).select("event_id", "context")
+    messages = tables.utterances(spark, sf_dir)
+    return dialogue.prompt_context(_answered(spark, sf_dir), messages=messages).select("event_id", "context")
 
 
 # --- Accounts and ledger -----------------------------------------------------
@@ -355,6 +358,19 @@ def accounts_upsert(spark, sf_dir):
     return merged.withColumn("balance", F.col("balance").cast("string"))
 
 
+@query
+def user_data_merge(spark, sf_dir):
+    """Each customer's data map, updated by a second one."""
+    existing = F.create_map(F.lit("segment"), "c_mktsegment", F.lit("name"), "c_name")
+    incoming = F.when(
+        F.col("c_custkey") % 3 != 0,
+        F.create_map(F.lit("name"), F.upper("c_name"), F.lit("nation"), F.col("c_nationkey").cast("string")),
+    )
+    merged = F.array_sort(F.map_entries(chatlog.merge_user_data(existing, incoming)))
+    shown = F.array_join(F.transform(merged, lambda e: F.concat(e["key"], F.lit("="), e["value"])), "; ")
+    return tables.table(spark, sf_dir, "customer").select("c_custkey", shown.alias("data"))
+
+
 # --- Replies and chat log ----------------------------------------------------
 
 
@@ -458,7 +474,8 @@ def template_fill(spark, sf_dir):
 @query
 def prompt_dataset(spark, sf_dir):
     """Classification and reply prompts with the three exchanges before each message."""
-    rows = prompts.with_templates(dialogue.prompt_context(_answered(spark, sf_dir)), _responses(spark))
+    contexts = dialogue.prompt_context(_answered(spark, sf_dir), messages=tables.utterances(spark, sf_dir))
+    rows = prompts.with_templates(contexts, _responses(spark))
     shown = F.coalesce("templates", F.array().cast("array<string>"))
     return rows.select(
         "event_id",

@@ -91,7 +91,7 @@ class DialogueStream:
     def _state_after(self, answered: DataFrame, before: DataFrame) -> DataFrame:
         """The state of the batch's users: their last message's row, with history."""
         steps = lambda f: f.derive(recent=Trailing(dialogue.exchange(), HISTORY)).rows
-        rows = along_timeline(answered, steps, hot_rows=self.hot_rows)
+        rows = along_timeline(answered, steps, hot_rows=self.hot_rows)  # answered is stored
         memory = F.struct(*[F.col(f"memory_{f}").alias(f) for f in dialogue.ENTITY_FIELDS])
         last = _newest(
             rows.select("user_id", "event_id", "ts", "state", "active_account", "pending", memory.alias("memory"), "recent")

@@ -132,3 +132,16 @@ def test_answers_use_the_account_in_effect(spark, sample):
                                               " account. Would you like to proceed?")
     assert got[10] == ("specific_transaction",
                        "I'm not sure how to respond to that. Could you please rephrase your question?")
+
+
+def test_message_without_text_fails_and_leaves_no_trace(spark, sample):
+    accounts = spark.createDataFrame([], schemas.ACCOUNTS)
+    said = ["transfer $20 to ann account", None, "yes"]
+    messages = spark.createDataFrame(
+        [(i, 1, m) for i, m in enumerate(said)], "event_id long, user_id long, message string"
+    ).withColumn("ts", F.lit("2025-05-02 10:00:00").cast("timestamp_ntz"))
+    rows = answering.answer(messages, accounts, sample).orderBy("event_id").collect()
+    assert [(r.intent, r.confidence) for r in rows] == [
+        ("transfer_money", 0.8), ("error", 0.0), ("confirmation_yes", 0.9)
+    ]
+    assert rows[1].response == "I'm sorry, I encountered an error. Please try again."
