@@ -21,7 +21,8 @@ TRANSACTION_ID = rf"(?:transaction|id|#){_SPACE}*([t#]?\d{{5,}})"
 SLASH_DATE = r"(\d{1,2}/\d{1,2}/\d{2,4})"
 ISO_DATE = r"(\d{4}-\d{1,2}-\d{1,2})"
 DOLLAR_SIGN_AMOUNT = rf"\${_SPACE}*(\d+(?:,\d{{3}})*+(?:\.\d{{2}})?)"
-DOLLAR_WORD_AMOUNT = rf"(\d+(?:,\d{{3}})*(?:\.\d{{2}})?){_SPACE}*dollars"
+# Tried once per run of digits: a match inside a run would also start at its head.
+DOLLAR_WORD_AMOUNT = rf"(?<!\d)(\d++(?:,\d{{3}})*(?:\.\d{{2}})?){_SPACE}*dollars"
 # Letters and spaces between 'to' and 'account'; a character class instead of a
 # repeated group keeps the regex engine iterative on long messages.
 RECIPIENT = (

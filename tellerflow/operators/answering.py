@@ -55,7 +55,7 @@ def failed(messages: DataFrame) -> DataFrame:
 
 def answer(messages: DataFrame, accounts: DataFrame, ledger: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Messages (event_id, user_id, ts, message) with intent, confidence, state and reply."""
-    understood = with_base_intent(messages.filter(F.col("message").isNotNull()))
-    facts = lookups.facts(accounts, ledger, requests(understood))
-    answered = with_response(dialogue.score(understood, hot_rows), facts)
+    spoken = messages.filter(F.col("message").isNotNull())
+    facts = lookups.facts(accounts, ledger, requests(with_base_intent(spoken)))
+    answered = with_response(dialogue.score(spoken, hot_rows), facts)
     return answered.unionByName(failed(messages), allowMissingColumns=True)

@@ -63,7 +63,7 @@ def score(messages: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
     One exchange on the user for all look-backs; extraction runs before it.
     """
-    return along_timeline(_understood(messages), lambda f: _score(f).rows, hot_rows=hot_rows)
+    return along_timeline(messages, lambda f: _score(f).rows, hot_rows=hot_rows, prepare=_understood)
 
 
 def pending_change(intent: Column, entities: Column, account: Column, recipient: Column) -> Column:
@@ -117,12 +117,12 @@ def _track_memory(frame):
 def pending_actions(messages: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The pending transfer after each message."""
     steps = lambda frame: _track_pending(_score(frame)).rows
-    return along_timeline(_understood(messages), steps, hot_rows=hot_rows)
+    return along_timeline(messages, steps, hot_rows=hot_rows, prepare=_understood)
 
 
 def entity_memory(messages: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Per entity the last value the user mentioned so far."""
-    return along_timeline(_understood(messages), lambda f: _track_memory(f).rows, hot_rows=hot_rows)
+    return along_timeline(messages, lambda f: _track_memory(f).rows, hot_rows=hot_rows, prepare=_understood)
 
 
 def track(messages: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -132,7 +132,7 @@ def track(messages: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     user's dialogue stood before these messages.
     """
     steps = lambda frame: _track_memory(_track_pending(_score(frame))).rows
-    return along_timeline(_understood(messages), steps, hot_rows=hot_rows)
+    return along_timeline(messages, steps, hot_rows=hot_rows, prepare=_understood)
 
 
 def exchange() -> Column:

@@ -85,12 +85,15 @@ class SliceFrame:
         self.window = Window.partitionBy(key, self.SLICE).orderBy(*order)
 
     @classmethod
-    def cut(cls, rows: DataFrame, key: str, order: tuple[str, ...], slices: int) -> "SliceFrame":
-        """Range-partition, number the slices and store them, so that a lost
-        executor re-reads the same slice numbers instead of drawing new ones."""
+    def cut(
+        cls, rows: DataFrame, key: str, order: tuple[str, ...], slices: int, prepare: Callable[[DataFrame], DataFrame]
+    ) -> "SliceFrame":
+        """Range-partition, number the slices, prepare the rows and store them, so
+        that a lost executor re-reads the same slice numbers instead of drawing
+        new ones. Finding the ranges reads rows as they come, not prepared."""
         shared_folder(rows.sparkSession)
         sliced = rows.repartitionByRange(slices, key, *order).withColumn(cls.SLICE, F.spark_partition_id())
-        return cls(sliced.checkpoint(), key, order)
+        return cls(prepare(sliced).checkpoint(), key, order)
 
     def with_rows(self, rows: DataFrame) -> "SliceFrame":
         return SliceFrame(rows, self.key, self.order)
@@ -171,15 +174,17 @@ def along_timeline(
     order: tuple[str, ...] = ("ts", "event_id"),
     hot_rows: int = HOT_ROWS,
     counted: DataFrame | None = None,
+    prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows,
 ) -> DataFrame:
     """Apply ``steps`` to every key's timeline. (key, order) must identify a row.
 
+    ``prepare`` adds columns that ``steps`` needs to each row by itself.
     ``counted`` holds the same keys as ``rows`` but is cheaper to count, where
     ``rows`` is the result of joins.
     """
     hot = hot_keys(rows if counted is None else counted, key, hot_rows)
     if hot.isEmpty():
-        return steps(KeyFrame(rows, key, order))
+        return steps(KeyFrame(prepare(rows), key, order))
     shared_folder(rows.sparkSession)
     hot = hot.checkpoint()
     # one number: how many slices of about hot_rows rows the hot keys fill
@@ -187,6 +192,6 @@ def along_timeline(
     hot = hot.select(key)
     few = rows.join(F.broadcast(hot), key, "left_anti").select(*rows.columns)
     many = rows.join(F.broadcast(hot), key, "left_semi").select(*rows.columns)
-    ordinary = steps(KeyFrame(few, key, order))
-    sliced = steps(SliceFrame.cut(many, key, order, min(slices, MAX_SLICES)))
+    ordinary = steps(KeyFrame(prepare(few), key, order))
+    sliced = steps(SliceFrame.cut(many, key, order, min(slices, MAX_SLICES), prepare))
     return ordinary.unionByName(sliced.drop(SliceFrame.SLICE).select(*ordinary.columns))
