@@ -23,7 +23,8 @@ def chat_rows(answered: DataFrame) -> DataFrame:
         "response",
         "intent",
         "confidence",
-        F.date_trunc("second", F.col("ts")).cast("timestamp_ntz").alias("timestamp"),
+        # date_trunc would go through the session's time zone
+        F.substring(F.col("ts").cast("string"), 1, 19).cast("timestamp_ntz").alias("timestamp"),
     )
 
 

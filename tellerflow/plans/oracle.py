@@ -126,10 +126,7 @@ ORACLES["tokens"] = f"SELECT doc_id, len(t) AS n, array_to_string(t, '|') AS tok
 ORACLES["token_notes"] = f"SELECT id, array_to_string({_tokens(_clean('text'))}, '|') AS tokens FROM {_NOTES}"
 ORACLES["token_filter"] = f"SELECT doc_id, array_to_string({_kept('t')}, '|') AS kept FROM {_DOC_TOKENS}"
 ORACLES["preprocess_text"] = f"SELECT id, {_processed('text')} AS processed FROM {_NOTES}"
-ORACLES["process_columns"] = f"""
-SELECT question_id, question, answer, {_processed('question')} AS processed_question,
-  {_processed('answer')} AS processed_answer
-FROM ({tables.CORPUS_TABLES['faqs']}) AS faqs"""
+ORACLES["process_columns"] = f"SELECT *, {_processed('text')} AS processed_text FROM documents"
 
 _ENDINGS = "(VALUES " + ", ".join(
     f"({i}, {_s(end)}, {_s(base)})" for i, (end, base) in enumerate([("", ""), *c.NOUN_ENDINGS])

@@ -151,9 +151,8 @@ def preprocess_text(spark, sf_dir):
 
 @query
 def process_columns(spark, sf_dir):
-    """Configured text columns of the FAQ table, originals kept."""
-    faqs = {"faqs": tables.view(spark, sf_dir, tables.CORPUS_TABLES["faqs"])}
-    return corpus.process_tables(faqs)["faqs"]
+    """Listed text columns prepared, originals kept, absent columns ignored."""
+    return textprep.add_processed(tables.table(spark, sf_dir, "documents"), ["text", "summary"])
 
 
 # --- Corpus ------------------------------------------------------------------

@@ -119,20 +119,22 @@ FROM customer
 WHERE c_custkey % 2 = 0
 """
 
-# The labelled corpus sources, cut from the documents by key.
+# The five labelled corpus sources: every document in one of them, in unequal shares.
 CORPUS_TABLES = {
     "faqs": """
         SELECT d.doc_id AS question_id, d.text AS question, b.text AS answer
         FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40
-        WHERE d.doc_id % 5 = 0""",
-    "complaints": "SELECT doc_id AS complaint_id, text AS description FROM documents WHERE doc_id % 5 = 1",
-    "assistance": "SELECT doc_id AS assistance_id, text AS query FROM documents WHERE doc_id % 5 = 2",
+        WHERE d.doc_id % 11 < 2""",
+    "complaints": """
+        SELECT doc_id AS complaint_id, text AS description
+        FROM documents WHERE doc_id % 11 BETWEEN 2 AND 4""",
+    "assistance": "SELECT doc_id AS assistance_id, text AS query FROM documents WHERE doc_id % 11 = 5",
     "fraud_reports": """
         SELECT doc_id AS report_id, text AS description
-        FROM documents WHERE doc_id % 5 = 3 AND doc_id % 7 <> 0""",
+        FROM documents WHERE doc_id % 11 BETWEEN 6 AND 8""",
     "transaction_details": """
         SELECT doc_id AS transaction_id, text AS description
-        FROM documents WHERE doc_id % 5 = 4 AND doc_id % 7 <> 0""",
+        FROM documents WHERE doc_id % 11 > 8""",
 }
 
 # Sign-ups in arrival order; names repeat and some fields are missing.
