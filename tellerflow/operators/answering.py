@@ -11,18 +11,16 @@ from tellerflow.operators.timeline import HOT_ROWS
 
 
 def requests(understood: DataFrame) -> DataFrame:
-    """The distinct date ranges and transaction ids users ask about; both are
+    """The distinct dates, ranges and transaction ids users ask about; all are
     known from the message alone, before any dialogue state.
 
     The outer explode keeps the test for "asks something" above the extraction:
     as a plain filter it would be pushed below it and repeat every regex.
     """
     e = F.col("entities")
-    span = e["date_range"]
-    asked = F.struct(
-        span["start"].alias("start"), span["end"].alias("end"), e["transaction_id"].alias("transaction_id")
-    )
-    asks = F.when(span.isNotNull() | e["transaction_id"].isNotNull(), F.array(asked))
+    start, end = lookups.requested_range(e)
+    asked = F.struct(start.alias("start"), end.alias("end"), e["transaction_id"].alias("transaction_id"))
+    asks = F.when(start.isNotNull() | e["transaction_id"].isNotNull(), F.array(asked))
     found = understood.select("user_id", F.explode_outer(asks).alias("asked"))
     return found.filter(F.col("asked").isNotNull()).select("user_id", "asked.*").distinct()
 

@@ -163,24 +163,28 @@ LOOKUP = ["user_id", "account_type", "kind", "arg"]
 
 
 def lookup_request(intent: Column, entities: Column) -> tuple[Column, Column]:
-    """(kind, arg) of the fact a reply needs; null kind when it needs none."""
-    by_date = (intent == "date_transactions") & entities["date"].isNotNull()
+    """(kind, arg) of the fact a reply needs; null kind when it needs none.
+
+    A single date is the range from that day to itself, and beats a named range.
+    """
     kind = (
         F.when(intent.isin("balance_inquiry", "account_balance"), "balance")
         .when(intent.isin("transaction_history", "account_transactions"), "recent")
-        .when(by_date, "date")
         .when(intent == "date_transactions", "range")
         .when((intent == "specific_transaction") & entities["transaction_id"].isNotNull(), "id")
     )
+    start, end = requested_range(entities)
     arg = (
-        F.when(kind == "date", entities["date"])
-        .when(kind == "range", range_arg(entities["date_range"]["start"], entities["date_range"]["end"]))
-        .when(kind == "id", entities["transaction_id"])
-        .otherwise("")
+        F.when(kind == "range", range_arg(start, end)).when(kind == "id", entities["transaction_id"]).otherwise("")
     )
     return kind, arg
 
 
+def requested_range(entities: Column) -> tuple[Column, Column]:
+    day, span = entities["date"], entities["date_range"]
+    return F.coalesce(day, span["start"]), F.coalesce(day, span["end"])
+
+
 def range_arg(start: Column, end: Column) -> Column:
     return F.concat(start, F.lit(".."), end)
 
@@ -188,39 +192,36 @@ def range_arg(start: Column, end: Column) -> Column:
 def facts(accounts: DataFrame, ledger: DataFrame, requests: DataFrame) -> DataFrame:
     """Everything a reply can quote, one row per (user, account, kind, arg).
 
-    One keyed table instead of five lets messages be shuffled once for all
+    One keyed table instead of four lets messages be shuffled once for all
     lookups. ``requests`` holds the distinct (user_id, start, end,
     transaction_id) users ask about; a range is answered for either account.
+    Listings are made for what is asked, not for every day of the ledger.
     """
     either = F.explode(F.array(*[F.lit(a) for a in catalogue.ACCOUNT_TYPES]))
     ranges = requests.filter(F.col("start").isNotNull()).select(
         "user_id", either.alias("account_type"), "start", F.col("end").alias("date")
     ).distinct()
 
-    # Days and requested ranges on one timeline per account: a day answers for
-    # itself and, if it is the last, for 'recent'; a range takes the last day's.
+    # Days and requested ranges on one timeline per account: a range takes what
+    # the last day before its end carries; the very last day answers 'recent'.
     last = Window.partitionBy(*ACCOUNT).orderBy("date")
     days = daily_listing(ledger).withColumn("is_last", F.lead("date").over(last).isNull())
-    points = days.unionByName(ranges, allowMissingColumns=True)
+    points = days.drop("rows").unionByName(ranges, allowMissingColumns=True)
     along = Window.partitionBy(*ACCOUNT).orderBy("date", F.col("start").isNotNull())
     points = points.withColumn(
         "upto", F.last("upto", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))
     )
-
-    def listing(kind: str, arg: Column, rows: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), arg.alias("arg"), rows.alias("rows"))
-
     start = F.col("start")
-    in_range = F.filter("upto", lambda r: r["date"] >= start)
-    answers = F.when(start.isNotNull(), F.array(listing("range", range_arg(start, F.col("date")), in_range))).otherwise(
-        F.concat(
-            F.array(listing("date", F.col("date"), F.col("rows"))),
-            F.when(F.col("is_last"), F.array(listing("recent", F.lit(""), F.col("upto")))).otherwise(F.array()),
-        )
-    )
     listings = (
-        points.select(*ACCOUNT, F.explode(answers).alias("answer"))
-        .select(*ACCOUNT, "answer.*")
+        points.filter(start.isNotNull() | F.col("is_last"))
+        .select(
+            *ACCOUNT,
+            F.when(start.isNull(), "recent").otherwise("range").alias("kind"),
+            F.when(start.isNull(), "").otherwise(range_arg(start, F.col("date"))).alias("arg"),
+            F.when(start.isNull(), F.col("upto"))
+            .otherwise(F.filter("upto", lambda r: r["date"] >= start))
+            .alias("rows"),
+        )
         .filter(F.size("rows") > 0)
         .select(*ACCOUNT, "kind", "arg", bullet_list(F.transform("rows", signed_line)).alias("fact"))
     )
