@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tellerflow.functions.textprep import add_processed, preprocess
-from tellerflow.sources import catalogue
+from tellerflow.sources import catalogue, files
 
 # Row id of each source table: the order rows were written in.
 ROW_IDS = {
@@ -89,3 +89,20 @@ def summarize(corpus: DataFrame) -> DataFrame:
         .orderBy(F.desc("count"), "src_rank")
         .drop("src_rank")
     )
+
+
+def build(spark: SparkSession, source: str, target: str, fmt: str = "csv") -> list[str]:
+    """Prepare all bulk tables found under ``source`` and write them, the corpus
+    and its summary as Parquet under ``target``; returns the tables found.
+
+    Everything is planned from the source tables; no step reads what another wrote
+    except the summary, which needs no text of the stored corpus but the replies.
+    """
+    tables = files.read_bulk_tables(spark, source, fmt)
+    for name, df in process_tables(tables).items():
+        files.write_table(df, f"{target}/processed_{name}")
+    if any(table in tables for _, table, _, _ in catalogue.CORPUS_SOURCES):
+        files.write_table(training_corpus(tables), f"{target}/training_corpus")
+        stored = spark.read.parquet(f"{target}/training_corpus")
+        files.write_table(summarize(stored), f"{target}/intent_mapping")
+    return list(tables)

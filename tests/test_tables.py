@@ -124,3 +124,22 @@ def test_blank_messages_are_rejected(spark):
     rows = [(1, " a b \n"), (2, " \t"), (3, ""), (4, None)]
     df = spark.createDataFrame(rows, "id int, message string")
     assert [(r.id, r.message) for r in chatlog.valid_messages(df).collect()] == [(1, "a b")]
+
+
+def test_build_from_csv_files(spark, tmp_path):
+    """Generated tables as CSV, two of them missing, to corpus and summary."""
+    for name in set(GENERATORS) - {"complaints", "loans"}:
+        files.write_csv(generate(name, spark.range(1, 41)), f"{tmp_path}/in/{name}.csv")
+    found = corpus.build(spark, f"{tmp_path}/in", f"{tmp_path}/out")
+    assert set(found) == set(GENERATORS) - {"complaints", "loans"}
+    users = spark.read.parquet(f"{tmp_path}/out/processed_user_details")
+    assert users.count() == 40 and users.columns == [f.name for f in schemas.BULK["user_details"]]
+    assert users.filter(F.col("address").contains("\n")).count() == 40
+    faqs = spark.read.parquet(f"{tmp_path}/out/processed_faqs")
+    assert {"processed_question", "processed_answer", "question", "answer"} <= set(faqs.columns)
+    summary = {r.intent: (r["count"], r.sample_response)
+               for r in spark.read.parquet(f"{tmp_path}/out/intent_mapping").collect()}
+    assert set(summary) == {"faq", "assistance", "fraud", "transaction"}
+    assert summary["faq"] == (40, "visit nearest branch required document apply online website")
+    replies = {intent: reply for intent, _, _, reply in catalogue.CORPUS_SOURCES}
+    assert summary["fraud"] == (40, replies["fraud"])
