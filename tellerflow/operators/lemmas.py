@@ -42,7 +42,9 @@ def lemmatize_tokens(documents: DataFrame, key: str, tokens: str, lemmas: DataFr
 
     The table joins the exploded tokens, as a broadcast when Spark finds it
     small enough and as a shuffled join otherwise; a frequent token then makes a
-    skewed partition, which AQE splits. Regrouping gathers one document's tokens.
+    skewed partition, which AQE splits. Pass a stored table (``files.store``):
+    the size of a computed one is only guessed, and a wrong guess shuffles every
+    token. Regrouping gathers one document's tokens.
     """
     exploded = documents.select(key, F.posexplode_outer(tokens).alias("place", "token"))
     replaced = exploded.join(lemmas, "token", "left").select(

@@ -15,7 +15,7 @@ from tellerflow.functions.intents import with_base_intent
 from tellerflow.operators import answering, chatlog, corpus, dialogue, lemmas
 from tellerflow.operators import ledger as ledgers
 from tellerflow.session import scratch_path
-from tellerflow.sources import catalogue, files, schemas, tables
+from tellerflow.sources import files, schemas, tables
 from tellerflow.sources.generate import generate
 from tellerflow.streaming.dialogue_stream import DialogueStream
 
@@ -134,12 +134,12 @@ def token_filter(spark, sf_dir):
 @query
 def lemma_tokens(spark, sf_dir):
     """Lemmas found by the noun rules in the corpus's own vocabulary."""
-    path = scratch_path(spark, "tokens")  # used twice: prepare the texts once
     prepared = _document_tokens(spark, sf_dir).select("doc_id", textprep.keep_tokens(F.col("tokens")).alias("kept"))
-    files.write_table(prepared, path)
-    kept = spark.read.schema(prepared.schema).parquet(path)
+    kept = files.store(prepared, "tokens")  # read three times
     vocabulary = kept.select(F.explode("kept").alias("token")).distinct()
-    table = lemmas.noun_lemmas(vocabulary, vocabulary.withColumnRenamed("token", "word"))
+    found = lemmas.noun_lemmas(vocabulary, vocabulary.withColumnRenamed("token", "word"))
+    # stored, so that its real size decides how it joins the tokens
+    table = files.store(found, "lemmas")
     rows = lemmas.lemmatize_tokens(kept, "doc_id", "kept", table)
     return rows.select("doc_id", F.array_join("lemmas", " ").alias("processed"))
 

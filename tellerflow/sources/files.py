@@ -7,6 +7,7 @@ import logging
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from tellerflow.session import scratch_path
 from tellerflow.sources import catalogue, schemas
 
 log = logging.getLogger(__name__)
@@ -41,6 +42,14 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def store(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: computed once however
+    often it is used, without lineage, and of a size the planner knows."""
+    path = scratch_path(df.sparkSession, name)
+    write_table(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def to_parquet(spark: SparkSession, csv_path: str, schema: T.StructType, path: str) -> DataFrame:
     """Convert a CSV table once; every later scan is columnar and splits."""
     write_table(read_csv(spark, csv_path, schema), path)
