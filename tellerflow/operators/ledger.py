@@ -128,32 +128,28 @@ def transactions(asked: DataFrame, ledger: DataFrame, limit: int = LISTED) -> Da
     limit; otherwise date and range both restrict the newest-first listing.
     Requests for an unknown account, or that select nothing, give no rows.
     """
-    request = F.col("transaction_id").isNotNull()
-    row = ledger.select(*ACCOUNT, *_ROW)
-    by_id = asked.filter(request).join(
-        row.select(
-            *ACCOUNT, F.col("id").alias("transaction_id"), F.struct(*_ROW).alias("row")
-        ),
-        [*ACCOUNT, "transaction_id"],
+    columns, by_number = asked.columns, F.col("transaction_id").isNotNull()
+    row = F.struct(*_ROW).alias("row")
+    by_id = asked.filter(by_number).join(
+        ledger.select(*ACCOUNT, F.col("id").alias("transaction_id"), row), [*ACCOUNT, "transaction_id"]
+    )
+
+    # Date, range, both or neither: always one range. Dates compare as text, so
+    # the empty string is before every date and "~" after.
+    listings = asked.filter(~by_number).withColumns(
+        {
+            "_from": F.coalesce(F.greatest("date", "start"), F.lit("")),
+            "_to": F.coalesce(F.least("date", "end"), F.lit("~")),
+        }
+    )
+    ranges = listings.select(*ACCOUNT, F.col("_from").alias("start"), F.col("_to").alias("end"))
+    found = range_listing(daily_listing(ledger, limit), ranges).withColumnsRenamed({"start": "_from", "end": "_to"})
+    listed = listings.join(found, [*ACCOUNT, "_from", "_to"]).select(
+        *columns, F.posexplode("rows").alias("place", "row")
     )
-    ids = by_id.withColumn("rn", F.lit(None).cast("int"))
-
-    days = daily_listing(ledger, limit)
-    listings = asked.filter(~request)
-    on_date = listings.filter(
-        F.col("date").isNotNull()
-        & F.coalesce(F.col("date").between(F.col("start"), F.col("end")), F.lit(True))
-    ).join(days.select(*ACCOUNT, "date", "rows"), [*ACCOUNT, "date"])
-    rest = listings.filter(F.col("date").isNull())
-    ranged = rest.filter(F.col("start").isNotNull())
-    in_range = ranged.join(range_listing(days, ranged), [*ACCOUNT, "start", "end"])
-    recent = rest.filter(F.col("start").isNull()).join(recent_listing(days), ACCOUNT)
-    columns = asked.columns
-    listed = on_date.unionByName(in_range).unionByName(recent)
-    listed = listed.select(*columns, F.posexplode("rows").alias("place", "row")).select(
-        *columns, (F.col("place") + 1).alias("rn"), "row"
+    chosen = by_id.select(*columns, F.lit(None).cast("int").alias("rn"), "row").unionByName(
+        listed.select(*columns, (F.col("place") + 1).alias("rn"), "row")
     )
-    chosen = ids.select(*columns, "rn", "row").unionByName(listed)
     return chosen.select(*columns, "rn", *[F.col("row")[c].alias(f"txn_{c}") for c in _ROW])
 
 
