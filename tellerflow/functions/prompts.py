@@ -25,11 +25,15 @@ REPLY = (
 )
 
 
+def strip(text: Column) -> Column:
+    """Text without surrounding whitespace of any kind."""
+    blank = r"[\s\p{Z}\x1c-\x1f\x85]"
+    return F.regexp_replace(F.regexp_replace(text, rf"^{blank}+", ""), rf"(?<!{blank}){blank}+$", "")
+
+
 def validate_label(raw: Column, tags: list[str] | None = None) -> Column:
     """(intent, confidence) of a model's raw answer; null means it failed."""
-    blank = r"[\s\p{Z}\x1c-\x1f\x85]"
-    stripped = F.regexp_replace(F.regexp_replace(raw, rf"^{blank}+", ""), rf"(?<!{blank}){blank}+$", "")
-    label = F.translate(stripped, "'\"", "")
+    label = F.translate(strip(raw), "'\"", "")
 
     def labelled(intent: Column, confidence: float) -> Column:
         return F.struct(intent.alias("intent"), F.lit(confidence).alias("confidence"))
@@ -84,8 +88,9 @@ def fill_template(text: Column, intent: Column, balance: Column, transactions: C
 def apply_model(prompts: DataFrame, model: Callable[[list[str]], list[str]], prompt: str = "prompt") -> DataFrame:
     """Add ``raw``, the answer of a caller-supplied model, null where it failed.
 
-    The model sees one Arrow batch of prompts at a time; a failing batch is
-    retried prompt by prompt so that one bad prompt costs one answer.
+    The model sees one Arrow batch of prompts at a time, without null prompts; a
+    failing batch is retried prompt by prompt so that one bad prompt costs one
+    answer.
     """
 
     def one(text: str) -> str | None:
@@ -96,12 +101,15 @@ def apply_model(prompts: DataFrame, model: Callable[[list[str]], list[str]], pro
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            texts = frame[prompt].tolist()
+            asked = frame[prompt].notna()
+            texts = frame.loc[asked, prompt].tolist()
             try:
-                answers = list(model(texts))
+                answers = list(model(texts)) if texts else []
             except Exception:
                 answers = [one(t) for t in texts]
-            yield frame.assign(raw=answers)
+            raw = pd.Series([None] * len(frame), index=frame.index, dtype=object)
+            raw[asked] = answers
+            yield frame.assign(raw=raw)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema.fields)
     return prompts.mapInPandas(batches, f"{fields}, raw string")

@@ -10,9 +10,15 @@ from tellerflow.sources import catalogue
 
 
 def pick(choices: list[str] | list[Column], key: Column) -> Column:
-    """One of several variants, chosen by a stable key instead of at random."""
+    """One of several variants, chosen by a stable key instead of at random.
+
+    The higher-order function keeps a projection with this choice out of
+    whole-stage code: all reply texts fused with the join before them make one
+    method too long for the JIT compiler.
+    """
     options = F.array(*[F.lit(c) if isinstance(c, str) else c for c in choices])
-    return F.get(options, F.pmod(key, F.lit(len(choices))).cast("int"))
+    chosen = F.pmod(key, F.lit(len(choices))).cast("int")
+    return F.get(F.transform(F.array(chosen), lambda i: F.get(options, i)), 0)
 
 
 def fill(template: str, **values: Column) -> Column:

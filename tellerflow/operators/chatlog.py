@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tellerflow.functions.prompts import strip
+
 RECENT = 10
 
 
 def valid_messages(messages: DataFrame, column: str = "message") -> DataFrame:
     """Messages stripped of surrounding whitespace; blank ones rejected."""
-    blank = r"[\s\p{Z}\x1c-\x1f\x85]"
-    stripped = F.regexp_replace(F.regexp_replace(F.col(column), rf"^{blank}+", ""), rf"(?<!{blank}){blank}+$", "")
-    return messages.withColumn(column, stripped).filter(F.col(column) != "")
+    return messages.withColumn(column, strip(F.col(column))).filter(F.col(column) != "")
 
 
 def chat_rows(answered: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 # One customer message per event; the twenty forms reach every intent.
 UTTERANCES = """
 SELECT event_id, user_id, ts,
-  CASE k
+  coalesce(CASE k
     WHEN 0 THEN 'Hello there'
     WHEN 1 THEN 'What''s my account balance?'
     WHEN 2 THEN 'balance of my savings account please'
@@ -33,7 +33,7 @@ SELECT event_id, user_id, ts,
     WHEN 17 THEN 'transfer funds'
     WHEN 18 THEN concat('transactions on ', CAST(month(ts) AS STRING), '/', CAST(day(ts) AS STRING), '/24')
     ELSE 'Good evening'
-  END AS message
+  END, '') AS message
 FROM (SELECT *, event_id % 20 AS k FROM events) AS e
 """
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tellerflow.functions import prompts, render
 from tellerflow.functions.entities import with_entities
 from tellerflow.functions.intents import with_base_intent
+from tellerflow.operators.model_answers import answer_with_model
+from tellerflow.sources import files
 
 NOW = dt.datetime(2024, 3, 13, 9, 30)  # a Wednesday
 
@@ -163,3 +165,34 @@ def test_speech_and_locale(spark):
     assert one(spark, render.speech_text(F.col("t")), t=" [a] hi [b\n] there [c]\t") == "hi [b\n] there"
     assert one(spark, render.locale(F.col("t")), t="hi") == "hi-IN"
     assert one(spark, render.locale(F.col("t")), t="xx") == "en-US"
+
+
+def test_answers_of_a_model(spark):
+    """A keyword stub as model: labels, filled replies, and both kinds of failure."""
+    def model(texts):
+        def one(text):
+            if "boom" in text:
+                raise ValueError
+            if text.startswith("Choose"):
+                return " 'balance_inquiry'\n" if "balance" in text.split("Message:")[1] else "nonsense"
+            if "fail" in text:
+                raise ValueError
+            return " It is [AMOUNT]. "
+
+        return [one(t) for t in texts]
+
+    rows = [(0, "my balance", "12.50"), (1, "balance?", None), (2, "fail my balance", "1.00"), (3, "other", "2.00"),
+            (4, "boom", "3.00")]
+    messages = spark.createDataFrame(rows, "event_id long, message string, balance string").withColumns(
+        {"context": F.lit("User: a\nBot: b"), "transactions": F.lit(None).cast("string")}
+    )
+    responses = files.intent_responses(files.default_intents(spark))
+    found = {r.event_id: (r.intent, r.confidence, r.response)
+             for r in answer_with_model(messages, responses, model).collect()}
+    assert found == {
+        0: ("balance_inquiry", 0.9, "It is 12.50."),
+        1: ("balance_inquiry", 0.9, "It is [AMOUNT]."),
+        2: ("balance_inquiry", 0.9, "Your current balance is [AMOUNT]."),
+        3: ("greeting", 0.5, "It is [AMOUNT]."),
+        4: ("error", 0.0, "I'm not sure how to respond to that. Could you please rephrase?"),
+    }

@@ -39,3 +39,14 @@ def test_top_rows_are_cut_before_the_shuffle(spark, sf_dir):
     for name in ("recent_txns", "render_history"):
         text = plan(entry.queries()[name](spark, sf_dir))
         assert re.search(r"Exchange[^\n]*\n[^\n]*WindowGroupLimit", text), name
+
+
+def test_generated_code_stays_below_the_compiler_limit(spark, sf_dir):
+    """Methods over 8000 bytes of code are never compiled by the JIT."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for name in ("dialogue_state", "render_response", "clean_documents", "extract_entities"):
+            sizes = re.findall(r"maxMethodCodeSize:(\d+)", plan(entry.queries()[name](spark, sf_dir), "codegen"))
+            assert max(map(int, sizes)) < 8000, name
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
