@@ -12,10 +12,10 @@ def database(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(entry.ORACLES) == set(entry.QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(entry.ORACLES))
 def test_same_as_sql(spark, database, sf_dir, name):
     assert difference(spark, database, name, sf_dir) is None
 
