@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, arrow_column, store, utf8
+from .common import LOWER, arrow_column, fresh, store, utf8
 from .components import connected
 
 #: Fingerprints from which part distances are estimated; only the plan's cost depends on it.
@@ -229,10 +229,8 @@ def links(distinct: DataFrame, distance: int = 4) -> DataFrame:
     for part, (group, threshold) in enumerate(plan):
         for flips in range(threshold + 1):
             probes += [(part, _mask(group), _mask(flip), flips > 0) for flip in combinations(group, flips)]
-    probe = F.explode(F.array(*[
-        F.struct(F.lit(p).alias("part"), F.lit(m).cast("long").alias("mask"), F.lit(f).cast("long").alias("flip"), F.lit(v).alias("probe"))
-        for p, m, f, v in probes
-    ]))
+    rows_of = ", ".join(f"named_struct('part', {p}, 'mask', bigint('{m}'), 'flip', bigint('{f}'), 'probe', {v})" for p, m, f, v in probes)
+    probe = F.expr(f"explode(array({rows_of}))")
     found = distinct.select("fp", probe.alias("p")).select(
         F.col("p.part").alias("part"),
         F.col("fp").bitwiseAND(F.col("p.mask")).bitwiseXOR(F.col("p.flip")).alias("bucket"),
@@ -251,6 +249,15 @@ def links(distinct: DataFrame, distance: int = 4) -> DataFrame:
     return ordered.mapInArrow(link_buckets(distance), "a long, b long")
 
 
+def classes(distinct: DataFrame, distance: int = 4) -> DataFrame:
+    """``(fp, component_id)`` of every row of ``distinct(fp, low)``, the component's smallest ``low``."""
+    roots = connected(links(distinct.select("fp"), distance))
+    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "low", F.coalesce("root", "fp").alias("root"))
+    least = placed.groupBy("root").agg(F.min("low").alias("component_id"))
+    return placed.join(least, "root").select("fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42, distance: int = 4) -> DataFrame:
     """``(doc_id, fp, component_id)`` for every row of ``docs(doc_id, text, ...)``.
 
@@ -261,9 +268,21 @@ def near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42, distance: i
     """
     marked = store(docs.select("doc_id", fingerprint(F.col("text"), width, seed).alias("fp")), "fingerprints")
     distinct = store(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    roots = connected(links(distinct.select("fp"), distance))
-    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = placed.join(least, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(classes(distinct, distance), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 4, seed: int = 42, distance: int = 4) -> DataFrame:
+    """One row of each near-duplicate component of ``docs(doc_id, text, ...)``, all its columns as they are.
+
+    The row with the smallest doc_id stays; among rows of that id, the one with the smallest hash
+    over all columns. Null ids stay only where a component has no other.
+    """
+    fp, rank, component = (fresh(docs, n) for n in ("fp", "rank", "component"))
+    marked = store(docs.withColumn(fp, fingerprint(F.col("text"), width, seed)), "marked")
+    hashed = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in docs.columns])
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), hashed.alias("row"), F.col(fp).alias("fp"))
+    distinct = store(marked.select(F.col(fp).alias("fp"), order.alias("low")).groupBy("fp").agg(F.min("low").alias("low")), "distinct")
+    first = classes(distinct, distance).select(F.col("component_id").alias(component)).distinct()
+    # few columns decide; one row of each exact repeat is left by the last step
+    kept = marked.withColumn(rank, order).join(first, F.col(rank) == F.col(component)).drop(component)
+    return kept.dropDuplicates([rank]).drop(rank, fp)

@@ -22,8 +22,12 @@ from .common import arrow_column, learnable, store, texts
 #: Labelled rows the models are fitted on, at most.
 TRAIN_ROWS = 30_000
 #: Terms mined from the labelled rows that become voters.
-MINED_TERMS = 64
+MINED_TERMS = 200
+#: A term that ends in ``~`` stands for all words that start so; stems have these lengths.
+STEMS = range(4, 9)
 THRESHOLD = 0.3
+#: How reliable a given label is taken to be.
+LABEL_TRUST = 0.95
 
 #: Insults every model starts with.
 SEED_TERMS = (
@@ -40,23 +44,36 @@ DIRECT = frozenset("you your yours youre u ur".split())
 PATTERNS = ("disguised", "spaced", "direct", "dense", "repeated", "varied", "shouting", "exclaiming", "silent", "mild")
 
 
+def units_of(words: list[str]) -> set[str]:
+    """The terms a text's words could match: the words and their stems."""
+    out = set(words)
+    for word in tuple(out):
+        out.update([f"{word[:k]}~" for k in STEMS if k < len(word)])
+    return out
+
+
 class Voters:
     """Turns a text into votes (1 toxic, -1 clean, 0 none) and features."""
 
     def __init__(self, terms: list[str]):
         self.terms = list(terms)
         self.place = {t: k for k, t in enumerate(self.terms)}
+        self.stems = frozenset(t[:-1] for t in self.terms if t.endswith("~"))
+        self.starts = frozenset(s[:STEMS[0]] for s in self.stems)
 
     def read(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         place = self.place
         words = WORD.findall(text.lower())
         found = [w for w in words if w in place]
+        for word in words:
+            if word[:STEMS[0]] in self.starts:
+                found += [f"{word[:k]}~" for k in STEMS if k < len(word) and word[:k] in self.stems]
         disguised = [w for m in DISGUISED.findall(text) if (w := m.translate(SPELLING).replace("*", "").lower()) in place and w != m.lower()]
         spaced = [w for m in SPACED.findall(text) if (w := re.sub("[^a-z]", "", m.lower())) in place]
         hits = Counter(found)
         hits.update(disguised)
         hits.update(spaced)
-        total = sum(hits.values())
+        total = sum(hits.values())  # a word counts once for each term it matches
         direct = bool(total) and not DIRECT.isdisjoint(words)
         small = len(SMALL.findall(text))
         shouting = 0 < len(words) and small * 2 < len(words)
@@ -75,34 +92,33 @@ class Voters:
 def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25) -> np.ndarray:
     """The posterior probability of toxic for each row.
 
-    ``votes`` holds -1, 0, 1 by voter; ``labels`` (0 or 1) is one more voter, the only one that
-    starts out trusted. Each voter has a distribution over its votes for either class.
-    A voter's evidence is divided by one plus its summed correlation, given the class, with others.
+    ``votes`` holds -1, 0, 1 by voter. Each voter has a distribution over its votes for either
+    class; its evidence is divided by one plus its summed squared correlation, given the class,
+    with the others. The given labels (0 or 1) start the estimation, put the summed evidence on
+    the scale of a probability, and stay one more voter of fixed reliability.
     """
-    rows, voters = votes.shape
+    rows = len(votes)
     if not rows:
         return np.zeros(0)
-    every = np.column_stack([votes, np.where(labels > 0, 1, -1)]).astype(np.int8)
-    belief = np.where(labels > 0, 0.95, 0.05).astype(float)
+    trusted = np.where(labels > 0, 1, -1) * np.log(LABEL_TRUST / (1 - LABEL_TRUST))
+    belief = 1 / (1 + np.exp(-trusted))
     for _ in range(rounds):
-        prior = np.clip(belief.mean(), 1e-4, 1 - 1e-4)
-        odds = np.full(rows, np.log(prior / (1 - prior)))
-        evidence = np.zeros(every.shape)
+        evidence = np.zeros(votes.shape)
         for kind in (-1, 0, 1):
-            here = every == kind
+            here = votes == kind
             toxic = (belief @ here + 0.1) / (belief.sum() + 0.3)
             clean = ((1 - belief) @ here + 0.1) / ((1 - belief).sum() + 0.3)
             evidence += here * np.log(toxic / clean)
         # correlations between voters within the classes
-        rest = every - np.outer(belief, belief @ every / max(belief.sum(), 1e-9)) \
-            - np.outer(1 - belief, (1 - belief) @ every / max((1 - belief).sum(), 1e-9))
+        rest = votes - np.outer(belief, belief @ votes / max(belief.sum(), 1e-9)) \
+            - np.outer(1 - belief, (1 - belief) @ votes / max((1 - belief).sum(), 1e-9))
         joint = rest.T @ rest / rows
         spread = np.sqrt(np.maximum(np.diag(joint), 1e-9))
         related = (joint / np.outer(spread, spread)) ** 2
         np.fill_diagonal(related, 0)
-        related[related < 0.05] = 0
-        odds += evidence @ (1 / (1 + related.sum(axis=1)))
-        new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        summed = (evidence @ (1 / (1 + related.sum(axis=1))))[:, None]
+        slope, start = fit_linear(summed, (labels > 0).astype(float))
+        new = 1 / (1 + np.exp(-np.clip(summed[:, 0] * slope + start + trusted, -30, 30)))
         if np.abs(new - belief).max() < 1e-4:
             break
         belief = new
@@ -138,47 +154,48 @@ def _labelled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
 
 
 def mine_terms(labelled: DataFrame, limit: int) -> list[str]:
-    """The words most tied to toxic rows, by a z-score of document frequencies over all given rows."""
+    """The words and stems most tied to toxic rows, by a z-score of document frequencies over all given rows.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            toxic, clean = Counter(), Counter()
-            for text, label in zip(texts(batch.column(0)), batch.column(1).to_pylist()):
-                (toxic if label else clean).update(set(WORD.findall(text.lower())))
-                (toxic if label else clean)[""] += 1
-            # a word in no toxic text can't be mined
-            words = list(toxic.keys() | {""})
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(words), pa.array([toxic[w] for w in words], pa.int64())], ["word", "toxic"])
+    A term is passed over if a longer or shorter one already taken is as exact.
+    """
 
-    def clean_count(terms: frozenset):
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(only: frozenset | None, label: int, name: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                clean: Counter = Counter()
-                for text, label in zip(texts(batch.column(0)), batch.column(1).to_pylist()):
-                    if not label:
-                        clean.update(terms.intersection(WORD.findall(text.lower())))
-                        clean[""] += 1
-                yield pa.RecordBatch.from_arrays([pa.array(list(clean), pa.string()), pa.array(list(clean.values()), pa.int64())], ["word", "clean"])
+                found: Counter = Counter()
+                for text, own in zip(texts(batch.column(0)), batch.column(1).to_pylist()):
+                    if own == label:
+                        units = units_of(WORD.findall(text.lower()))
+                        found.update(units if only is None else only & units)
+                        found[""] += 1
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["term", name])
 
-        return count
+        return run
 
     frame = labelled.select("text", "toxic")
-    toxic = frame.mapInArrow(count, "word string, toxic long").groupBy("word").agg(F.sum("toxic").alias("toxic"))
-    # only words in many toxic texts can stand out; their number is bounded by the bounded sample
-    often = dict(toxic.filter("word = '' or toxic >= 5").orderBy(F.desc("toxic"), "word").limit(20_000).collect())
+    toxic = frame.mapInArrow(count(None, 1, "n"), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    # a term in few toxic texts can't stand out; the rows are bounded, and so are the terms
+    often = dict(toxic.filter("term = '' or n >= 5").orderBy(F.desc("n"), "term").limit(50_000).collect())
     total = often.pop("", 0)
     if not total or not often:
         return []
-    clean = dict(frame.mapInArrow(clean_count(frozenset(often)), "word string, clean long").groupBy("word").agg(F.sum("clean")).collect())
+    clean = dict(frame.mapInArrow(count(frozenset(often), 0, "n"), "term string, n long").groupBy("term").agg(F.sum("n")).collect())
     others = clean.pop("", 0)
     scored = []
-    for word, n in often.items():
-        a, b = (n + 0.5) / (total + 1), (clean.get(word, 0) + 0.5) / (others + 1)
-        z = (np.log(a) - np.log(b)) / np.sqrt(1 / (n + 0.5) + 1 / (clean.get(word, 0) + 0.5))
+    for term, n in often.items():
+        a, b = (n + 0.5) / (total + 1), (clean.get(term, 0) + 0.5) / (others + 1)
+        z = np.log(a / b) / np.sqrt(1 / (n + 0.5) + 1 / (clean.get(term, 0) + 0.5))
         if z > 3 and a > 5 * b:
-            scored.append((-z * a, word))
-    return [w for _, w in sorted(scored)[:limit]]
+            scored.append((-z * a, term, a / b))
+    kept: list[tuple[str, float]] = []
+    for _, term, ratio in sorted(scored):
+        bare = term.rstrip("~")
+        if not any(ratio <= 2 * r and (bare.startswith(t) or t.startswith(bare)) for t, r in kept):
+            kept.append((bare, ratio))
+            if len(kept) == limit:
+                break
+    chosen = {bare for bare, _ in kept}
+    return [t for _, t, _ in sorted(scored) if t.rstrip("~") in chosen]
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, mined: int = MINED_TERMS) -> tuple[list[str], np.ndarray]:
