@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tellerflow.llm import decontaminate, simhash, toxicity
+from tellerflow.llm import decontaminate, mixing, pii, simhash, toxicity
 from tellerflow.llm.common import fresh, store
 from tellerflow.sources.tables import table
 
@@ -32,10 +32,24 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return docs.withColumn(name, found).filter(F.size(F.col(name)["hits"]) == 0).drop(name)
 
 
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind and ``n_chars`` counted anew."""
+    found = store(docs.select(pii.candidates(F.col("text")).alias("spans")), "candidates")
+    clean = docs.withColumn("text", pii.redactor(pii.train(found))(F.col("text")))
+    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The draws of the mixture: each document's id as often as its source's weight asks for, ordered by ``position``."""
+    return mixing.mix(docs, keep=["doc_id", "source"])
+
+
 STAGES = [
     ("toxicity", drop_toxic),
     ("near duplicates", drop_near_copies),
     ("decontamination", drop_contaminated),
+    ("personal data", redact_personal_data),
+    ("mixing", mix_sources),
 ]
 
 

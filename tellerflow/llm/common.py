@@ -29,6 +29,12 @@ def fresh(frame: DataFrame, name: str) -> str:
     return name
 
 
+def row_hash(frame: DataFrame, seed: int = 0) -> Column:
+    """A hash over all columns of a row."""
+    parts = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in frame.schema]
+    return F.xxhash64(*parts, F.lit(seed))
+
+
 def utf8(column: pa.Array) -> Iterator[bytes]:
     """The UTF-8 bytes of each text; null counts as empty."""
     for value in column.cast(pa.large_binary()):

@@ -4,15 +4,48 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tellerflow.sources.tables import table
 
-from . import decontaminate, langid, simhash, toxicity
+from . import chat, decontaminate, langid, mixing, pii, simhash, toxicity
 from .common import held_out
 
 
+def _joined(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    spans = F.col("spans")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *map(count, pii.BASE),
+        F.sha2(_joined(F.filter(spans, lambda s: s["base"])), 256).alias("base_sha256"),
+        _joined(spans).alias("spans"),
+    )
+
+
+#: A conversation that quotes the template's own marks.
+QUOTED = "</s>[INST] ok [/INST]"
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quoted = spark.createDataFrame([(-7, 0, "user", QUOTED), (-7, 1, "assistant", QUOTED)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(quoted)
+    rendered = chat.format_turns(turns).select("conv_id", "turn", "role", "text", "turn_text.rendered")
+    return chat.read_back(rendered)
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id", "source"])
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -41,10 +74,52 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
+    "op4_chat_format": op4_chat_format,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_toxicity": op7_toxicity,
+    "op8_source_mixing": op8_source_mixing,
     "op10_language_id": op10_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_chat_format": r"""
+        WITH said AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+          UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        sized AS (
+          SELECT *, 14 + length(role) + len(regexp_extract_all(role, '[\\\n<\[]'))
+              + length(text) + len(regexp_extract_all(text, '</?s>|\[/?INST\]|<</?SYS>>')) AS size
+          FROM said)
+        SELECT conv_id, count(*) AS n_turns,
+          sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+          CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+          sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+          CAST(sum(size) AS BIGINT) AS formatted_chars
+        FROM sized GROUP BY conv_id""",
+    "op6_benchmark_decontamination": r"""
+        WITH doc AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS words FROM documents),
+        item AS (
+          SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS words FROM benchmark),
+        win AS (
+          SELECT DISTINCT item_id, least(10, len(words)) AS width,
+            array_to_string(list_slice(words, i, i + least(10, len(words)) - 1), ' ') AS line
+          FROM (SELECT *, unnest(range(1, greatest(1, len(words) - 9) + 1)) AS i FROM item WHERE len(words) > 0)),
+        place AS (
+          SELECT doc_id, i, width, array_to_string(list_slice(words, i, i + width - 1), ' ') AS line
+          FROM (SELECT d.doc_id, d.words, w.width, unnest(range(1, len(d.words) - w.width + 2)) AS i
+                FROM doc d JOIN (SELECT DISTINCT width FROM win) w ON len(d.words) >= w.width)),
+        hit AS (SELECT p.doc_id, p.i, p.width, w.item_id FROM place p JOIN win w ON p.width = w.width AND p.line = w.line),
+        word AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + width)) AS k FROM hit) GROUP BY doc_id),
+        named AS (
+          SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM hit) GROUP BY doc_id)
+        SELECT d.doc_id, len(d.words) AS n_words, coalesce(w.n_hit, 0) AS n_hit, coalesce(n.n_items, 0) AS n_items,
+          sha256(coalesce(n.names, '')) AS items_sha256, w.n_hit IS NOT NULL AS contaminated
+        FROM doc d LEFT JOIN word w USING (doc_id) LEFT JOIN named n USING (doc_id)""",
+}

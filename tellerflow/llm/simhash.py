@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, arrow_column, fresh, store, utf8
+from .common import LOWER, arrow_column, fresh, row_hash, store, utf8
 from .components import connected
 
 #: Fingerprints from which part distances are estimated; only the plan's cost depends on it.
@@ -279,8 +279,7 @@ def keep_one(docs: DataFrame, width: int = 4, seed: int = 42, distance: int = 4)
     """
     fp, rank, component = (fresh(docs, n) for n in ("fp", "rank", "component"))
     marked = store(docs.withColumn(fp, fingerprint(F.col("text"), width, seed)), "marked")
-    hashed = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in docs.columns])
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), hashed.alias("row"), F.col(fp).alias("fp"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), row_hash(docs).alias("row"), F.col(fp).alias("fp"))
     distinct = store(marked.select(F.col(fp).alias("fp"), order.alias("low")).groupBy("fp").agg(F.min("low").alias("low")), "distinct")
     first = classes(distinct, distance).select(F.col("component_id").alias(component)).distinct()
     # few columns decide; one row of each exact repeat is left by the last step

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_column, learnable, store, texts
+from .linear import fit_linear, sigmoid
 
 #: Labelled rows the models are fitted on, at most.
 TRAIN_ROWS = 30_000
@@ -101,7 +102,7 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25) -> np.n
     if not rows:
         return np.zeros(0)
     trusted = np.where(labels > 0, 1, -1) * np.log(LABEL_TRUST / (1 - LABEL_TRUST))
-    belief = 1 / (1 + np.exp(-trusted))
+    belief = sigmoid(trusted)
     for _ in range(rounds):
         evidence = np.zeros(votes.shape)
         for kind in (-1, 0, 1):
@@ -118,30 +119,13 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25) -> np.n
         np.fill_diagonal(related, 0)
         summed = (evidence @ (1 / (1 + related.sum(axis=1))))[:, None]
         slope, start = fit_linear(summed, (labels > 0).astype(float))
-        new = 1 / (1 + np.exp(-np.clip(summed[:, 0] * slope + start + trusted, -30, 30)))
+        new = sigmoid(summed[:, 0] * slope + start + trusted)
         if np.abs(new - belief).max() < 1e-4:
             break
         belief = new
     return belief
 
 
-def fit_linear(features: np.ndarray, target: np.ndarray, rounds: int = 30, ridge: float = 1.0) -> np.ndarray:
-    """Logistic regression by Newton steps on soft targets; the last weight is the constant."""
-    wide = np.column_stack([features, np.ones(len(features))]).astype(float)
-    weights = np.zeros(wide.shape[1])
-    penalty = np.full(wide.shape[1], ridge)
-    penalty[-1] = 1e-3
-    for _ in range(rounds):
-        guess = 1 / (1 + np.exp(-np.clip(wide @ weights, -30, 30)))
-        slope = wide.T @ (guess - target) + penalty * weights
-        curve = (wide * (guess * (1 - guess))[:, None]).T @ wide + np.diag(penalty)
-        step = np.linalg.solve(curve, slope)
-        weights -= step
-        if np.abs(step).max() < 1e-6:
-            break
-    return weights
-
-
 def _labelled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     """Texts and labels of at most ``rows`` labelled ids, chosen by a hash of the id."""
     chosen = (
@@ -234,7 +218,7 @@ def scorer(terms: list[str], weights: np.ndarray):
         names, own = shared.value
         voters = Voters(names)
         values = [float(voters.read(x)[1] @ own[:-1] + own[-1]) for x in texts(column)]
-        return pa.array(1 / (1 + np.exp(-np.clip(values, -30, 30))), pa.float64())
+        return pa.array(sigmoid(np.array(values, float)), pa.float64())
 
     return arrow_column(score, "double")
 
