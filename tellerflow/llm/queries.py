@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tellerflow.sources.tables import table
 
-from . import chat, decontaminate, langid, mixing, pii, simhash, toxicity
+from . import chat, decontaminate, hnsw, langid, mixing, pii, simhash, toxicity
 from .common import held_out
 
 
@@ -67,6 +67,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify(table(spark, sf_dir, "documents"))
     return found.select(
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_toxicity": op7_toxicity,
     "op8_source_mixing": op8_source_mixing,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_language_id": op10_language_id,
 }
 
