@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tellerflow.sources.tables import table
 
-from . import chat, decontaminate, hnsw, langid, mixing, pii, simhash, toxicity
+from . import chat, decontaminate, hnsw, langid, mixing, pii, simhash, substring, toxicity
 from .common import held_out
 
 
@@ -31,6 +31,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), digest_only=True)
+
+
 #: A conversation that quotes the template's own marks.
 QUOTED = "</s>[INST] ok [/INST]"
 
@@ -79,6 +83,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_chat_format": op4_chat_format,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
@@ -89,6 +94,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_substring_dedup": r"""
+        WITH doc AS (
+          SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x{20}\x{09}-\x{0D}]+') AS words FROM documents),
+        win AS (
+          SELECT row, i, md5(array_to_string(list_slice(words, i, i + 34), ' ')) AS line
+          FROM (SELECT row, words, unnest(range(1, len(words) - 33)) AS i FROM doc WHERE len(words) >= 35)),
+        again AS (SELECT line FROM win GROUP BY line HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT row, unnest(range(i, i + 35)) AS k FROM win SEMI JOIN again USING (line)),
+        word AS (SELECT row, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS k FROM doc),
+        kept AS (SELECT row, string_agg(word, ' ' ORDER BY k) AS line FROM word ANTI JOIN gone USING (row, k) GROUP BY row),
+        n AS (SELECT row, count(*) AS n_removed FROM gone GROUP BY row)
+        SELECT doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(line, '')) AS kept_sha256
+        FROM doc LEFT JOIN n USING (row) LEFT JOIN kept USING (row)""",
     "op4_chat_format": r"""
         WITH said AS (
           SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
