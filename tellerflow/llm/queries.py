@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tellerflow.sources.tables import table
 
-from . import chat, decontaminate, hnsw, langid, mixing, pii, simhash, substring, toxicity
+from . import chat, decontaminate, hnsw, langid, licences, mixing, pii, simhash, substring, toxicity
 from .common import held_out
 
 
@@ -31,6 +31,17 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents"))
+    confirmed = F.filter("found", lambda x: x["confirmed"])
+    return found.select(
+        "doc_id", F.size(confirmed).cast("long").alias("n_notices"),
+        (F.size("found") - F.size(confirmed)).cast("long").alias("n_unconfirmed"),
+        F.array_join(F.array_sort(F.array_distinct(confirmed["family"])), ",").alias("families"),
+        F.array_join(F.transform(confirmed, lambda x: F.concat_ws(":", x["family"], x["start"], x["end"])), ",").alias("notices"),
+    )
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"), digest_only=True)
 
@@ -83,6 +94,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_licence_scan": op2_licence_scan,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_chat_format": op4_chat_format,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
