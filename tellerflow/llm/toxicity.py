@@ -27,7 +27,7 @@ MINED_TERMS = 200
 #: A term that ends in ``~`` stands for all words that start so; stems have these lengths.
 STEMS = range(4, 9)
 THRESHOLD = 0.3
-#: How reliable a given label is taken to be.
+#: How reliable given labels are taken to be at first, and at most.
 LABEL_TRUST = 0.95
 
 #: Insults every model starts with.
@@ -96,13 +96,13 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25) -> np.n
     ``votes`` holds -1, 0, 1 by voter. Each voter has a distribution over its votes for either
     class; its evidence is divided by one plus its summed squared correlation, given the class,
     with the others. The given labels (0 or 1) start the estimation, put the summed evidence on
-    the scale of a probability, and stay one more voter of fixed reliability.
+    the scale of a probability, and are one more voter, as reliable as they agree with the others.
     """
     rows = len(votes)
     if not rows:
         return np.zeros(0)
-    trusted = np.where(labels > 0, 1, -1) * np.log(LABEL_TRUST / (1 - LABEL_TRUST))
-    belief = sigmoid(trusted)
+    side, trust = np.where(labels > 0, 1, -1), LABEL_TRUST
+    belief = sigmoid(side * np.log(trust / (1 - trust)))
     for _ in range(rounds):
         evidence = np.zeros(votes.shape)
         for kind in (-1, 0, 1):
@@ -119,7 +119,9 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25) -> np.n
         np.fill_diagonal(related, 0)
         summed = (evidence @ (1 / (1 + related.sum(axis=1))))[:, None]
         slope, start = fit_linear(summed, (labels > 0).astype(float))
-        new = sigmoid(summed[:, 0] * slope + start + trusted)
+        odds = summed[:, 0] * slope + start
+        trust = np.clip(sigmoid(side * odds).mean(), 0.6, LABEL_TRUST)
+        new = sigmoid(odds + side * np.log(trust / (1 - trust)))
         if np.abs(new - belief).max() < 1e-4:
             break
         belief = new
