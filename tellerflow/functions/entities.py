@@ -7,6 +7,7 @@ Catalyst drops those a query does not use.
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -15,19 +16,24 @@ from tellerflow.sources import catalogue
 
 # What an entity looks like in a lower-cased message.
 _SPACE = r"[\s\p{Z}\x1c-\x1f\x85]"
-MONEY = "decimal(18,2)"
-
-TRANSACTION_ID = rf"(?:transaction|id|#){_SPACE}*([t#]?\d{{5,}})"
-SLASH_DATE = r"(\d{1,2}/\d{1,2}/\d{2,4})"
-ISO_DATE = r"(\d{4}-\d{1,2}-\d{1,2})"
-DOLLAR_SIGN_AMOUNT = rf"\${_SPACE}*(\d+(?:,\d{{3}})*+(?:\.\d{{2}})?)"
+# The widest a decimal goes: an amount of more than 36 digits before the point counts as absent.
+MONEY = "decimal(38,2)"
+# Digits as Unicode understands them, and the same as the JVM's numbers read them.
+_DIGITS = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) == "Nd"]
+_PLAIN_DIGITS = "".join(str(unicodedata.decimal(d)) for d in _DIGITS)
+
+TRANSACTION_ID = rf"(?:transaction|id|#){_SPACE}*([t#]?\p{{Nd}}{{5,}})"
+SLASH_DATE = r"(\p{Nd}{1,2}/\p{Nd}{1,2}/\p{Nd}{2,4})"
+ISO_DATE = r"(\p{Nd}{4}-\p{Nd}{1,2}-\p{Nd}{1,2})"
+DOLLAR_SIGN_AMOUNT = rf"\${_SPACE}*(\p{{Nd}}+(?:,\p{{Nd}}{{3}})*+(?:\.\p{{Nd}}{{2}})?)"
 # Tried once per run of digits: a match inside a run would also start at its head.
-DOLLAR_WORD_AMOUNT = rf"(?<!\d)(\d++(?:,\d{{3}})*(?:\.\d{{2}})?){_SPACE}*dollars"
-# Letters and spaces between 'to' and 'account'; a character class instead of a
-# repeated group keeps the regex engine iterative on long messages.
-RECIPIENT = (
-    rf"to{_SPACE}+([a-zA-Z](?:[a-zA-Z\s\p{{Z}}\x1c-\x1f\x85]*[a-zA-Z])?){_SPACE}+account"
-)
+DOLLAR_WORD_AMOUNT = rf"(?<!\p{{Nd}})(\p{{Nd}}++(?:,\p{{Nd}}{{3}})*(?:\.\p{{Nd}}{{2}})?){_SPACE}*dollars"
+# Letters and spaces between 'to' and 'account'. First each run of them up to its last
+# 'account', entered at its head only; then what follows the first 'to' in it. Both
+# are linear, and together they find the match of the two words and all between.
+_LETTERS = r"[a-zA-Z\s\p{Z}\x1c-\x1f\x85]"
+BEFORE_ACCOUNT = rf"(?<!{_LETTERS})({_LETTERS}*{_SPACE})account"
+AFTER_TO = rf"to{_SPACE}+([a-zA-Z](?:{_LETTERS}*[a-zA-Z])?)"
 
 
 def contains_any(text: Column, words: list[str]) -> Column:
@@ -110,13 +116,16 @@ def message_date_range(named: Column, ts: Column) -> Column:
 def amount(word: Column, sign: Column) -> Column:
     """``n dollars`` overrides ``$n``; commas removed."""
     found = F.when(word != "", word).when(sign != "", sign)
-    return F.replace(found, F.lit(","), F.lit("")).try_cast(MONEY)
+    plain = F.replace(found, F.lit(","), F.lit(""))
+    ascii_only = F.when(plain.rlike(r"[^\x00-\x7F]"), F.translate(plain, "".join(_DIGITS), _PLAIN_DIGITS)).otherwise(plain)
+    return ascii_only.try_cast(MONEY)
 
 
 def recipient(text: Column) -> Column:
-    """The pattern is only tried where both words occur."""
-    found = F.when(text.contains("to ") & text.contains(" account"), first_match(text, RECIPIENT))
-    return F.nullif(found, F.lit(""))
+    """The patterns are only tried where both words occur."""
+    heads = F.regexp_extract_all(text, F.lit(BEFORE_ACCOUNT), F.lit(1))
+    names = F.filter(F.transform(heads, lambda head: first_match(head, AFTER_TO)), lambda name: name != "")
+    return F.when(text.contains("to") & text.contains("account"), F.get(names, 0))
 
 
 def with_entities(messages: DataFrame, message: str = "message", ts: str = "ts") -> DataFrame:

@@ -95,7 +95,8 @@ def apply_model(prompts: DataFrame, model: Callable[[list[str]], list[str]], pro
 
     def one(text: str) -> str | None:
         try:
-            return model([text])[0]
+            (answer,) = model([text])
+            return answer
         except Exception:
             return None
 
@@ -105,6 +106,8 @@ def apply_model(prompts: DataFrame, model: Callable[[list[str]], list[str]], pro
             texts = frame.loc[asked, prompt].tolist()
             try:
                 answers = list(model(texts)) if texts else []
+                if len(answers) != len(texts):
+                    raise ValueError("the model must give one answer per prompt")
             except Exception:
                 answers = [one(t) for t in texts]
             raw = pd.Series([None] * len(frame), index=frame.index, dtype=object)

@@ -29,7 +29,7 @@ def fill(template: str, **values: Column) -> Column:
 
 def money(value: Column) -> Column:
     """Two decimals, no grouping."""
-    return value.cast("decimal(18,2)").cast("string")
+    return value.cast("decimal(38,2)").cast("string")
 
 
 def reply(name: str, **values: Column) -> Column:

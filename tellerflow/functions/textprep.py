@@ -9,6 +9,7 @@ that could not match them.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import reduce
 
@@ -129,14 +130,15 @@ def keep_tokens(tokens: Column) -> Column:
 
 
 def lemmatize_with(tokens: Column, lemmas: dict[str, str]) -> Column:
-    """Replace tokens by a small literal table (a few hundred entries at most);
-    domain terms stay as they are."""
+    """Replace tokens by a literal table; domain terms stay as they are.
+
+    Any size gives the same result, but each hit searches the whole literal: large
+    tables are for ``lemmas.lemmatize_tokens``, which joins them.
+    """
     used = {token: lemma for token, lemma in lemmas.items() if token not in catalogue.DOMAIN_TERMS}
     if not used:
         return tokens
-    if len(used) > 500:
-        raise ValueError("use lemmatize_tokens with a lemma table for large dictionaries")
-    table = F.create_map(*[F.lit(part) for pair in used.items() for part in pair])
+    table = F.from_json(F.lit(json.dumps(used)), "map<string,string>")
     return F.transform(tokens, lambda t: F.when(t.isin(*used), F.try_element_at(table, t)).otherwise(t))
 
 

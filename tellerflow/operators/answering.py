@@ -8,28 +8,39 @@ from tellerflow.functions import render
 from tellerflow.functions.intents import with_base_intent
 from tellerflow.operators import dialogue, ledger as lookups
 from tellerflow.operators.timeline import HOT_ROWS
+from tellerflow.sources.files import store
 
 
 def requests(understood: DataFrame) -> DataFrame:
-    """The distinct dates, ranges and transaction ids users ask about; all are
-    known from the message alone, before any dialogue state.
+    """The distinct facts users ask about, known from the message alone: a message
+    that answers a pending question needs none.
 
     The outer explode keeps the test for "asks something" above the extraction:
     as a plain filter it would be pushed below it and repeat every regex.
     """
     e = F.col("entities")
+    kind, _ = lookups.lookup_request(F.col("base_intent"), e)
     start, end = lookups.requested_range(e)
-    asked = F.struct(start.alias("start"), end.alias("end"), e["transaction_id"].alias("transaction_id"))
-    asks = F.when(start.isNotNull() | e["transaction_id"].isNotNull(), F.array(asked))
-    found = understood.select("user_id", F.explode_outer(asks).alias("asked"))
+    asked = F.struct(
+        kind.alias("kind"),
+        F.when(kind == "range", start).alias("start"),
+        F.when(kind == "range", end).alias("end"),
+        F.when(kind == "id", e["transaction_id"]).alias("transaction_id"),
+    )
+    found = understood.select("user_id", F.explode_outer(F.when(kind.isNotNull(), F.array(asked))).alias("asked"))
     return found.filter(F.col("asked").isNotNull()).select("user_id", "asked.*").distinct()
 
 
 def with_response(scored: DataFrame, facts: DataFrame) -> DataFrame:
-    """Add the reply to each scored message: one left join, then expressions."""
+    """Add the reply to each scored message.
+
+    Only messages that need a fact go to the join. ``scored`` is read twice: pass
+    a stored or cached frame.
+    """
     kind, arg = lookups.lookup_request(F.col("intent"), F.col("entities"))
     asked = scored.withColumns({"kind": kind, "arg": arg, "account_type": F.col("active_account")})
-    joined = asked.join(facts, lookups.LOOKUP, "left")
+    found = asked.filter(F.col("kind").isNotNull()).join(facts, lookups.LOOKUP, "left").select(*asked.columns, "fact")
+    rest = asked.filter(F.col("kind").isNull()).withColumn("fact", F.lit(None).cast("string"))
     text = render.response(
         F.col("intent"),
         F.col("entities"),
@@ -40,7 +51,7 @@ def with_response(scored: DataFrame, facts: DataFrame) -> DataFrame:
         F.col("pending_amount"),
         F.col("pending_recipient"),
     )
-    return joined.withColumn("response", text).drop("kind", "arg", "account_type", "fact")
+    return found.unionByName(rest).withColumn("response", text).drop("kind", "arg", "account_type", "fact")
 
 
 def failed(messages: DataFrame) -> DataFrame:
@@ -52,8 +63,12 @@ def failed(messages: DataFrame) -> DataFrame:
 
 
 def answer(messages: DataFrame, accounts: DataFrame, ledger: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Messages (event_id, user_id, ts, message) with intent, confidence, state and reply."""
+    """Messages (event_id, user_id, ts, message) with intent, confidence, state and reply.
+
+    Extraction runs once, the dialogue once; both results are stored.
+    """
     spoken = messages.filter(F.col("message").isNotNull())
-    facts = lookups.facts(accounts, ledger, requests(with_base_intent(spoken)))
-    answered = with_response(dialogue.score(spoken, hot_rows), facts)
-    return answered.unionByName(failed(messages), allowMissingColumns=True)
+    understood = store(with_base_intent(spoken).drop("text"), "understood")
+    facts = lookups.facts(accounts, ledger, requests(understood))
+    scored = store(dialogue.score(understood, hot_rows), "scored")
+    return with_response(scored, facts).unionByName(failed(messages), allowMissingColumns=True)

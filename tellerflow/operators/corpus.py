@@ -61,7 +61,8 @@ def intent_mapping(tables: dict[str, DataFrame], lemmas: dict[str, str] | None =
         if canned:
             total = total.withColumn("response", F.lit(canned))
         else:
-            first = rows.select(key, "answer").join(F.broadcast(total), key)  # one row
+            # the id may repeat: the least of its answers counts once
+            first = rows.select(key, "answer").join(total, key).groupBy("count").agg(F.min("answer").alias("answer"))
             total = first.withColumn("response", preprocess(F.col("answer"), lemmas))
         parts.append(
             total.select(F.lit(intent).alias("intent"), "count", F.col("response").alias("sample_response"), F.lit(rank).alias("src_rank"))
@@ -76,11 +77,11 @@ def summarize(corpus: DataFrame) -> DataFrame:
     and source, fetch their responses.
     """
     firsts = corpus.groupBy("intent", "src_rank").agg(F.count("*").alias("count"), F.min("row_id").alias("row_id"))
-    found = corpus.select("intent", "src_rank", "row_id", "response").join(
-        F.broadcast(firsts), ["intent", "src_rank", "row_id"]
-    )
+    found = corpus.select("intent", "src_rank", "row_id", "response").join(firsts, ["intent", "src_rank", "row_id"])
     return (
-        found.groupBy("intent")
+        found.groupBy("intent", "src_rank", "row_id")
+        .agg(F.first("count").alias("count"), F.min("response").alias("response"))
+        .groupBy("intent")
         .agg(
             F.sum("count").alias("count"),
             F.min_by("response", F.struct("src_rank", "row_id")).alias("sample_response"),

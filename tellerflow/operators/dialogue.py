@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tellerflow.functions.entities import MONEY
 from tellerflow.functions.intents import follow_up, with_base_intent
 from tellerflow.operators.timeline import HOT_ROWS, Latest, Position, Previous, Trailing, along_timeline
 from tellerflow.sources import catalogue
@@ -73,7 +74,7 @@ def pending_change(intent: Column, entities: Column, account: Column, recipient:
     def pending(kind, amount, to, source):
         return F.struct(
             kind.cast("string").alias("type"),
-            amount.cast("decimal(18,2)").alias("amount"),
+            amount.cast(MONEY).alias("amount"),
             to.cast("string").alias("recipient"),
             source.cast("string").alias("from_account"),
         )

@@ -77,42 +77,46 @@ def recent_transactions(ledger: DataFrame, limit: int = LISTED) -> DataFrame:
     return newest(ledger, ACCOUNT, limit)
 
 
-def daily_listing(ledger: DataFrame, limit: int = LISTED) -> DataFrame:
-    """Per account and day its first rows as one array, and in ``upto`` the newest
-    rows of the account up to that day.
-
-    ``upto`` looks back over at most ``limit`` days of at most ``limit`` rows;
-    the window runs over days, whose number per account the calendar bounds.
-    """
+def daily_rows(ledger: DataFrame, limit: int = LISTED) -> DataFrame:
+    """Per account and day its first rows as one array."""
     keys = [*ACCOUNT, "date"]
-    days = newest(ledger, keys, limit).groupBy(*keys).agg(
+    return newest(ledger, keys, limit).groupBy(*keys).agg(
         _newest_first(F.collect_list(F.struct(*_ROW)), limit).alias("rows")
     )
-    back = Window.partitionBy(*ACCOUNT).orderBy("date").rowsBetween(-(limit - 1), 0)
-    return days.withColumn("upto", _newest_first(F.flatten(F.collect_list("rows").over(back)), limit))
 
 
-def recent_listing(days: DataFrame) -> DataFrame:
-    """Listing of every account: the newest rows up to its last day."""
-    return days.groupBy(*ACCOUNT).agg(F.max_by("upto", "date").alias("rows"))
+def daily_listing(ledger: DataFrame, limit: int = LISTED) -> DataFrame:
+    """The days of each account, and in ``upto`` its newest rows up to each day.
+
+    ``upto`` looks back over at most ``limit`` days of at most ``limit`` rows.
+    """
+    back = Window.partitionBy(*ACCOUNT).orderBy("date").rowsBetween(-(limit - 1), 0)
+    days = daily_rows(ledger, limit)
+    return days.withColumn("upto", _newest_first(F.flatten(F.collect_list("rows").over(back)), limit))
 
 
-def range_listing(days: DataFrame, requests: DataFrame) -> DataFrame:
-    """Listing for each requested closed date range (user_id, account_type, start, end).
+def as_of(days: DataFrame, asked: DataFrame, limit: int = LISTED) -> DataFrame:
+    """For each distinct question (user_id, account_type, start, end) the newest rows of the closed range.
 
-    The newest rows up to the end of a range, less those before its start, are
-    its listing. So a request takes ``upto`` of the last day not after its end:
-    an as-of lookup over days and distinct requests, exact for any range.
+    The newest rows up to the end of a range, less those before its start, are its
+    listing. Days and questions share one timeline and one exchange: a question
+    counts the days before its end, and collects the last ``limit`` of them.
     """
-    asked = requests.select(*ACCOUNT, "start", F.col("end").alias("date")).distinct()
-    points = days.select(*ACCOUNT, "date", "upto").unionByName(asked, allowMissingColumns=True)
-    along = Window.partitionBy(*ACCOUNT).orderBy("date", F.col("start").isNotNull())
-    found = points.withColumn("upto", F.last("upto", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    return (
-        found.filter(F.col("start").isNotNull())
-        .withColumn("rows", F.filter("upto", lambda r: r["date"] >= F.col("start")))
-        .select(*ACCOUNT, "start", F.col("date").alias("end"), "rows")
+    points = days.select(*ACCOUNT, "date", "rows").unionByName(
+        asked.select(*ACCOUNT, "start", F.col("end").alias("date")).distinct(), allowMissingColumns=True
     )
+    is_question = F.col("rows").isNull()
+    along = Window.partitionBy(*ACCOUNT).orderBy("date", is_question).rowsBetween(Window.unboundedPreceding, 0)
+    points = points.withColumn("days", F.count("rows").over(along))
+    back = Window.partitionBy(*ACCOUNT).orderBy("days").rangeBetween(-(limit - 1), 0)
+    found = points.withColumn("upto", F.collect_list("rows").over(back)).filter(is_question)
+    rows = F.filter(_newest_first(F.flatten("upto"), limit), lambda r: r["date"] >= F.col("start"))
+    return found.select(*ACCOUNT, "start", F.col("date").alias("end"), rows.alias("rows"))
+
+
+def recent_listing(days: DataFrame) -> DataFrame:
+    """Listing of every account: the newest rows up to its last day."""
+    return days.groupBy(*ACCOUNT).agg(F.max_by("upto", "date").alias("rows"))
 
 
 def balances(asked: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -143,7 +147,7 @@ def transactions(asked: DataFrame, ledger: DataFrame, limit: int = LISTED) -> Da
         }
     )
     ranges = listings.select(*ACCOUNT, F.col("_from").alias("start"), F.col("_to").alias("end"))
-    found = range_listing(daily_listing(ledger, limit), ranges).withColumnsRenamed({"start": "_from", "end": "_to"})
+    found = as_of(daily_rows(ledger, limit), ranges, limit).withColumnsRenamed({"start": "_from", "end": "_to"})
     listed = listings.join(found, [*ACCOUNT, "_from", "_to"]).select(
         *columns, F.posexplode("rows").alias("place", "row")
     )
@@ -186,51 +190,44 @@ def range_arg(start: Column, end: Column) -> Column:
 
 
 def facts(accounts: DataFrame, ledger: DataFrame, requests: DataFrame) -> DataFrame:
-    """Everything a reply can quote, one row per (user, account, kind, arg).
+    """Everything the replies can quote, one row per (user, account, kind, arg).
 
     One keyed table instead of four lets messages be shuffled once for all
-    lookups. ``requests`` holds the distinct (user_id, start, end,
-    transaction_id) users ask about; a range is answered for either account.
-    Listings are made for what is asked, not for every day of the ledger.
+    lookups. ``requests`` holds the distinct (user_id, kind, start, end,
+    transaction_id) users ask about (see ``answering.requests``); a question is
+    answered for either account. Accounts and ledger are cut to the users who ask.
     """
+
+    def askers(*kinds: str) -> DataFrame:
+        return requests.filter(F.col("kind").isin(*kinds)).select("user_id").distinct()
+
     either = F.explode(F.array(*[F.lit(a) for a in catalogue.ACCOUNT_TYPES]))
-    ranges = requests.filter(F.col("start").isNotNull()).select(
-        "user_id", either.alias("account_type"), "start", F.col("end").alias("date")
-    ).distinct()
-
-    # Days and requested ranges on one timeline per account: a range takes what
-    # the last day before its end carries; the very last day answers 'recent'.
-    last = Window.partitionBy(*ACCOUNT).orderBy("date")
-    days = daily_listing(ledger).withColumn("is_last", F.lead("date").over(last).isNull())
-    points = days.drop("rows").unionByName(ranges, allowMissingColumns=True)
-    along = Window.partitionBy(*ACCOUNT).orderBy("date", F.col("start").isNotNull())
-    points = points.withColumn(
-        "upto", F.last("upto", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    # the newest rows of all are those of the range from before every date to after it
+    is_range = F.col("kind") == "range"
+    ranges = requests.filter(F.col("kind").isin("recent", "range")).select(
+        "user_id",
+        either.alias("account_type"),
+        F.when(is_range, F.col("start")).otherwise("").alias("start"),
+        F.when(is_range, F.col("end")).otherwise("~").alias("end"),
     )
-    start = F.col("start")
-    listings = (
-        points.filter(start.isNotNull() | F.col("is_last"))
-        .select(
-            *ACCOUNT,
-            F.when(start.isNull(), "recent").otherwise("range").alias("kind"),
-            F.when(start.isNull(), "").otherwise(range_arg(start, F.col("date"))).alias("arg"),
-            F.when(start.isNull(), F.col("upto"))
-            .otherwise(F.filter("upto", lambda r: r["date"] >= start))
-            .alias("rows"),
-        )
-        .filter(F.size("rows") > 0)
-        .select(*ACCOUNT, "kind", "arg", bullet_list(F.transform("rows", signed_line)).alias("fact"))
+    days = daily_rows(ledger.join(askers("recent", "range"), "user_id", "left_semi"))
+    whole = (F.col("start") == "") & (F.col("end") == "~")
+    listings = as_of(days, ranges).filter(F.size("rows") > 0).select(
+        *ACCOUNT,
+        F.when(whole, "recent").otherwise("range").alias("kind"),
+        F.when(whole, "").otherwise(range_arg(F.col("start"), F.col("end"))).alias("arg"),
+        bullet_list(F.transform("rows", signed_line)).alias("fact"),
     )
 
     # Only ledger rows somebody asks for; the first one where an id repeats.
-    wanted = requests.filter(F.col("transaction_id").isNotNull()).select("user_id", F.col("transaction_id").alias("id"))
+    wanted = requests.filter(F.col("kind") == "id").select("user_id", F.col("transaction_id").alias("id"))
     by_id = (
         ledger.join(wanted.distinct(), ["user_id", "id"], "left_semi")
         .groupBy(*ACCOUNT, "id")
         .agg(F.min_by(detail_line(F.struct(*_ROW)), "pos").alias("fact"))
         .select(*ACCOUNT, F.lit("id").alias("kind"), F.col("id").alias("arg"), "fact")
     )
-    balance = accounts.select(
+    balance = accounts.join(askers("balance"), "user_id", "left_semi").select(
         *ACCOUNT, F.lit("balance").alias("kind"), F.lit("").alias("arg"), F.col("balance").cast("string").alias("fact")
     )
     return balance.unionByName(listings).unionByName(by_id)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from tellerflow.sources import catalogue
@@ -37,19 +39,27 @@ def noun_lemmas(tokens: DataFrame, lexicon: DataFrame, exceptions: DataFrame | N
     return shortest.select("token", F.col("best.lemma").alias("lemma")).filter(F.col("token") != F.col("lemma"))
 
 
-def lemmatize_tokens(documents: DataFrame, key: str, tokens: str, lemmas: DataFrame) -> DataFrame:
-    """(key, lemmas): token arrays with the lemma table applied.
+def lemmatize_tokens(
+    documents: DataFrame, key: str, tokens: str, lemmas: DataFrame, endings: list[str] | None = None
+) -> DataFrame:
+    """(key, lemmas): token arrays with the lemma table applied; ``key`` identifies a row.
 
-    The table joins the exploded tokens, as a broadcast when Spark finds it
-    small enough and as a shuffled join otherwise; a frequent token then makes a
-    skewed partition, which AQE splits. Pass a stored table (``files.store``):
-    the size of a computed one is only guessed, and a wrong guess shuffles every
-    token. Regrouping gathers one document's tokens.
+    Only a document's distinct tokens are looked up, with ``endings`` only those
+    that end so (all the table's tokens must). What is found comes back as one
+    small map per document and is applied to the array in its place. A frequent
+    token makes a skewed partition of the lookup, which AQE splits. Pass a stored
+    table (``files.store``), whose size the planner knows.
     """
-    exploded = documents.select(key, F.posexplode_outer(tokens).alias("place", "token"))
-    replaced = exploded.join(lemmas, "token", "left").select(
-        key, "place", F.coalesce("lemma", "token").alias("lemma")
+
+    def may_change(token):
+        tests = [token.endswith(e) for e in endings or []]
+        return reduce(lambda a, b: a | b, tests) if tests else token.isNotNull()
+
+    asked = documents.select(key, F.explode(F.array_distinct(F.filter(tokens, may_change))).alias("token"))
+    found = asked.join(lemmas, "token").groupBy(key).agg(
+        F.map_from_entries(F.collect_set(F.struct("token", "lemma"))).alias("found")
+    )
+    words = F.transform(F.filter(tokens, lambda t: t.isNotNull()), lambda t: F.coalesce(F.try_element_at("found", t), t))
+    return documents.select(key, tokens).join(found, key, "left").select(
+        key, F.when(F.col("found").isNull(), F.filter(tokens, lambda t: t.isNotNull())).otherwise(words).alias("lemmas")
     )
-    ordered = replaced.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("place", "lemma"))).alias("parts"))
-    words = F.filter(F.transform("parts", lambda p: p["lemma"]), lambda w: w.isNotNull())
-    return ordered.select(key, words.alias("lemmas"))

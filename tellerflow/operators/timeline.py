@@ -22,16 +22,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tellerflow.session import shared_folder
+from tellerflow.sources.files import store
 
-# A task sorts this many rows of one key without trouble (it may spill). It also
-# bounds the hot keys: at most rows / HOT_ROWS of them exist, so even 10^13 rows
-# leave two million keys, a few MB.
+# A task sorts this many rows of one key without trouble (it may spill); it is also
+# the size of a slice.
 HOT_ROWS = 5_000_000
 
-# Tasks a range partitioning may have; the carry table has a row or two for each.
-MAX_SLICES = 100_000
-
-
 @dataclass(frozen=True)
 class Previous:
     """Value of the row before, null on the first row."""
@@ -99,11 +95,12 @@ class SliceFrame:
         return SliceFrame(rows, self.key, self.order)
 
     def derive(self, **specs) -> "SliceFrame":
-        order = F.struct(*self.order)
-        w = self.window
+        """One exchange of the rows, on (key, slice); its result is stored, so that
+        neither the carry nor a later step repeats what came before."""
+        order, w = F.struct(*self.order), self.window
         local = self.rows.withColumns(
             {"_row": F.row_number().over(w), **{f"_l_{n}": _local(s, w) for n, s in specs.items()}}
-        )
+        ).checkpoint()
 
         # What each slice leaves behind, then what reaches each slice.
         leaves = [F.count("*").alias("_count")]
@@ -113,9 +110,9 @@ class SliceFrame:
             elif isinstance(spec, Latest):
                 leaves.append(F.max_by(spec.value, F.when(spec.value.isNotNull(), order)).alias(name))
             elif isinstance(spec, Trailing):
-                full = _local(Trailing(spec.value, spec.n), w)
-                local = local.withColumn(f"_t_{name}", full)
-                leaves.append(F.max_by(f"_t_{name}", order).alias(name))
+                mine = F.col(f"_l_{name}")
+                full = mine if spec.inclusive else F.concat(mine, F.array_compact(F.array(spec.value)))
+                leaves.append(F.max_by(_last(full, spec.n), order).alias(name))
         left = local.groupBy(self.key, self.SLICE).agg(*leaves)
 
         across = Window.partitionBy(self.key).orderBy(self.SLICE)
@@ -129,11 +126,10 @@ class SliceFrame:
             elif isinstance(spec, Trailing):
                 # each slice before holds at least one row, so n slices hold n values
                 lists = F.collect_list(name).over(across.rowsBetween(-spec.n, -1))
-                carries.append(F.flatten(lists).alias(f"_c_{name}"))
+                carries.append(_last(F.flatten(lists), spec.n).alias(f"_c_{name}"))
         carry = left.select(*carries)
 
-        # One row per key and slice: at most (partitions + hot keys) rows.
-        joined = local.join(F.broadcast(carry), [self.key, self.SLICE], "left")
+        joined = local.join(carry, [self.key, self.SLICE], "left")
         out = {}
         for name, spec in specs.items():
             mine, carried = F.col(f"_l_{name}"), F.col(f"_c_{name}") if not isinstance(spec, Position) else None
@@ -144,10 +140,13 @@ class SliceFrame:
             elif isinstance(spec, Latest):
                 out[name] = F.coalesce(mine, carried)
             else:
-                both = F.concat(F.coalesce(carried, F.array()), mine)
-                out[name] = F.slice(both, F.greatest(F.size(both) - spec.n + 1, F.lit(1)), spec.n)
+                out[name] = _last(F.concat(F.coalesce(carried, F.array()), mine), spec.n)
         rows = joined.withColumns(out)
-        return self.with_rows(rows.drop(*[c for c in rows.columns if c[:3] in ("_l_", "_c_", "_t_")], "_row", "_offset"))
+        return self.with_rows(rows.drop(*[c for c in rows.columns if c[:3] in ("_l_", "_c_")], "_row", "_offset"))
+
+
+def _last(values: Column, n: int) -> Column:
+    return F.slice(values, F.greatest(F.size(values) - n + 1, F.lit(1)), n)
 
 
 def _local(spec, window) -> Column:
@@ -185,13 +184,13 @@ def along_timeline(
     hot = hot_keys(rows if counted is None else counted, key, hot_rows)
     if hot.isEmpty():
         return steps(KeyFrame(prepare(rows), key, order))
-    shared_folder(rows.sparkSession)
-    hot = hot.checkpoint()
+    # stored: read several times below, and the planner knows how small the keys are
+    hot, rows = store(hot, "hot-keys"), store(rows, "timeline")
     # one number: how many slices of about hot_rows rows the hot keys fill
     slices = int(hot.agg(F.sum("n")).first()[0]) // max(hot_rows, 1) + 1
     hot = hot.select(key)
-    few = rows.join(F.broadcast(hot), key, "left_anti").select(*rows.columns)
-    many = rows.join(F.broadcast(hot), key, "left_semi").select(*rows.columns)
+    few = rows.join(hot, key, "left_anti").select(*rows.columns)
+    many = rows.join(hot, key, "left_semi").select(*rows.columns)
     ordinary = steps(KeyFrame(prepare(few), key, order))
-    sliced = steps(SliceFrame.cut(many, key, order, min(slices, MAX_SLICES), prepare))
+    sliced = steps(SliceFrame.cut(many, key, order, slices, prepare))
     return ordinary.unionByName(sliced.drop(SliceFrame.SLICE).select(*ordinary.columns))

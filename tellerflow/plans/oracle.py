@@ -10,7 +10,7 @@ from __future__ import annotations
 from tellerflow.functions.prompts import CLASSIFY, REPLY
 from tellerflow.sources import catalogue as c
 from tellerflow.sources import tables
-from tellerflow.sources.generate import AS_OF, SEED, USERS
+from tellerflow.sources.generate import AS_OF, SEED
 
 ORACLES: dict[str, str] = {}
 
@@ -189,16 +189,17 @@ def _entities(view: str) -> str:
          WHEN contains(t, 'this month') THEN strftime(ts, '%Y-%m-%d')
          WHEN contains(t, 'last month') THEN strftime(date_trunc('month', ts) - INTERVAL 1 DAY, '%Y-%m-%d')
     END AS range_end,
-    CAST(CASE WHEN worded <> '' THEN replace(worded, ',', '') WHEN signed <> '' THEN replace(signed, ',', '') END
-         AS DECIMAL(18,2)) AS amount,
+    CAST(translate(CASE WHEN worded <> '' THEN replace(worded, ',', '') WHEN signed <> '' THEN replace(signed, ',', '') END,
+      '٠١٢٣٤٥٦٧٨٩', '0123456789')
+         AS DECIMAL(38,2)) AS amount,
     CASE WHEN contains(t, 'to ') AND contains(t, ' account') THEN nullif(trim(
       regexp_extract(t, 'to\\s+([a-zA-Z]+(?:\\s+[a-zA-Z]+)*)\\s+account', 1)), '') END AS recipient
   FROM (
-    SELECT *, regexp_extract(t, '(?:transaction|id|#)\\s*([t#]?\\d{{5,}})', 1) AS idm,
-      regexp_extract(t, '(\\d{{1,2}}/\\d{{1,2}}/\\d{{2,4}})', 1) AS slash,
-      regexp_extract(t, '(\\d{{4}}-\\d{{1,2}}-\\d{{1,2}})', 1) AS iso,
-      regexp_extract(t, '\\$\\s*(\\d+(?:,\\d{{3}})*(?:\\.\\d{{2}})?)', 1) AS signed,
-      regexp_extract(t, '(\\d+(?:,\\d{{3}})*(?:\\.\\d{{2}})?)\\s*dollars', 1) AS worded
+    SELECT *, regexp_extract(t, '(?:transaction|id|#)\\s*([t#]?\\p{{Nd}}{{5,}})', 1) AS idm,
+      regexp_extract(t, '(\\p{{Nd}}{{1,2}}/\\p{{Nd}}{{1,2}}/\\p{{Nd}}{{2,4}})', 1) AS slash,
+      regexp_extract(t, '(\\p{{Nd}}{{4}}-\\p{{Nd}}{{1,2}}-\\p{{Nd}}{{1,2}})', 1) AS iso,
+      regexp_extract(t, '\\$\\s*(\\p{{Nd}}+(?:,\\p{{Nd}}{{3}})*(?:\\.\\p{{Nd}}{{2}})?)', 1) AS signed,
+      regexp_extract(t, '(\\p{{Nd}}+(?:,\\p{{Nd}}{{3}})*(?:\\.\\p{{Nd}}{{2}})?)\\s*dollars', 1) AS worded
     FROM (SELECT *, lower(message) AS t FROM ({view}) AS raw) AS lowered) AS matched"""
 
 
@@ -238,14 +239,20 @@ ORACLES["relative_dates"] = f"SELECT {_ENTITY_COLUMNS} FROM ({_entities(tables.E
 ORACLES["intent_base"] = f"""
 SELECT event_id, message, base_intent, base_confidence, base_state
 FROM ({_labelled(_entities(tables.ENTITY_MESSAGES))}) AS l"""
+ORACLES["document_entities"] = f"SELECT {_ENTITY_COLUMNS} FROM ({_entities(tables.DOCUMENT_MESSAGES)}) AS e"
+ORACLES["conversation_entities"] = f"""
+SELECT {_ENTITY_COLUMNS}, base_intent FROM ({_labelled(_entities(tables.CONVERSATION_MESSAGES))}) AS l"""
 _BASE = _labelled(_entities(tables.UTTERANCES))
 ORACLES["intent_counts"] = f"""
 SELECT base_intent, base_confidence, count(*) AS n FROM ({_BASE}) AS l GROUP BY ALL"""
 
 # --- Dialogue ----------------------------------------------------------------
 
-_SCORED = f"""
-base AS MATERIALIZED ({_BASE}),
+
+def _scored(view: str) -> str:
+    """The dialogue over a view of messages: base, asked, ..., scored."""
+    return f"""
+base AS MATERIALIZED ({_labelled(_entities(view))}),
 asked AS (
   SELECT *, lag(base_state) OVER u AS asked_state, lag(amount) OVER u AS asked_amount,
     lag(recipient) OVER u AS asked_recipient,
@@ -277,8 +284,14 @@ scored AS MATERIALIZED (
     CASE WHEN answered THEN asked_amount END AS pending_amount,
     CASE WHEN answered THEN asked_recipient END AS pending_recipient
   FROM runs)"""
+
+
+_SCORED = _scored(tables.UTTERANCES)
 ORACLES["dialogue_state"] = f"""
 WITH {_SCORED} SELECT event_id, user_id, intent, CAST(confidence AS DOUBLE) AS confidence, state FROM scored"""
+ORACLES["conversation_state"] = f"""
+WITH {_scored(tables.CONVERSATION_MESSAGES)}
+SELECT event_id, user_id, intent, CAST(confidence AS DOUBLE) AS confidence, state, active_account FROM scored"""
 ORACLES["active_account"] = f"WITH {_SCORED} SELECT event_id, active_account FROM scored"
 ORACLES["pending_action"] = f"""
 WITH {_SCORED},
@@ -481,19 +494,25 @@ ORACLES["prompt_context"] = f"WITH {_ANSWERED} SELECT event_id, {_CONTEXT} AS co
 
 _CHECKED = f"""
 requests AS ({tables.REGISTRATIONS}),
-valid AS (SELECT * FROM requests WHERE username <> '' AND has_password AND passwords_match),
+valid AS (
+  SELECT * FROM requests WHERE length(username) >= 3 AND has_password AND password_length >= 8 AND passwords_match),
 ranked AS (SELECT id, row_number() OVER (PARTITION BY username ORDER BY id) AS rn FROM valid),
 checked AS (
   SELECT r.*, CASE WHEN r.username = '' OR NOT r.has_password THEN 'missing_field'
+      WHEN length(r.username) < 3 OR r.password_length < 8 THEN 'too_short'
       WHEN NOT r.passwords_match THEN 'password_mismatch'
       WHEN k.rn = 1 THEN 'accepted' ELSE 'name_taken' END AS status
   FROM requests r LEFT JOIN ranked k ON k.id = r.id)"""
 ORACLES["unique_users"] = f"WITH {_CHECKED} SELECT id, username, created_at FROM checked WHERE status = 'accepted'"
 ORACLES["registration_check"] = f"WITH {_CHECKED} SELECT id, username, status FROM checked"
 ORACLES["chat_orphans"] = f"""
-WITH {_LOG}, {_CHECKED}
-SELECT id, user_id, intent FROM chat_rows r
-WHERE NOT EXISTS (SELECT 1 FROM checked k WHERE k.status = 'accepted' AND k.username = 'user' || r.user_id)"""
+WITH {_LOG}
+SELECT id, user_id, intent FROM chat_rows WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)"""
+ORACLES["latest_chats"] = f"""
+WITH {_LOG}
+SELECT id, message, response FROM chat_rows WHERE user_id = {tables.SHOWN_USER} ORDER BY timestamp DESC, id DESC LIMIT 10"""
+ORACLES["user_lookup"] = f"""
+WITH {_CHECKED} SELECT id, username, created_at FROM checked WHERE status = 'accepted' AND username = 'user{tables.SHOWN_USER}'"""
 
 # --- Prompts -----------------------------------------------------------------
 
@@ -510,7 +529,8 @@ labelled AS (
     CAST(CASE WHEN raw IS NULL THEN 0 WHEN label IN {_in(c.INTENT_TAGS)} THEN 0.9 ELSE 0.5 END AS DOUBLE) AS confidence
   FROM labels_checked),
 templates AS (
-  SELECT * FROM (VALUES {", ".join(f"({_s(t)}, {_list(r)})" for t, _, r in c.DEFAULT_INTENTS)}) AS v(tag, choices))"""
+  SELECT tag, choices || ['Another way: ' || choices[1], tag || '?'] AS choices
+  FROM (VALUES {", ".join(f"({_s(t)}, {_list(r)})" for t, _, r in c.DEFAULT_INTENTS)}) AS v(tag, choices))"""
 _CHOSEN = f"coalesce(t.choices[b.event_id % len(t.choices) + 1], {_s(c.REPLIES['unknown_tag'])})"
 ORACLES["label_validate"] = f"""
 WITH base AS ({_BASE}), {_RAW} SELECT event_id, raw, intent, confidence FROM labelled"""
@@ -546,7 +566,7 @@ SELECT conv_id, turn, regexp_replace(regexp_replace(
 FROM conversations"""
 ORACLES["locale_map"] = f"""
 SELECT doc_id, lang, CASE lang {" ".join(f"WHEN {_s(k)} THEN {_s(v)}" for k, v in c.LOCALES.items())}
-  ELSE {_s(c.DEFAULT_LOCALE)} END AS locale FROM documents"""
+  ELSE {_s(c.DEFAULT_LOCALE)} END AS locale FROM ({tables.LANGUAGES}) AS l"""
 
 # --- Files -------------------------------------------------------------------
 
@@ -560,6 +580,45 @@ SELECT p_partkey, p_brand AS intent, 0 AS place, 'About ' || p_name AS template
 UNION ALL SELECT p_partkey, p_brand, 1, p_type FROM part
 UNION ALL SELECT p_partkey, 'fallback', 0, 'Which "' || p_type || '"?' FROM part"""
 
+ORACLES["tolerant_scan"] = """
+SELECT 'complaints' AS name, count(*) AS n, min(o_orderkey) + 1 AS first, max(o_orderkey) + 1 AS last FROM orders
+UNION ALL SELECT 'faqs', count(*), min(doc_id) + 1, max(doc_id) + 1 FROM documents"""
+ORACLES["fallback_intents"] = f"""
+WITH base AS ({_BASE}),
+patterns AS (SELECT * FROM (VALUES {", ".join(f"({_s(t)}, {i}, {_s(p)})" for t, ps, _ in c.DEFAULT_INTENTS for i, p in enumerate(ps))})
+  AS v(tag, place, pattern))
+SELECT b.event_id, p.tag, p.place, p.pattern FROM base b JOIN patterns p ON p.tag = b.base_intent"""
+ORACLES["account_switch"] = f"""
+WITH {_TABLES},
+s AS (
+  SELECT user_id, account_type AS account, user_id % 3 > 0 AS pending,
+    CASE WHEN user_id % 5 < 3 THEN balance END AS amount, CASE WHEN user_id % 7 < 4 THEN 'ann' END AS recipient
+  FROM accounts)
+SELECT user_id, account, CASE
+  WHEN pending AND amount IS NOT NULL AND recipient IS NOT NULL
+    THEN {_reply('confirm', amount='amount', account='account', recipient='recipient')}
+  WHEN pending AND amount IS NOT NULL THEN {_reply('switched_ask_recipient', amount='amount', account='account')}
+  WHEN pending AND recipient IS NOT NULL THEN {_reply('switched_ask_amount', recipient='recipient', account='account')}
+  ELSE {_reply('switched', account='account')} END AS reply FROM s"""
+ORACLES["failure_rows"] = f"""
+SELECT event_id, user_id, 'error' AS intent, CAST(0 AS DOUBLE) AS confidence, {_reply('error')} AS response
+FROM ({tables.PARTLY_MISSING}) AS m WHERE message IS NULL"""
+ORACLES["model_answers"] = f"""
+WITH base AS ({_BASE}),
+asked AS (
+  SELECT event_id, CASE WHEN contains(t, 'evening') THEN 'error' WHEN contains(t, 'balance') THEN 'balance_inquiry'
+    WHEN contains(t, 'history') THEN 'transaction_history' ELSE 'greeting' END AS intent,
+    CASE WHEN contains(t, 'evening') THEN 0.0 WHEN contains(t, 'balance') OR contains(t, 'history') THEN 0.9 ELSE 0.5 END AS confidence,
+    CASE WHEN event_id % 2 = 0 THEN CAST(event_id AS VARCHAR) END AS balance,
+    CASE WHEN event_id % 3 = 0 THEN 'T' || event_id END AS transactions
+  FROM base)
+SELECT event_id, intent, CAST(confidence AS DOUBLE) AS confidence, CASE
+  WHEN intent = 'error' THEN {_s(c.REPLIES['unknown_tag'])}
+  WHEN intent = 'balance_inquiry' AND balance IS NOT NULL THEN 'On ' || intent || ': ' || balance || ' [TRANSACTIONS]'
+  WHEN intent = 'transaction_history' AND transactions IS NOT NULL THEN 'On ' || intent || ': [AMOUNT] ' || transactions
+  ELSE 'On ' || intent || ': [AMOUNT] [TRANSACTIONS]' END AS response
+FROM asked"""
+
 # --- Generated tables --------------------------------------------------------
 
 _NOW = f"TIMESTAMP '{AS_OF}'"
@@ -575,15 +634,21 @@ def _digest(table: str, part: str) -> str:
 
 
 def _draw(table: str, part: str) -> str:
-    return f"CAST('0x' || substr({_digest(table, part)}, 1, 8) AS BIGINT)"
+    return f"CAST('0x' || substr({_digest(table, part)}, 1, 15) AS BIGINT)"
+
+
+_USER = "(1 + {} % (SELECT count(*) FROM customer))"
 
 
 class _Sql:
     def __init__(self, table: str):
         self.table = table
 
+    def draw(self, part):
+        return _draw(self.table, part)
+
     def below(self, part, n):
-        return f"({_draw(self.table, part)} % {n})"
+        return f"({self.draw(part)} % {n})"
 
     def pick(self, part, options):
         return f"{_list(options)}[{self.below(part, len(options))} + 1]"
@@ -623,13 +688,13 @@ def _generated() -> None:
         "annual_income": g.whole("annual_income", 300_000, 2_000_000),
     })
     add("transaction_details", "events", "event_id", lambda g: {
-        "transaction_id": "id", "user_id": g.whole("user_id", 1, USERS), "type": g.pick("type", c.TRANSACTION_TYPES),
+        "transaction_id": "id", "user_id": _USER.format(g.draw("user_id")), "type": g.pick("type", c.TRANSACTION_TYPES),
         "amount": g.money("amount", 100, 100_000), "timestamp": g.moment("timestamp", 365),
         "status": g.pick("status", c.TRANSACTION_STATUSES), "description": g.text("description", 5),
     })
     month = "CAST(CAST(TIMESTAMP '{}' AS DATE) + to_months(CAST({} AS INTEGER)) AS DATE)"
     add("credit_cards", "customer", "c_custkey", lambda g: {
-        "card_id": "id", "user_id": g.whole("user_id", 1, USERS), "card_type": g.pick("card_type", c.CARD_TYPES),
+        "card_id": "id", "user_id": _USER.format(g.draw("user_id")), "card_type": g.pick("card_type", c.CARD_TYPES),
         "card_number": " || ".join(
             f"lpad(CAST({g.below(f'digits{i}', 100_000_000)} AS VARCHAR), 8, '0')" for i in (1, 2)),
         "expiry_date": f"strftime({month.format(AS_OF, g.below('expiry', 120))}, '%m/%y')",
@@ -637,19 +702,19 @@ def _generated() -> None:
         "current_balance": g.money("current_balance", 0, 100_000), "status": g.pick("status", c.CARD_STATUSES),
     })
     add("loans", "customer", "c_custkey", lambda g: {
-        "loan_id": "id", "user_id": g.whole("user_id", 1, USERS), "loan_type": g.pick("loan_type", c.LOAN_TYPES),
+        "loan_id": "id", "user_id": _USER.format(g.draw("user_id")), "loan_type": g.pick("loan_type", c.LOAN_TYPES),
         "amount": g.money("amount", 100_000, 10_000_000), "interest_rate": g.money("interest_rate", 7, 15),
         "term_months": f"CAST({g.pick('term_months', c.LOAN_TERMS)} AS INTEGER)",
         "status": g.pick("status", c.LOAN_STATUSES), "application_date": g.moment("application_date", 730),
     })
     add("complaints", "orders", "o_orderkey", lambda g: {
-        "complaint_id": "id", "user_id": g.whole("user_id", 1, USERS), "type": g.pick("type", c.COMPLAINT_TYPES),
+        "complaint_id": "id", "user_id": _USER.format(g.draw("user_id")), "type": g.pick("type", c.COMPLAINT_TYPES),
         "description": g.text("description", 16), "priority": g.pick("priority", c.COMPLAINT_PRIORITIES),
         "status": g.pick("status", c.COMPLAINT_STATUSES), "created_at": g.moment("created_at", 365),
         "resolved_at": g.moment("resolved_at", 365),
     })
     add("fraud_reports", "orders", "o_orderkey", lambda g: {
-        "report_id": "id", "user_id": g.whole("user_id", 1, USERS), "fraud_type": g.pick("fraud_type", c.FRAUD_TYPES),
+        "report_id": "id", "user_id": _USER.format(g.draw("user_id")), "fraud_type": g.pick("fraud_type", c.FRAUD_TYPES),
         "description": g.text("description", 16), "amount_involved": g.money("amount_involved", 1_000, 500_000),
         "reported_date": g.moment("reported_date", 365), "status": g.pick("status", c.FRAUD_STATUSES),
     })
@@ -664,7 +729,7 @@ def _generated() -> None:
 
     add("faqs", "documents", "doc_id", faqs)
     add("assistance", "events", "event_id", lambda g: {
-        "assistance_id": "id", "user_id": g.whole("user_id", 1, USERS), "type": g.pick("type", c.ASSISTANCE_TYPES),
+        "assistance_id": "id", "user_id": _USER.format(g.draw("user_id")), "type": g.pick("type", c.ASSISTANCE_TYPES),
         "query": g.text("query", 16), "status": g.pick("status", c.ASSISTANCE_STATUSES),
         "created_at": g.moment("created_at", 365),
         "response_time": f"CAST({g.whole('response_time', 1, 72)} AS INTEGER)",

@@ -6,6 +6,7 @@ Amounts are given as decimal text, so that no engine's rounding is involved.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -14,8 +15,9 @@ from tellerflow.functions.entities import with_entities
 from tellerflow.functions.intents import with_base_intent
 from tellerflow.operators import answering, chatlog, corpus, dialogue, lemmas
 from tellerflow.operators import ledger as ledgers
+from tellerflow.operators.model_answers import answer_with_model
 from tellerflow.session import scratch_path
-from tellerflow.sources import files, schemas, tables
+from tellerflow.sources import catalogue, files, schemas, tables
 from tellerflow.sources.generate import generate
 from tellerflow.streaming.dialogue_stream import DialogueStream
 
@@ -136,11 +138,11 @@ def lemma_tokens(spark, sf_dir):
     """Lemmas found by the noun rules in the corpus's own vocabulary."""
     prepared = _document_tokens(spark, sf_dir).select("doc_id", textprep.keep_tokens(F.col("tokens")).alias("kept"))
     kept = files.store(prepared, "tokens")  # read three times
-    vocabulary = kept.select(F.explode("kept").alias("token")).distinct()
+    vocabulary = files.store(kept.select(F.explode(F.array_distinct("kept")).alias("token")).distinct(), "vocabulary")
     found = lemmas.noun_lemmas(vocabulary, vocabulary.withColumnRenamed("token", "word"))
     # stored, so that its real size decides how it joins the tokens
     table = files.store(found, "lemmas")
-    rows = lemmas.lemmatize_tokens(kept, "doc_id", "kept", table)
+    rows = lemmas.lemmatize_tokens(kept, "doc_id", "kept", table, [e for e, _ in catalogue.NOUN_ENDINGS])
     return rows.select("doc_id", F.array_join("lemmas", " ").alias("processed"))
 
 
@@ -205,6 +207,27 @@ def intent_counts(spark, sf_dir):
     return found.groupBy("base_intent", "base_confidence").agg(F.count("*").alias("n"))
 
 
+@query
+def document_entities(spark, sf_dir):
+    """Entities of whole documents."""
+    found = with_entities(tables.view(spark, sf_dir, tables.DOCUMENT_MESSAGES))
+    return found.select("event_id", *_entity_columns(F.col("entities")))
+
+
+@query
+def conversation_entities(spark, sf_dir):
+    """Entities and base intents of the customers' turns."""
+    found = with_base_intent(tables.view(spark, sf_dir, tables.CONVERSATION_MESSAGES))
+    return found.select("event_id", *_entity_columns(F.col("entities")), "base_intent")
+
+
+@query
+def conversation_state(spark, sf_dir):
+    """The dialogue over the customers' turns of each conversation."""
+    scored = dialogue.score(tables.view(spark, sf_dir, tables.CONVERSATION_MESSAGES))
+    return scored.select("event_id", "user_id", "intent", "confidence", "state", "active_account")
+
+
 # --- Dialogue ----------------------------------------------------------------
 
 
@@ -378,33 +401,69 @@ def render_response(spark, sf_dir):
     return _answered(spark, sf_dir).select("event_id", "user_id", "message", "intent", "confidence", "response")
 
 
+def _stored_log(spark: SparkSession, sf_dir: str) -> chatlog.ChatLog:
+    log = chatlog.ChatLog(spark, scratch_path(spark, "chat_log"))
+    log.append(_chat_log(spark, sf_dir))
+    return log
+
+
 @query
 def chat_log(spark, sf_dir):
     """The log after appending it to a stored table and reading that back."""
-    path = scratch_path(spark, "chat_log")
-    chatlog.append(_chat_log(spark, sf_dir), path)
-    return spark.read.schema(schemas.CHAT_HISTORY).parquet(path)
+    return _stored_log(spark, sf_dir).read()
 
 
 @query
 def chat_history_top10(spark, sf_dir):
-    return chatlog.recent_chats(_chat_log(spark, sf_dir)).select("user_id", "place", "id", "message", "response")
+    log = _stored_log(spark, sf_dir).read()
+    return chatlog.recent_chats(log).select("user_id", "place", "id", "message", "response")
+
+
+@query
+def latest_chats(spark, sf_dir):
+    """The newest rows of one user."""
+    return chatlog.user_chats(_stored_log(spark, sf_dir).read(), tables.SHOWN_USER).select("id", "message", "response")
 
 
 @query
 def chat_cleared(spark, sf_dir):
-    """The log after the customers of one market segment cleared theirs."""
+    """The stored log after the customers of one market segment cleared theirs."""
     gone = tables.table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'")
-    left = chatlog.clear_chats(_chat_log(spark, sf_dir), gone.select(F.col("c_custkey").alias("user_id")))
-    return left.select("id", "user_id", "intent")
+    log = _stored_log(spark, sf_dir)
+    log.clear(gone.select(F.col("c_custkey").alias("user_id")))
+    return log.read().select("id", "user_id", "intent")
 
 
 @query
 def chat_orphans(spark, sf_dir):
-    """Log rows of users who never placed an order and so have no user row."""
+    """Log rows of users that the user table, customers not in debt, doesn't have."""
+    known = tables.table(spark, sf_dir, "customer").filter("c_acctbal >= 0").select(F.col("c_custkey").alias("id"))
+    return chatlog.orphans(_stored_log(spark, sf_dir).read(), known).select("id", "user_id", "intent")
+
+
+@query
+def user_lookup(spark, sf_dir):
+    """The user row of one name."""
     users = chatlog.unique_users(tables.view(spark, sf_dir, tables.REGISTRATIONS))
-    known = users.select(F.regexp_extract("username", r"(\d+)$", 1).try_cast("bigint").alias("id"))
-    return chatlog.orphans(_chat_log(spark, sf_dir), known).select("id", "user_id", "intent")
+    return chatlog.find_user(users, f"user{tables.SHOWN_USER}")
+
+
+@query
+def failure_rows(spark, sf_dir):
+    """What messages without text are answered."""
+    found = answering.failed(tables.view(spark, sf_dir, tables.PARTLY_MISSING))
+    return found.select("event_id", "user_id", "intent", "confidence", "response")
+
+
+@query
+def account_switch(spark, sf_dir):
+    """The reply to naming each account, whatever transfer is pending."""
+    accounts = tables.accounts(spark, sf_dir)
+    user = F.col("user_id")
+    pending = F.when(user % 3 > 0, "transfer").otherwise("")
+    reply = render.account_selection_reply(
+        F.col("account_type"), pending, F.when(user % 5 < 3, F.col("balance")), F.when(user % 7 < 4, F.lit("ann")))
+    return accounts.select("user_id", F.col("account_type").alias("account"), reply.alias("reply"))
 
 
 @query
@@ -438,7 +497,15 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _responses(spark: SparkSession) -> DataFrame:
-    return files.intent_responses(files.default_intents(spark))
+    """Templates from a written intents document: three a tag, and a tag that comes again and loses."""
+    entries = [
+        {"tag": tag, "patterns": patterns, "responses": [*responses, f"Another way: {responses[0]}", f"{tag}?"]}
+        for tag, patterns, responses in catalogue.DEFAULT_INTENTS
+    ]
+    again = {"tag": entries[0]["tag"], "patterns": ["Yo"], "responses": ["Not this one."]}
+    path = scratch_path(spark, "intents")
+    spark.createDataFrame([([*entries, again],)], schemas.INTENTS).coalesce(1).write.json(path)
+    return files.intent_responses(files.read_intents(spark, path, multi_line=False))
 
 
 @query
@@ -493,7 +560,7 @@ def speech_text(spark, sf_dir):
 
 @query
 def locale_map(spark, sf_dir):
-    documents = tables.table(spark, sf_dir, "documents")
+    documents = tables.view(spark, sf_dir, tables.LANGUAGES)
     return documents.select("doc_id", "lang", render.locale(F.col("lang")).alias("locale"))
 
 
@@ -538,6 +605,56 @@ def template_catalog(spark, sf_dir):
     return files.parse_templates(stored)
 
 
+@query
+def fallback_intents(spark, sf_dir):
+    """The built-in phrases, used where no intents document is, of each message's intent."""
+    documents = files.read_intents(spark, scratch_path(spark, "no-intents"))
+    messages = files.store(with_base_intent(tables.utterances(spark, sf_dir)).select("event_id", "base_intent"), "intents")
+    return messages.join(files.intent_patterns(documents), F.col("base_intent") == F.col("tag")).select(
+        "event_id", "tag", "place", "pattern")
+
+
+@query
+def tolerant_scan(spark, sf_dir):
+    """A folder that holds two of the eight bulk tables."""
+    folder = scratch_path(spark, "bulk")
+    for name in ("complaints", "faqs"):
+        source, key = GENERATED_FROM[name]
+        ids = tables.table(spark, sf_dir, source).select((F.col(key) + 1).alias("id"))
+        files.write_csv(generate(name, ids), f"{folder}/{name}.csv")
+    found = files.read_bulk_tables(spark, folder)
+    parts = [
+        rows.select(F.lit(name).alias("name"), F.col(rows.columns[0]).alias("id")) for name, rows in found.items()
+    ]
+    whole = reduce(DataFrame.unionByName, parts)
+    return whole.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
+
+
+@query
+def model_answers(spark, sf_dir):
+    """Every message answered through the model hook, with a stub that looks for words."""
+
+    def model(texts: list[str]) -> list[str]:
+        answers = []
+        for text in texts:
+            if "Intent: " in text:
+                answers.append(f" On {text.split('Intent: ')[1].split(chr(10))[0]}: [AMOUNT] [TRANSACTIONS]\n")
+                continue
+            message = text.split("Message: ")[1].lower()
+            if "evening" in message:
+                raise ValueError("closed")
+            answers.append("balance_inquiry" if "balance" in message else "'transaction_history'" if "history" in message else "?")
+        return answers
+
+    key = F.col("event_id")
+    messages = tables.utterances(spark, sf_dir).select(
+        "event_id", "message", F.lit("").alias("context"),
+        F.when(key % 2 == 0, key.cast("string")).alias("balance"),
+        F.when(key % 3 == 0, F.concat(F.lit("T"), key.cast("string"))).alias("transactions"))
+    return answer_with_model(messages, files.intent_responses(files.default_intents(spark)), model).select(
+        "event_id", "intent", "confidence", "response")
+
+
 # --- Generated tables --------------------------------------------------------
 
 # Each generated table grows with the ids of one given table.
@@ -558,7 +675,8 @@ def _generated(name: str) -> Query:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ids = tables.table(spark, sf_dir, source).select((F.col(key) + 1).alias("id"))
-        rows = generate(name, ids)
+        # as many users as user_details has
+        rows = generate(name, ids, users=tables.table(spark, sf_dir, "customer").count())
         texts = [f.name for f in rows.schema.fields if f.dataType.simpleString().startswith("decimal")]
         return rows.withColumns({c: F.col(c).cast("string") for c in texts}) if texts else rows
 
@@ -573,11 +691,16 @@ QUERIES.update({f"gen_{name}": _generated(name) for name in GENERATED_FROM})
 
 @query
 def dialogue_stream(spark, sf_dir):
-    """The chat log as the streaming job writes it from the event files."""
-    schema = tables.table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """The chat log as the streaming job writes it, from event files in time order, one a batch."""
+    events = tables.table(spark, sf_dir, "events")
+    folder = scratch_path(spark, "events")
+    cuts = events.agg(F.percentile_approx("ts", [0.2, 0.4, 0.6, 0.8]).alias("cuts")).first().cuts
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = events.filter(F.coalesce(F.col("ts") > F.lit(low), F.lit(low is None)) & F.coalesce(F.col("ts") <= F.lit(high), F.lit(high is None)))
+        part.coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     job = DialogueStream(
-        spark, scratch_path(spark, "dialogue"), tables.accounts(spark, sf_dir), tables.ledger(spark, sf_dir)
+        spark, scratch_path(spark, "dialogue"), tables.accounts(spark, sf_dir), tables.ledger(spark, sf_dir), snapshot_every=2
     )
-    job.start(spark.sql(tables.on_frame(tables.UTTERANCES, "events"), events=events), availableNow=True).awaitTermination()
+    job.start(spark.sql(tables.on_frame(tables.UTTERANCES, "events"), events=stream), availableNow=True).awaitTermination()
     return job.chat_log()

@@ -28,8 +28,8 @@ class _Row:
         return F.md5(F.concat(F.lit(f"{self.seed}:{self.table}:{part}:"), F.col("id").cast("string")))
 
     def draw(self, field: str) -> Column:
-        """A whole number below 2^32."""
-        return F.conv(F.substring(self.digest(field), 1, 8), 16, 10).cast("bigint")
+        """A whole number below 2^60, so that reducing it is even for any range in use."""
+        return F.conv(F.substring(self.digest(field), 1, 15), 16, 10).cast("bigint")
 
     def below(self, field: str, n: int) -> Column:
         return self.draw(field) % F.lit(n)

@@ -65,9 +65,12 @@ SELECT event_id, user_id, ts,
     WHEN 12 THEN concat(CAST(event_id % 1000 AS STRING), '.5 dollars')
     WHEN 13 THEN concat('$5 and ', CAST(event_id % 7000 AS STRING), ' dollars')
     WHEN 14 THEN 'I want to transfer money to bob account or to ann account'
+    WHEN 15 THEN concat('transfer $', CAST(90000000000000000 + event_id AS STRING), '.25 to bob account')
+    WHEN 16 THEN concat('₹ or $٣', CAST(event_id % 9 AS STRING), '٤.٥٠ on ٢٠٢٤-٠٥-٠', CAST(event_id % 9 AS STRING), ' for id ٧٧٧٧', CAST(event_id AS STRING))
+    WHEN 17 THEN concat('account to a to b (', CAST(event_id AS STRING), ') into  the   savings account to pay to account')
     ELSE concat('send $12,34 to another account on ', CAST(112 + event_id % 3 AS STRING), '/05/2025')
   END AS message
-FROM (SELECT *, event_id % 16 AS k FROM events) AS e
+FROM (SELECT *, event_id % 19 AS k FROM events) AS e
 """
 
 # Notes with prices, long numbers, contractions, links and mail addresses.
@@ -93,6 +96,19 @@ SELECT event_id AS id,
 FROM (SELECT *, event_id % 15 AS k FROM events) AS e
 """
 
+# Customers' turns as messages: a conversation is a user's dialogue, its turns are in order.
+CONVERSATION_MESSAGES = """
+SELECT conv_id * 1000000 + turn AS event_id, conv_id AS user_id, CAST('2024-03-13 09:30:00' AS TIMESTAMP) AS ts,
+  coalesce(text, '') AS message
+FROM conversations WHERE role = 'user'
+"""
+
+# Every document as one message.
+DOCUMENT_MESSAGES = """
+SELECT doc_id AS event_id, doc_id AS user_id, CAST('2024-03-13 09:30:00' AS TIMESTAMP) AS ts, coalesce(text, '') AS message
+FROM documents
+"""
+
 # One ledger row per event.
 LEDGER = """
 SELECT user_id,
@@ -123,7 +139,7 @@ WHERE c_custkey % 2 = 0
 CORPUS_TABLES = {
     "faqs": """
         SELECT d.doc_id AS question_id, d.text AS question, b.text AS answer
-        FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40
+        FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)
         WHERE d.doc_id % 11 < 2""",
     "complaints": """
         SELECT doc_id AS complaint_id, text AS description
@@ -137,13 +153,30 @@ CORPUS_TABLES = {
         FROM documents WHERE doc_id % 11 > 8""",
 }
 
+# The user whose rows a query for one user shows.
+SHOWN_USER = 7
+
+# Documents' languages, and as many tags again that the documents don't have.
+LANGUAGES = """
+SELECT doc_id, CASE doc_id % 12 WHEN 0 THEN 'it' WHEN 1 THEN 'hi' WHEN 2 THEN 'ja' WHEN 3 THEN 'zh' WHEN 4 THEN 'xx'
+  WHEN 5 THEN CAST(NULL AS STRING) ELSE lang END AS lang
+FROM documents
+"""
+
+# Messages, one in thirteen without text.
+PARTLY_MISSING = f"""
+SELECT event_id, user_id, ts, CASE WHEN event_id % 13 = 5 THEN CAST(NULL AS STRING) ELSE message END AS message
+FROM ({UTTERANCES}) AS u
+"""
+
 # Sign-ups in arrival order; names repeat and some fields are missing.
 REGISTRATIONS = """
 SELECT o_orderkey AS id,
-  CASE WHEN o_orderkey % 31 = 0 THEN '' ELSE concat('user', CAST(o_custkey AS STRING)) END AS username,
+  CASE WHEN o_orderkey % 31 = 0 THEN '' WHEN o_orderkey % 43 = 0 THEN 'ab' ELSE concat('user', CAST(o_custkey AS STRING)) END AS username,
   o_orderdate AS created_at,
   o_orderkey % 37 <> 0 AS has_password,
-  o_orderkey % 41 <> 0 AS passwords_match
+  o_orderkey % 41 <> 0 AS passwords_match,
+  CASE WHEN o_orderkey % 47 = 0 THEN 7 ELSE 8 + o_orderkey % 9 END AS password_length
 FROM orders
 """
 

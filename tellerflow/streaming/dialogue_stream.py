@@ -4,8 +4,14 @@ Each micro-batch runs the batch plan. What a user's dialogue carried before the
 batch enters as one *seed* row, placed on the timeline just before the user's
 first new message; the windows then need no special case. After the batch the
 state of the users seen in it is written as a small delta table, and every
-``SNAPSHOT_EVERY`` batches the deltas are folded into a snapshot, so a batch
-reads one snapshot and a few deltas and no lineage grows.
+``snapshot_every`` batches the deltas are folded into a snapshot, so a batch
+reads one snapshot and a few deltas and no lineage grows. Both lie in folders by
+a hash of the user: a batch reads only those its users fall into, and keeps
+their rows before it looks for the newest ones. What a snapshot has taken in is
+deleted with the next one.
+
+A message without text gets the error reply and leaves no trace in the dialogue,
+as in the batch job.
 
 All outputs go to folders named after the batch id and are overwritten when a
 batch is repeated after a failure, so the log holds every message once.
@@ -13,20 +19,26 @@ batch is repeated after a failure, so the log holds every message once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tellerflow.functions.intents import with_base_intent
 from tellerflow.operators import answering, chatlog, dialogue, ledger as lookups
 from tellerflow.operators.timeline import HOT_ROWS, Trailing, along_timeline
+from tellerflow.sources.schemas import MESSAGES
 
 SNAPSHOT_EVERY = 20
 HISTORY = 10
+# Folders of the state tables.
+BUCKETS = 64
 
-_PENDING = "struct<type:string,amount:decimal(18,2),recipient:string,from_account:string>"
+_PENDING = "struct<type:string,amount:decimal(38,2),recipient:string,from_account:string>"
 _ENTITIES = (
     "struct<account_type:string,transaction_id:string,date:string,date_range:struct<start:string,end:string>,"
-    "amount:decimal(18,2),recipient:string>"
+    "amount:decimal(38,2),recipient:string>"
 )
 STATE = (
     "user_id bigint, event_id bigint, ts timestamp_ntz, state string, active_account string, "
@@ -38,55 +50,95 @@ STATE = (
 class DialogueStream:
     """Answers a stream of messages (event_id, user_id, ts, message) under ``folder``."""
 
-    def __init__(self, spark: SparkSession, folder: str, accounts: DataFrame, ledger: DataFrame, hot_rows: int = HOT_ROWS):
+    def __init__(
+        self, spark: SparkSession, folder: str, accounts: DataFrame, ledger: DataFrame,
+        hot_rows: int = HOT_ROWS, snapshot_every: int = SNAPSHOT_EVERY,
+    ):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self.accounts, self.ledger, self.hot_rows = accounts, ledger, hot_rows
+        self.accounts, self.ledger = accounts, ledger
+        self.hot_rows, self.snapshot_every = hot_rows, snapshot_every
 
     # --- State tables --------------------------------------------------------
 
     def _path(self, table: str, batch_id: int) -> str:
         return f"{self.folder}/{table}/batch_id={batch_id}"
 
-    def state_before(self, batch_id: int) -> DataFrame:
-        """The newest state row of every user before a batch."""
-        snapshot = batch_id // SNAPSHOT_EVERY * SNAPSHOT_EVERY - 1
+    def _write_state(self, rows: DataFrame, table: str, batch_id: int) -> None:
+        placed = rows.withColumn("bucket", _bucket())
+        placed.write.mode("overwrite").partitionBy("bucket").parquet(self._path(table, batch_id))
+
+    def _delete(self, table: str, batch_id: int) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(table, batch_id))
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+    def state_before(self, batch_id: int, users: DataFrame | None = None) -> DataFrame:
+        """The newest state row of every user, or of the given ``users(user_id)``, before a batch."""
+        snapshot = batch_id // self.snapshot_every * self.snapshot_every - 1
         paths = [self._path("state", b) for b in range(snapshot + 1, batch_id)]
         if snapshot >= 0:
             paths.append(self._path("snapshot", snapshot))
         if not paths:
             return self.spark.createDataFrame([], STATE)
-        rows = self.spark.read.schema(STATE).parquet(*paths)
-        return _newest(rows)
+        # one reader a path: a folder by bucket each
+        parts = [self.spark.read.schema(f"{STATE}, bucket int").parquet(p) for p in paths]
+        rows = reduce(DataFrame.unionByName, parts)
+        if users is not None:
+            buckets = [r[0] for r in users.select(_bucket()).distinct().collect()]  # BUCKETS numbers at most
+            rows = rows.filter(F.col("bucket").isin(*buckets)).join(users, "user_id", "left_semi")
+        return _newest(rows.drop("bucket"))
+
+    def _fold(self, batch_id: int) -> None:
+        """A snapshot after this batch; what the one before has taken in goes."""
+        delta = self.spark.read.schema(f"{STATE}, bucket int").parquet(self._path("state", batch_id)).drop("bucket")
+        self._write_state(_newest(self.state_before(batch_id).unionByName(delta)), "snapshot", batch_id)
+        # the newest deltas and the snapshot before stay: this batch may be repeated
+        last = batch_id - self.snapshot_every
+        for old in range(last - self.snapshot_every + 1, last + 1):
+            if old >= 0:
+                self._delete("state", old)
+        if last - self.snapshot_every >= 0:
+            self._delete("snapshot", last - self.snapshot_every)
 
     # --- One micro-batch -----------------------------------------------------
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        # The batch goes through several joins; keep it instead of re-reading the source.
-        batch = chatlog.valid_messages(batch.select("event_id", "user_id", "ts", "message")).persist()
+        # Frames read several times are kept; a failing batch releases them too.
+        kept: list[DataFrame] = []
+
+        def keep(frame: DataFrame) -> DataFrame:
+            kept.append(frame.persist())
+            return kept[-1]
+
+        try:
+            self._process(batch, batch_id, keep)
+        finally:
+            for frame in kept:
+                frame.unpersist()
+
+    def _process(self, batch: DataFrame, batch_id: int, keep: Callable[[DataFrame], DataFrame]) -> None:
+        batch = keep(batch.select("event_id", "user_id", "ts", "message"))
         users = batch.select("user_id").distinct()
-        state = self.state_before(batch_id).join(users, "user_id", "left_semi").persist()
+        state = keep(self.state_before(batch_id, users))
         last = state.select("user_id", F.struct("ts", "event_id").alias("last"))
-        placed = batch.join(last, "user_id", "left")
+        placed = batch.filter(F.col("message").isNotNull()).join(last, "user_id", "left")
         is_late = F.coalesce(F.struct("ts", "event_id") <= F.col("last"), F.lit(False))
-        placed.filter(is_late).drop("last").write.mode("overwrite").parquet(self._path("late", batch_id))
+        late = placed.filter(is_late).drop("last")
+        if not late.isEmpty():
+            late.write.mode("overwrite").parquet(self._path("late", batch_id))
 
-        understood = with_base_intent(placed.filter(~is_late).drop("last"))
-        tracked = dialogue.track(_with_seeds(understood, state), self.hot_rows).filter(F.col("seed").isNull())
+        understood = keep(with_base_intent(placed.filter(~is_late).drop("last")))
+        tracked = keep(dialogue.track(_with_seeds(understood, state), self.hot_rows).filter(F.col("seed").isNull()))
         # only the accounts and ledger rows of users heard from
         accounts = self.accounts.join(users, "user_id", "left_semi")
         ledger = self.ledger.join(users, "user_id", "left_semi")
         facts = lookups.facts(accounts, ledger, answering.requests(understood))
-        answered = answering.with_response(tracked, facts).persist()
-
-        chatlog.chat_rows(answered).write.mode("overwrite").parquet(self._path("chat_log", batch_id))
-        self._state_after(answered, state).write.mode("overwrite").parquet(self._path("state", batch_id))
-        if batch_id % SNAPSHOT_EVERY == SNAPSHOT_EVERY - 1:
-            merged = self.state_before(batch_id).unionByName(
-                self.spark.read.schema(STATE).parquet(self._path("state", batch_id))
-            )
-            _newest(merged).write.mode("overwrite").parquet(self._path("snapshot", batch_id))
-        for kept in (answered, state, batch):
-            kept.unpersist()
+        answered = keep(answering.with_response(tracked, facts))
+
+        rows = answered.unionByName(answering.failed(batch), allowMissingColumns=True)
+        chatlog.chat_rows(rows).write.mode("overwrite").parquet(self._path("chat_log", batch_id))
+        self._write_state(self._state_after(answered, state), "state", batch_id)
+        if batch_id % self.snapshot_every == self.snapshot_every - 1:
+            self._fold(batch_id)
 
     def _state_after(self, answered: DataFrame, before: DataFrame) -> DataFrame:
         """The state of the batch's users: their last message's row, with history."""
@@ -116,9 +168,16 @@ class DialogueStream:
         return self.spark.read.parquet(f"{self.folder}/chat_log").drop("batch_id")
 
     def late_rows(self) -> DataFrame:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/late")
+        if not path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+            return self.spark.createDataFrame([], MESSAGES)
         return self.spark.read.parquet(f"{self.folder}/late").drop("batch_id")
 
 
+def _bucket() -> Column:
+    return F.pmod(F.hash("user_id"), F.lit(BUCKETS)).alias("bucket")
+
+
 def _newest(state: DataFrame) -> DataFrame:
     """The newest row of every user; each map task keeps one before the shuffle."""
     newest = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))

@@ -7,6 +7,7 @@ from decimal import Decimal
 import pytest
 
 from tellerflow.operators import dialogue
+from tellerflow.operators import timeline as dialogue_timeline
 from tellerflow.operators.timeline import Latest, Position, Previous, Trailing, along_timeline
 from pyspark.sql import functions as F
 
@@ -114,3 +115,51 @@ def test_entity_memory_and_history(conversations):
     rows = dialogue.prompt_context(answered).filter("user_id = 3").orderBy("ts", "event_id").collect()
     for i, r in enumerate(rows):
         assert r.context == "\n".join(f"User: {x.message}\nBot: {x.response}" for x in rows[max(0, i - 3): i])
+
+
+def test_sliced_path_runs_its_input_once_and_moves_rows_once_a_step(spark, conversations, monkeypatch):
+    """Exchanges of message rows, forced broadcasts, carried values and reads of the input on the sliced path."""
+    import re
+
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    df, _ = conversations
+    answered = dialogue.score(df).withColumn("response", F.concat(F.lit("re "), "message"))
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        reads.add(1)
+        return text
+
+    counted = answered.withColumn("message", F.udf(seen, "string")("message"))
+    plans, derived = [], []
+    checkpoint, derive = DataFrame.checkpoint, dialogue_timeline.SliceFrame.derive
+
+    def watched(self, *args):
+        plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return checkpoint(self, *args)
+
+    def counted_derive(self, **specs):
+        derived.append(specs)
+        return derive(self, **specs)
+
+    monkeypatch.setattr(DataFrame, "checkpoint", watched)
+    monkeypatch.setattr(dialogue_timeline.SliceFrame, "derive", counted_derive)
+    rows = dialogue.history(counted, 10, hot_rows=0, messages=df)
+    plain = {r.event_id: r.history for r in dialogue.history(answered, 10).collect()}
+    assert {r.event_id: r.history for r in rows.collect()} == plain
+    assert reads.value == len(plain)
+    assert all(len(h) <= 10 for h in plain.values())
+
+    plans.clear(), derived.clear()
+    final = dialogue.track(df, hot_rows=0)
+
+    def moved(text):
+        """Exchanges of message rows; the carry, a row per key and slice, is recognised by its offset."""
+        lines = text.splitlines()
+        on_slices = [k for k, line in enumerate(lines) if re.search(r"Exchange hashpartitioning\(user_id#\d+L?, timeline_slice", line)]
+        return sum("_offset" not in "".join(lines[k + 1:k + 3]) for k in on_slices)
+
+    assert max(map(moved, plans)) == 1 and sum(map(moved, plans)) <= len(derived)
+    for text in (*plans, final._jdf.queryExecution().toString()):
+        assert "ResolvedHint" not in text and "strategy=broadcast" not in text

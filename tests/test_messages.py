@@ -196,3 +196,47 @@ def test_answers_of_a_model(spark):
         3: ("greeting", 0.5, "It is [AMOUNT]."),
         4: ("error", 0.0, "I'm not sure how to respond to that. Could you please rephrase?"),
     }
+
+
+def test_digits_of_any_script_and_wide_amounts(spark):
+    found = entities(spark, ["$٣٣ and more", "on ٢٠٢٤-٠٥-٠١", "id ७७७७७", "pay $99999999999999999.00 to bob account", "１２.５０ dollars", "$" + "9" * 40])
+    assert found[0]["amount"] == Decimal("33.00")
+    assert found[1]["date"] == "٢٠٢٤-٠٥-٠١"
+    assert found[2]["transaction_id"] == "T७७७७७"
+    assert found[3]["amount"] == Decimal("99999999999999999.00") and found[3]["recipient"] == "bob"
+    assert found[4]["amount"] == Decimal("12.50")
+    assert found[5]["amount"] is None  # wider than a decimal goes
+
+
+RECIPIENT = re.compile(r"to\s+([a-zA-Z]+(?:\s+[a-zA-Z]+)*)\s+account")
+
+
+def test_recipients_are_those_of_the_plain_pattern(spark):
+    rng = random.Random(4)
+    pieces = ["to", "account", "a", "bob", " ", "  ", ", ", "1", "ann", "into", "accounts", "\n"]
+    messages = [" ".join(rng.choices(pieces, k=rng.randint(2, 14))) for _ in range(600)]
+    want = [(m := RECIPIENT.search(t)) and m[1] for t in messages]
+    assert [e["recipient"] for e in entities(spark, messages)] == want
+
+
+def test_a_long_message_takes_linear_time(spark):
+    import time
+
+    message = "my account " + "to a " * 8000  # no account follows
+    small, large = frame(spark, ["my account to a"]), frame(spark, [message])
+    with_entities(small).select("entities.recipient").collect()
+    began = time.time()
+    assert with_entities(large).select("entities.recipient").collect()[0][0] is None
+    spent = time.time() - began
+    began = time.time()
+    with_entities(small).select("entities.recipient").collect()
+    assert spent - (time.time() - began) < 0.5
+
+
+def test_a_model_that_loses_answers_fails_its_batch(spark):
+    def model(texts):
+        return [t.upper() for t in texts][:1]
+
+    asked = spark.createDataFrame([(i, f"m{i}") for i in range(5)], "id int, prompt string").coalesce(1)
+    assert {r.raw for r in prompts.apply_model(asked, model).collect()} == {f"M{i}" for i in range(5)}
+    assert {r.raw for r in prompts.apply_model(asked, lambda texts: []).collect()} == {None}

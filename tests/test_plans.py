@@ -13,7 +13,7 @@ def plan(df, mode="simple"):
     )
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - {"dialogue_stream", "chat_log"}))
+@pytest.mark.parametrize("name", sorted(set(entry.QUERIES) - {"dialogue_stream", "model_answers"}))
 def test_no_python_workers_and_no_cross_joins(spark, sf_dir, name):
     text = plan(entry.queries()[name](spark, sf_dir))
     for operator in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "CartesianProduct", "NestedLoopJoin"):
@@ -50,3 +50,31 @@ def test_generated_code_stays_below_the_compiler_limit(spark, sf_dir):
             assert max(map(int, sizes)) < 8000, name
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_replies_extract_once_and_join_only_what_needs_a_fact(spark, sf_dir, monkeypatch):
+    from tellerflow.functions.entities import TRANSACTION_ID
+    from tellerflow.operators import answering
+
+    stored, store = [], answering.store
+
+    def watched(frame, name):
+        stored.append(plan(frame))
+        return store(frame, name)
+
+    monkeypatch.setattr(answering, "store", watched)
+    text = plan(entry.QUERIES["render_response"](spark, sf_dir))
+    assert sum(t.count(TRANSACTION_ID) for t in [*stored, text]) == 1
+    # day listings: once by day, once by account
+    listings = [line for line in text.splitlines() if "Exchange hashpartitioning" in line and "account_type" in line]
+    by_day = [x for x in listings if re.search(r"hashpartitioning\(user_id#\d+L?, account_type#\d+, date#\d+, \d+\)", x)]
+    by_account = [x for x in listings if re.search(r"hashpartitioning\(user_id#\d+L?, account_type#\d+, \d+\)", x)]
+    assert len(by_day) <= 1 and len(by_account) <= 1
+    # users who ask, for the days, the rows by id and the balances; one join for the facts, below one side of a union
+    assert text.count("LeftSemi") >= 3 and text.count("LeftOuter") == 1
+
+
+def test_log_queries_read_the_stored_log(spark, sf_dir):
+    for name in ("chat_history_top10", "chat_orphans", "chat_cleared", "latest_chats"):
+        text = plan(entry.QUERIES[name](spark, sf_dir))
+        assert "ReadSchema: struct<id:bigint" in text and "fact" not in text and "entities" not in text, name

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from tellerflow.operators import answering, chatlog
 from tellerflow.sources import tables
-from tellerflow.streaming import dialogue_stream
 from tellerflow.streaming.dialogue_stream import DialogueStream
 
 
@@ -25,14 +24,13 @@ def rows(df):
     return {r.id: r for r in df.select("id", "user_id", "message", "response", "intent", "confidence", "timestamp").collect()}
 
 
-def test_stream_equals_batch(spark, tmp_path, inputs, monkeypatch):
-    """Four batches in time order, with a snapshot after the second."""
-    monkeypatch.setattr(dialogue_stream, "SNAPSHOT_EVERY", 2)
+def test_stream_equals_batch(spark, tmp_path, inputs):
+    """Four batches in time order, with a snapshot after every second."""
     messages, accounts, ledger = inputs
     for low in range(0, 1000, 250):
         part = messages.filter(F.col("event_id").between(low, low + 249))
         part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    job = run(spark, f"{tmp_path}/out", f"{tmp_path}/in", messages, accounts, ledger)
+    job = run(spark, f"{tmp_path}/out", f"{tmp_path}/in", messages, accounts, ledger, snapshot_every=2)
     batch = answering.answer(messages, accounts, ledger)
     assert rows(job.chat_log()) == rows(chatlog.chat_rows(batch))
     assert job.late_rows().count() == 0
@@ -64,3 +62,40 @@ def test_late_rows_and_repeated_batches(spark, tmp_path, inputs):
     logged = job.chat_log()
     assert logged.count() == logged.select("id").distinct().count() == 1000 - len(expected) + len(
         {i for i in expected if i >= 500})
+
+
+def test_messages_without_text_or_blank_are_as_in_the_batch(spark, tmp_path, inputs):
+    messages, accounts, ledger = inputs
+    odd = messages.withColumn("message", F.expr("CASE event_id % 9 WHEN 3 THEN NULL WHEN 5 THEN '  ' WHEN 7 THEN concat(' ', message) ELSE message END"))
+    job = DialogueStream(spark, str(tmp_path), accounts, ledger)
+    job.process(odd.filter("event_id < 500"), 0)
+    job.process(odd.filter("event_id >= 500"), 1)
+    assert rows(job.chat_log()) == rows(chatlog.chat_rows(answering.answer(odd, accounts, ledger)))
+
+
+def test_state_is_read_for_the_batch_only_and_old_state_goes(spark, tmp_path, inputs):
+    import os
+
+    messages, accounts, ledger = inputs
+    job = DialogueStream(spark, str(tmp_path), accounts, ledger, snapshot_every=2)
+    for number in range(7):
+        job.process(messages.filter(F.col("event_id").between(number * 100, number * 100 + 99)), number)
+    assert sorted(os.listdir(f"{tmp_path}/state")) == ["batch_id=4", "batch_id=5", "batch_id=6"]
+    assert sorted(os.listdir(f"{tmp_path}/snapshot")) == ["batch_id=3", "batch_id=5"]
+    assert not os.path.exists(f"{tmp_path}/late")
+    few = messages.filter("user_id = 3").select("user_id").distinct()
+    frame = job.state_before(7, few)
+    text = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in text and text.index("Window") < text.index("LeftSemi")
+    assert "PartitionFilters: [bucket" in frame._jdf.queryExecution().executedPlan().toString().replace("isnotnull(bucket#", "bucket#").replace(
+        "PartitionFilters: [(bucket", "PartitionFilters: [bucket")
+    assert {r.user_id for r in frame.collect()} <= {3}
+
+
+def test_a_failing_batch_releases_its_frames(spark, tmp_path, inputs):
+    messages, accounts, ledger = inputs
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    job = DialogueStream(spark, str(tmp_path), accounts.drop("balance"), ledger)
+    with pytest.raises(Exception):
+        job.process(messages, 0)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before

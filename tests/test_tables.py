@@ -143,3 +143,73 @@ def test_build_from_csv_files(spark, tmp_path):
     assert summary["faq"] == (40, "visit nearest branch required document apply online website")
     replies = {intent: reply for intent, _, _, reply in catalogue.CORPUS_SOURCES}
     assert summary["fraud"] == (40, replies["fraud"])
+
+
+def test_draws_are_even(spark):
+    """Loan amounts over ten equal bins, to one percent; user ids reach every user and none beyond."""
+    loans = generate("loans", spark.range(1, 400_001), users=1000)
+    low, width = 100_000, (10_000_000 - 100_000) / 10
+    bins = loans.groupBy(F.least(F.floor((F.col("amount") - low) / width), F.lit(9)).alias("bin")).count().collect()
+    assert len(bins) == 10 and all(abs(b["count"] - 40_000) < 600 for b in bins)
+    assert loans.agg(F.min("user_id"), F.max("user_id"), F.countDistinct("user_id")).first()[:] == (1, 1000, 1000)
+    from tellerflow.sources.generate import _Row
+
+    draws = spark.range(1, 200_001).select(_Row("t", 1, "2025-01-01 00:00:00", 1).draw("x").alias("x"))
+    low, high = draws.agg(F.min("x"), F.max("x")).first()
+    assert 0 <= low < 2**45 and 2**59 < high < 2**60
+
+
+def test_generated_users_exist(spark, sf_dir):
+    import __spark_entry__ as entry
+
+    users = entry.QUERIES["gen_user_details"](spark, sf_dir).select("user_id")
+    for name in ("transaction_details", "loans", "complaints", "assistance"):
+        rows = entry.QUERIES[f"gen_{name}"](spark, sf_dir)
+        assert rows.join(users, "user_id", "left_anti").count() == 0
+
+
+def test_faq_answers_reach_every_benchmark_row(spark):
+    from tellerflow.sources import tables
+
+    folder = "/root/testdata/sf0.1"
+    answers = tables.view(spark, folder, tables.CORPUS_TABLES["faqs"]).select("answer").distinct()
+    items = tables.table(spark, folder, "benchmark").select("text").distinct()
+    assert answers.count() == items.count() == 200
+
+
+def test_repeated_ids_count_once_in_the_summary(spark):
+    rows = spark.createDataFrame([(1, "q", "zeta"), (1, "q", "beta"), (2, "q", "gamma")], "question_id long, question string, answer string")
+    found = corpus.intent_mapping({"faqs": rows}).collect()
+    assert [(r["intent"], r["count"], r["sample_response"]) for r in found] == [("faq", 3, "beta")]
+    stored = corpus.training_corpus({"faqs": rows}, {})
+    assert [tuple(r) for r in corpus.summarize(stored).select("intent", "count", "sample_response").collect()] == [("faq", 3, "beta")]
+
+
+def test_short_names_and_passwords_are_refused(spark):
+    rows = [(1, "ab", True, True, 9), (2, "abc", True, True, 7), (3, "abc", True, True, 8)]
+    requests = spark.createDataFrame(rows, "id long, username string, has_password boolean, passwords_match boolean, password_length int")
+    status = {r.id: r.status for r in chatlog.check_registrations(requests).collect()}
+    assert status == {1: "too_short", 2: "too_short", 3: "accepted"}
+
+
+def test_clearing_rewrites_the_stored_log(spark, tmp_path):
+    import os
+
+    start = dt.datetime(2024, 1, 1)
+    rows = spark.createDataFrame([(i, i % 3, "m", "r", "greeting", 0.5, start) for i in range(30)], schemas.CHAT_HISTORY)
+    log = chatlog.ChatLog(spark, f"{tmp_path}/log")
+    assert log.generation() == 0
+    log.append(rows.filter("id < 15"))
+    log.append(rows.filter("id >= 15"))
+    before = log.read()
+    log.clear(spark.createDataFrame([(1,)], "user_id long"))
+    assert log.generation() == 1
+    assert {r.user_id for r in log.read().collect()} == {0, 2} and log.read().count() == 20
+    assert before.count() == 30  # a reader of the old generation goes on
+    log.append(rows.filter("user_id = 1"))
+    assert log.read().count() == 30
+    # a rewrite that didn't end doesn't count
+    os.makedirs(f"{tmp_path}/log/generation=2")
+    assert log.generation() == 1
+    log.drop_old()
+    assert sorted(os.listdir(f"{tmp_path}/log")) == ["generation=1", "generation=2"]
