@@ -21,7 +21,7 @@ from .common import arrow_column, learnable, store, texts
 from .linear import fit_linear, sigmoid
 
 #: Labelled rows the models are fitted on, at most.
-TRAIN_ROWS = 30_000
+TRAIN_ROWS = 20_000
 #: Terms mined from the labelled rows that become voters.
 MINED_TERMS = 200
 #: A term that ends in ``~`` stands for all words that start so; stems have these lengths.
@@ -104,15 +104,16 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25) -> np.n
     side, trust = np.where(labels > 0, 1, -1), LABEL_TRUST
     belief = sigmoid(side * np.log(trust / (1 - trust)))
     for _ in range(rounds):
-        evidence = np.zeros(votes.shape)
+        evidence = np.zeros(votes.shape, np.float32)
         for kind in (-1, 0, 1):
             here = votes == kind
             toxic = (belief @ here + 0.1) / (belief.sum() + 0.3)
             clean = ((1 - belief) @ here + 0.1) / ((1 - belief).sum() + 0.3)
-            evidence += here * np.log(toxic / clean)
+            evidence += here * np.log(toxic / clean).astype(np.float32)
         # correlations between voters within the classes
-        rest = votes - np.outer(belief, belief @ votes / max(belief.sum(), 1e-9)) \
-            - np.outer(1 - belief, (1 - belief) @ votes / max((1 - belief).sum(), 1e-9))
+        rest = votes.astype(np.float32)
+        for own in (belief, 1 - belief):
+            rest -= np.outer(own, own @ votes / max(own.sum(), 1e-9)).astype(np.float32)
         joint = rest.T @ rest / rows
         spread = np.sqrt(np.maximum(np.diag(joint), 1e-9))
         related = (joint / np.outer(spread, spread)) ** 2
@@ -198,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, mined: int
         for batch in batches:
             pairs = [voters.read(x) for x in texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([f.tobytes() for _, f in pairs], pa.binary())],
+                [batch.column(0), batch.column(2), pa.array([v.tobytes() + f[width:].tobytes() for v, f in pairs], pa.binary())],
                 ["doc_id", "toxic", "features"])
 
     seen = labelled.select("doc_id", "text", "toxic").mapInArrow(read, "doc_id long, toxic int, features binary")
@@ -207,9 +208,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, mined: int
         weights = np.zeros(width + 7)
         weights[:len(terms)], weights[-1] = 1.0, -2.0
         return terms, weights
-    features = np.frombuffer(b"".join(map(bytes, found.features)), np.float32).reshape(len(found), -1)
-    belief = label_model(features[:, :width].astype(np.int8), found.toxic.to_numpy())
-    return terms, fit_linear(features, belief)
+    # a byte for each vote, then the other features
+    packed = np.frombuffer(b"".join(map(bytes, found.features)), np.uint8).reshape(len(found), -1)
+    votes, extra = packed[:, :width].view(np.int8), np.ascontiguousarray(packed[:, width:]).view(np.float32)
+    belief = label_model(votes, found.toxic.to_numpy())
+    return terms, fit_linear(np.column_stack([votes, extra]), belief)
 
 
 def scorer(terms: list[str], weights: np.ndarray):
