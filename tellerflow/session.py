@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import logging
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+log = logging.getLogger(__name__)
+
 
 def build_session(app: str = "tellerflow", cores: str = "*", shuffle_partitions: int | None = None) -> SparkSession:
     """A local session for tests and the bench; on a cluster the caller brings its own."""
@@ -17,6 +21,8 @@ def build_session(app: str = "tellerflow", cores: str = "*", shuffle_partitions:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
+        # checkpoints go when nothing refers to them any more
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # call-site tracking makes building large expressions in Python slow
@@ -49,6 +55,34 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/tellerflow-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in this application's part of the shared folder.
+
+    What lies there is deleted when the Python process ends in an orderly way, or
+    by ``clear_scratch``; results read it until then.
+    """
+    root = _scratch_root(spark)
+    if root not in _AT_EXIT:
+        _AT_EXIT.add(root)
+        atexit.register(_clear_at_exit, spark)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+_AT_EXIT: set[str] = set()
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all tables this application has stored for its own use, and so end every result that reads them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def _clear_at_exit(spark: SparkSession) -> None:
+    try:
+        clear_scratch(spark)
+    except Exception:  # the session or its JVM has ended before
+        log.info("scratch tables of a stopped session stay in %s", _AT_EXIT)

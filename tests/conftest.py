@@ -11,10 +11,11 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from tellerflow.session import build_session
+    from tellerflow.session import build_session, clear_scratch
 
     session = build_session("tellerflow-tests", cores="8", shuffle_partitions=8)
     yield session
+    clear_scratch(session)
     session.stop()
 
 

@@ -213,3 +213,17 @@ def test_clearing_rewrites_the_stored_log(spark, tmp_path):
     assert log.generation() == 1
     log.drop_old()
     assert sorted(os.listdir(f"{tmp_path}/log")) == ["generation=1", "generation=2"]
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    import os
+
+    from tellerflow import session
+
+    stored = files.store(spark.range(3).toDF("id"), "probe")
+    assert stored.count() == 3
+    root = session._scratch_root(spark)
+    other = session.scratch_path(spark, "probe").removeprefix("file:")
+    assert other.startswith(root.removeprefix("file:")) and spark.sparkContext.applicationId in other
+    kept = [name for name in os.listdir(root.removeprefix("file:")) if name.startswith("probe")]
+    assert kept
