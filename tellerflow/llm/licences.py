@@ -23,6 +23,7 @@ from .common import arrow_column, texts
 UNKNOWN = "unknown"
 #: Paragraphs of the corpus that train the unknown class, at most, from so many documents.
 NEGATIVES, NEGATIVE_DOCS = 1_500, 1_000
+EXAMPLE_CHARS = 400
 #: Distorted copies made of each template.
 VARIANTS = 24
 #: Words of a shingle and the share of shared shingles that confirm a prediction.
@@ -222,12 +223,13 @@ def paragraphs(text: str, place: dict[tuple[str, ...], int]) -> Iterator[tuple[i
 
 
 def train(docs: DataFrame, negatives: int = NEGATIVES, documents: int = NEGATIVE_DOCS) -> Model:
-    """A model whose unknown class comes from a bounded sample of the corpus: lines that no template resembles."""
-    sample = docs.select("doc_id", F.substring("text", 1, 1 << 16).alias("text")).filter("text is not null")
-    rows = sample.select(F.xxhash64("doc_id", "text").alias("h"), F.slice(F.split("text", "\n"), 1, 20).alias("lines"))
-    lines = rows.orderBy("h").limit(documents).select("h", F.explode("lines").alias("line")).select(
-        F.xxhash64("h", "line").alias("h"), F.substring("line", 1, 2000).alias("line"))
-    chosen = [words_of(r.line)[:60] for r in lines.orderBy("h", "line").limit(negatives).collect()]
+    """A model whose unknown class comes from a bounded sample of the corpus: parts of lines that no template resembles."""
+    chosen_ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
+    lines = docs.select("doc_id", "text").join(F.broadcast(chosen_ids), "doc_id").select(F.explode(F.split("text", "\n")).alias("line"))
+    # an example is a stretch of a line, from a place the line itself decides
+    place = F.pmod(F.xxhash64("line"), F.greatest(F.length("line") - EXAMPLE_CHARS, F.lit(1))).cast("int") + 1
+    examples = lines.select(F.xxhash64("line", F.lit(1)).alias("h"), F.substring("line", place, F.lit(EXAMPLE_CHARS)).alias("line"))
+    chosen = [words_of(r.line) for r in examples.distinct().orderBy("h", "line").limit(negatives).collect()]
     theirs = {s for t in TEMPLATES.values() for x in t for s in shingles(words_of(x), 4)}
     return fit([p for p in chosen if len(p) > 1 and not shingles(p, 4) & theirs])
 
