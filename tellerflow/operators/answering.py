@@ -54,11 +54,12 @@ def with_response(scored: DataFrame, facts: DataFrame) -> DataFrame:
     return found.unionByName(rest).withColumn("response", text).drop("kind", "arg", "account_type", "fact")
 
 
-def failed(messages: DataFrame) -> DataFrame:
+def failed(messages: DataFrame, name: str = "error") -> DataFrame:
     """Messages without text, which fail: they get the error reply and leave no
-    trace in the dialogue."""
+    trace in the dialogue. ``name`` may be ``request_failed``, the reply of the
+    application around the dialogue."""
     return messages.filter(F.col("message").isNull()).withColumns(
-        {"intent": F.lit("error"), "confidence": F.lit(0.0), "response": render.reply("error")}
+        {"intent": F.lit("error"), "confidence": F.lit(0.0), "response": render.reply(name)}
     )
 
 

@@ -7,18 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from tellerflow.functions import prompts
+from tellerflow.sources import catalogue
 
 
-def answer_with_model(messages: DataFrame, responses: DataFrame, model: Callable[[list[str]], list[str]]) -> DataFrame:
+def answer_with_model(
+    messages: DataFrame, responses: DataFrame, model: Callable[[list[str]], list[str]] | None
+) -> DataFrame:
     """Add intent, confidence and response to messages.
 
     ``messages`` has event_id, message, context (see ``dialogue.prompt_context``)
     and, nullable, the facts ``balance`` and ``transactions`` as text;
     ``responses(tag, templates)`` is the intent catalogue. The model is called for
     the label and, where the label is known, for the reply. Where it fails the
-    reply is an unfilled template.
+    reply is an unfilled template; where there is no model, every message gets the
+    reply that says so.
     """
     columns = messages.columns
+    if model is None:
+        return messages.withColumns(
+            {"intent": F.lit("error"), "confidence": F.lit(0.0), "response": F.lit(catalogue.REPLIES["no_model"])}
+        )
     asked = messages.withColumn("prompt", prompts.classification_prompt(F.col("message")))
     label = prompts.validate_label(F.col("raw"))
     labelled = prompts.apply_model(asked, model).withColumn("label", label).select(

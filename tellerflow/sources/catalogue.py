@@ -180,6 +180,8 @@ REPLIES = {
     "cancelled": "I've cancelled that request. Is there something else I can help you with?",
     "fallback": "I'm not sure how to respond to that. Could you please rephrase your question?",
     "error": "I'm sorry, I encountered an error. Please try again.",
+    "request_failed": "I apologize, but I'm having trouble processing your request at the moment.",
+    "no_model": "I'm sorry, I'm having trouble processing your request right now.",
     "unknown_tag": "I'm not sure how to respond to that. Could you please rephrase?",
 }
 DEFAULT_RECIPIENT = "the recipient"

@@ -240,3 +240,13 @@ def test_a_model_that_loses_answers_fails_its_batch(spark):
     asked = spark.createDataFrame([(i, f"m{i}") for i in range(5)], "id int, prompt string").coalesce(1)
     assert {r.raw for r in prompts.apply_model(asked, model).collect()} == {f"M{i}" for i in range(5)}
     assert {r.raw for r in prompts.apply_model(asked, lambda texts: []).collect()} == {None}
+
+
+def test_replies_without_a_model_and_for_failed_requests(spark):
+    from tellerflow.operators import answering
+    from tellerflow.sources import catalogue
+
+    messages = frame(spark, ["hi", None]).withColumn("context", F.lit("")).withColumn("balance", F.lit("1")).withColumn("transactions", F.lit("t"))
+    rows = answer_with_model(messages, files.intent_responses(files.default_intents(spark)), None).collect()
+    assert {(r.intent, r.confidence, r.response) for r in rows} == {("error", 0.0, catalogue.REPLIES["no_model"])}
+    assert [r.response for r in answering.failed(messages, "request_failed").collect()] == [catalogue.REPLIES["request_failed"]]
