@@ -694,7 +694,7 @@ def dialogue_stream(spark, sf_dir):
     """The chat log as the streaming job writes it, from event files in time order, one a batch."""
     events = tables.table(spark, sf_dir, "events")
     folder = scratch_path(spark, "events")
-    cuts = events.agg(F.percentile_approx("ts", [0.2, 0.4, 0.6, 0.8]).alias("cuts")).first().cuts
+    cuts = events.agg(F.percentile_approx("ts", [0.33, 0.67]).alias("cuts")).first().cuts
     for low, high in zip([None, *cuts], [*cuts, None]):
         part = events.filter(F.coalesce(F.col("ts") > F.lit(low), F.lit(low is None)) & F.coalesce(F.col("ts") <= F.lit(high), F.lit(high is None)))
         part.coalesce(1).write.mode("append").parquet(folder)

@@ -33,7 +33,7 @@ from tellerflow.sources.schemas import MESSAGES
 SNAPSHOT_EVERY = 20
 HISTORY = 10
 # Folders of the state tables.
-BUCKETS = 64
+BUCKETS = 16
 
 _PENDING = "struct<type:string,amount:decimal(38,2),recipient:string,from_account:string>"
 _ENTITIES = (
@@ -64,7 +64,7 @@ class DialogueStream:
         return f"{self.folder}/{table}/batch_id={batch_id}"
 
     def _write_state(self, rows: DataFrame, table: str, batch_id: int) -> None:
-        placed = rows.withColumn("bucket", _bucket())
+        placed = rows.withColumn("bucket", _bucket()).repartition("bucket")  # few files a folder
         placed.write.mode("overwrite").partitionBy("bucket").parquet(self._path(table, batch_id))
 
     def _delete(self, table: str, batch_id: int) -> None:
