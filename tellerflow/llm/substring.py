@@ -307,7 +307,8 @@ def remove_repeats(docs: DataFrame, width: int = 35, hot_runs: int = HOT_RUNS, d
     distinct = flagged.filter("mixed").groupBy("key", "seg").agg(
         F.sum("n").alias("w"), F.min(F.struct("rid", "start", "len")).alias("place"))
     distinct = store(distinct, "distinct")
-    hot = distinct.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot_runs).select("key", F.lit(True).alias("hot"))
+    # stored, so that Spark knows how few they are and needn't deal the distinct runs by anchor
+    hot = store(distinct.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot_runs).select("key", F.lit(True).alias("hot")), "hot")
     shards = max(1, -(-distinct.count() // SHARD_RUNS))
 
     def entry(mixed: Column, w: Column, is_hot: Column) -> Column:
