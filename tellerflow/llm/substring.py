@@ -318,6 +318,8 @@ def remove_repeats(docs: DataFrame, width: int = 35, hot_runs: int = HOT_RUNS, d
     chosen = distinct.join(hot, "key", "left").select("place.*", "key", "seg", "w", F.coalesce("hot", F.lit(False)).alias("hot"))
     chosen = chosen.select("rid", entry(F.lit(True), F.col("w"), F.col("hot")).alias("e"))
     wanted = plain.union(chosen).groupBy("rid").agg(F.collect_list("e").alias("entries"))
+    # many copies of one text: a join of stored tables is dealt anew where one rid holds too much
+    wanted = store(wanted, "wanted")
     texts = docs.select(rid.alias("rid"), "text").join(wanted, "rid").select("rid", "text", "entries")
     settled = store(texts.mapInArrow(_settle(width), SETTLED), "settled")
 
@@ -345,7 +347,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, hot_runs: int = HOT_RUNS, d
     result = settled.filter("line is null").select("rid", "n_removed", "kept").union(late)
     if digest_only:
         result = result.select("rid", "n_removed", F.sha2("kept", 256).alias("kept"))
-    result = store(result, "kept").dropDuplicates(["rid"])
+    result = store(result.dropDuplicates(["rid"]), "kept")
     joined = first.select("doc_id", "rid", "n_words", "digest").join(result, "rid", "left")
     removed = F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed")
     if digest_only:
