@@ -252,9 +252,10 @@ def links(distinct: DataFrame, distance: int = 4) -> DataFrame:
 def classes(distinct: DataFrame, distance: int = 4) -> DataFrame:
     """``(fp, component_id)`` of every row of ``distinct(fp, low)``, the component's smallest ``low``."""
     roots = connected(links(distinct.select("fp"), distance))
-    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("low").alias("component_id"))
+    placed = store(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "low", F.coalesce("root", "fp").alias("root")), "placed")
+    # stored, so that a very large component can be split in the join
+    least = store(placed.groupBy("root").agg(F.min("low").alias("component_id")), "least")
     return placed.join(least, "root").select("fp", "component_id")
 
 
