@@ -252,6 +252,7 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, shard_rows: int = SHA
     best = Window.partitionBy("vector").orderBy(F.desc("score"), "vec_id")
     merged = hits.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1)
     merged = merged.groupBy("vector").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("found"))
+    merged = store(merged, "merged")  # so that the queries of a frequent vector can be split in the join
     others = F.filter("found", lambda x: x["vec_id"] != F.col("query_id"))
     ranked = queries.join(merged, "vector").select("query_id", F.posexplode(F.slice(others, 1, k)).alias("pos", "hit"))
     return ranked.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), "hit.vec_id", "hit.score")
