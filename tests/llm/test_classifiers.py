@@ -107,6 +107,23 @@ def test_pruned_model_still_learns(spark, sf_dir):
     assert np.mean([p["lang"] == lang for p, (_, lang) in zip(pruned.predict([t for t, _ in rows]), rows)]) > 0.9
 
 
+def test_language_of_many_grams_loses_nothing(spark, sf_dir):
+    """Above the size of a broadcast model the predictions are the same, and a small language stays."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").limit(120)
+    rare = spark.createDataFrame([(10**6 + k, f"qwxz{chr(97 + k)} vjjk{chr(98 + k)}", "zz") for k in range(12)], "doc_id long, text string, lang string")
+    docs = docs.union(rare)
+    whole = {r.doc_id: r.found for r in langid.identify(docs).collect()}
+    joined = {r.doc_id: r.found for r in langid.identify(docs, model_grams=100).collect()}
+    assert whole.keys() == joined.keys()
+    for k, found in whole.items():
+        assert (joined[k].lang, joined[k].accepted) == (found.lang, found.accepted)
+        assert np.isclose(joined[k].score, found.score, atol=1e-4)
+    assert {joined[10**6 + k].lang for k in range(12)} == {"zz"}
+    bounded = langid.train(docs, model_grams=100)
+    assert "zz" in bounded.langs
+    langid.calibrate(bounded, docs)
+
+
 LICENSED = {
     "Released under the MIT License.": "MIT",
     "some text\nThis work is licensed under the GNU General Public License, version 3.\nmore": "GPL-3.0",
