@@ -3,7 +3,8 @@
 Words in small letters form n-grams of two and three words. A multinomial logistic regression over
 the n-grams of the templates tells the licence families and an unknown class apart; it is trained on
 distorted copies of the templates and on paragraphs of the corpus itself, and the limit below which
-a prediction counts as unknown is calibrated on examples kept back.
+a prediction counts as unknown is calibrated on examples kept back. A paragraph may hold several notices:
+the places of whole templates and the lines around them are classified one by one.
 """
 
 from __future__ import annotations
@@ -222,6 +223,135 @@ def paragraphs(text: str, place: dict[tuple[str, ...], int]) -> Iterator[tuple[i
         yield held
 
 
+def _template_shingles() -> dict[tuple[str, ...], list[int]]:
+    """The templates that hold each shingle."""
+    found: dict[tuple[str, ...], list[int]] = {}
+    for k, own in enumerate(WHOLE):
+        for shingle in own:
+            found.setdefault(shingle, []).append(k)
+    return found
+
+
+WHOLE = [shingles(words_of(x)) for t in TEMPLATES.values() for x in t]
+HOLDERS = _template_shingles()
+#: Words between two notices of a family that still count as one, at most: the longest template.
+LONGEST = max(len(words_of(x)) for t in TEMPLATES.values() for x in t)
+
+
+def _occurrences(hits: list[tuple[int, tuple[str, ...]]], size: int) -> Iterator[tuple[int, int]]:
+    """Word ranges that hold the share of a template's ``size`` shingles that confirms, from places of its shingles."""
+    held: list[tuple[int, tuple[str, ...]]] = []
+    for place, shingle in hits:
+        seen = next((k for k, (_, x) in enumerate(held) if x == shingle), -1)
+        if len(held) / size >= SIMILARITY and (seen >= 0 or place - held[-1][0] > SHINGLE):
+            yield held[0][0], held[-1][0] + SHINGLE
+            held, seen = [], -1
+        held = held[seen + 1:] + [(place, shingle)]
+        while place - held[0][0] > 2 * (size + SHINGLE) or (
+                len(held) > 1 and (len(held) - 1) / size >= SIMILARITY and held[1][0] - held[0][0] > SHINGLE):
+            held = held[1:]
+    if len(held) / size >= SIMILARITY:
+        yield held[0][0], held[-1][0] + SHINGLE
+
+
+def _places(words: list[str]) -> tuple[list[tuple[int, int]], list[int]]:
+    """Word ranges of whole templates, those that share half of the shorter one as one, and where any shingle begins."""
+    by: dict[int, list[tuple[int, tuple[str, ...]]]] = {}
+    hits = []
+    for k, shingle in enumerate(zip(*[words[j:] for j in range(SHINGLE)])):
+        if (holders := HOLDERS.get(shingle)) is not None:
+            hits.append(k)
+            for template in holders:
+                by.setdefault(template, []).append((k, shingle))
+    places: list[tuple[int, int]] = []
+    for start, end in sorted(x for t, own in by.items() for x in _occurrences(own, len(WHOLE[t]))):
+        if places and 2 * (min(end, places[-1][1]) - start) >= min(end - start, places[-1][1] - places[-1][0]):
+            places[-1] = places[-1][0], max(end, places[-1][1])
+        else:
+            places.append((start, end))
+    return places, hits
+
+
+def _own_share(words: list[str], family: str) -> float:
+    """The share of the words' shingles that one template of the family holds."""
+    own = shingles(words)
+    return max(len(own & shingles(words_of(t))) / len(own) for t in TEMPLATES[family]) if len(words) >= SHINGLE else 0.0
+
+
+def _line_ranges(text: str, start: int, end: int) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
+    """Each line's word range and offsets, and each word's offsets."""
+    lines, words, at = [], [], start
+    for line in text[start:end].split("\n"):
+        low = line.lower()
+        # small letters may be longer
+        back = range(len(line) + 1) if len(low) == len(line) else [k for k, c in enumerate(line) for _ in c.lower()] + [len(line)]
+        first = len(words)
+        words += [(at + back[m.start()], at + back[m.end() - 1] + 1) for m in WORD.finditer(low)]
+        lines.append((first, len(words), at, at + len(line)))
+        at += len(line) + 1
+    return lines, words
+
+
+def notices(text: str, model: Model) -> Iterator[tuple[int, int, str, float, float, bool]]:
+    """Start, end and verdict of every licence-like piece of a text, in order.
+
+    A paragraph with one notice is one piece. Otherwise whole templates wherever they lie and what
+    remains of each line are read one by one; neighbours are joined where they continue one template
+    or have the same family. A part of a template counts where it makes up its line.
+    """
+    for start, end, words in paragraphs(text, model.place):
+        places, hits = _places(words)
+        whole = model.read(words)
+        if hits and not (whole[3] and _own_share(words, whole[0]) >= SIMILARITY):
+            kept = _pieces(text, start, end, words, places, hits, model)
+            sure = [x for x in kept if x[5]]
+            if len(sure) > 1 or (sure and not (whole[3] and sure[0][2] == whole[0])):
+                yield from kept
+                continue
+        if whole[0] != UNKNOWN or whole[2] >= SIMILARITY:
+            yield start, end, *whole
+
+
+def _pieces(text: str, start: int, end: int, words: list[str], places: list[tuple[int, int]], hits: list[int],
+            model: Model) -> list[tuple[int, int, str, float, float, bool]]:
+    lines, offsets = _line_ranges(text, start, end)
+    ranges = list(places)
+    free, at = [], 0
+    for low, high in [*places, (len(words), len(words))]:
+        if low > at:
+            free.append((at, low))
+        at = max(at, high)
+    marks, line = iter(free), 0
+    for low, high in marks:
+        while lines[line][1] <= low:
+            line += 1
+        k = line
+        while k < len(lines) and lines[k][0] < high:
+            ranges.append((max(low, lines[k][0]), min(high, lines[k][1])))
+            k += 1
+    known = np.array(hits)
+    found: list[tuple[int, int, tuple[str, float, float, bool]]] = []
+    for low, high in sorted(ranges):
+        # what holds no shingle cannot be confirmed
+        if np.searchsorted(known, low) == np.searchsorted(known, high - SHINGLE, side="right"):
+            continue
+        verdict = model.read(words[low:high])
+        if found:
+            before, close, last = found[-1]
+            near = low <= close and high - before <= 2 * LONGEST
+            both = model.read(words[before:high]) if near else verdict
+            if near and both[3] and _own_share(words[before:high], both[0]) >= SIMILARITY:
+                found[-1] = before, max(close, high), both
+                continue
+            if verdict[0] == last[0] != UNKNOWN and low - close <= LONGEST:
+                found[-1] = before, max(close, high), (last[0], max(last[1], verdict[1]), max(last[2], verdict[2]), last[3] or verdict[3])
+                continue
+        found.append((low, high, verdict))
+    firsts, lasts = {x[0]: x[2] for x in lines if x[0] < x[1]}, {x[1]: x[3] for x in lines if x[0] < x[1]}
+    return [(firsts.get(low, offsets[low][0]), lasts.get(high, offsets[high - 1][1]), *verdict) for low, high, verdict in found
+            if verdict[0] != UNKNOWN or verdict[2] >= SIMILARITY]
+
+
 def train(docs: DataFrame, negatives: int = NEGATIVES, documents: int = NEGATIVE_DOCS) -> Model:
     """A model whose unknown class comes from a bounded sample of the corpus: parts of lines that no template resembles."""
     chosen_ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
@@ -235,7 +365,7 @@ def train(docs: DataFrame, negatives: int = NEGATIVES, documents: int = NEGATIVE
 
 
 def finder(model: Model):
-    """An expression over a text column: every licence-like paragraph with its verdict, in order."""
+    """An expression over a text column: every licence-like piece with its verdict, in order."""
     shared = SparkSession.active().sparkContext.broadcast((model.classes, model.place, model.weights, model.limit))
 
     def find(column: pa.Array) -> pa.Array:
@@ -243,10 +373,8 @@ def finder(model: Model):
         rows = []
         for text in texts(column):
             found = []
-            for start, end, words in paragraphs(text, own.place):
-                family, chance, like, confirmed = own.read(words)
-                if family != UNKNOWN or like >= SIMILARITY:
-                    found.append({"start": start, "end": end, "family": family, "probability": chance, "similarity": like, "confirmed": confirmed})
+            for start, end, family, chance, like, confirmed in notices(text, own):
+                found.append({"start": start, "end": end, "family": family, "probability": chance, "similarity": like, "confirmed": confirmed})
             rows.append(found)
         return pa.array(rows, FOUND_TYPE)
 
@@ -254,7 +382,7 @@ def finder(model: Model):
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """``(doc_id, found)`` per row of ``docs(doc_id, text, ...)``: paragraphs with family, probability, similarity, confirmed.
+    """``(doc_id, found)`` per row of ``docs(doc_id, text, ...)``: pieces with family, probability, similarity, confirmed.
 
     Offsets are code points. Every line of every text is read; only the training of the unknown class
     is on a bounded sample. Null and empty texts find nothing; repeated rows stay repeated; extra

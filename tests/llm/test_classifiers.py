@@ -150,6 +150,28 @@ def test_licences(spark, sf_dir):
         assert not any(model.read(words)[3] for _, _, words in licences.paragraphs(text, model.place)), text
 
 
+def test_several_notices_in_a_paragraph(spark, sf_dir):
+    model = licences.train(table(spark, sf_dir, "documents"))
+    mit, apache, gpl = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", \
+        "This work is licensed under the GNU General Public License, version 3."
+    prose = "The end of the story was told to the following day of the week, and the rest of the work is in the hands of the people. "
+
+    def confirmed(text):
+        return [(text[a:b].strip(" ."), family) for a, b, family, _, _, sure in licences.notices(text, model) if sure]
+
+    pair = [(mit[:-1], "MIT"), (apache[:-1], "Apache-2.0")]
+    assert confirmed(f"{mit}\n{apache}") == pair
+    assert confirmed(f"{mit} {apache}") == pair
+    assert confirmed(f"{prose * 5}{mit} {prose * 9}{apache} {prose * 5}") == pair
+    assert confirmed("\n".join([prose, mit, prose, apache, prose, prose, gpl])) == [*pair, (gpl[:-1], "GPL-3.0")]
+    assert confirmed(f"{prose}{mit} {prose * 9}{mit} {prose}") == [pair[0]] * 2  # far apart: two notices
+    assert confirmed(f"İ {prose}{apache} {mit}") == pair[::-1]
+    for text, family in LICENSED.items():
+        assert [x[1] for x in confirmed(text)] == [family], text
+    for text in FREE:
+        assert not confirmed(text), text
+
+
 def test_licence_edges(spark):
     docs = documents(spark, "found", "lines", "h")
     line = "\nReleased under the MIT License.\n"
