@@ -1,11 +1,12 @@
 """Nearest neighbours by inner product: a hierarchical navigable small-world graph per shard.
 
-Vectors fall into shards by a hash. Each shard's graph is built in one task and stored as flat
+Vectors fall into bands by their norm and within these into shards by a hash. Each shard's graph is built in one task and stored as flat
 arrays: per level the node numbers and a matrix of neighbours, padded with -1. Queries visit
 every shard in blocks; shard results are scored exactly and merged.
 
 Inner product turns into cosine by one more coordinate (the norm each vector lacks to the
-longest of its shard), so the graph holds unit vectors.
+longest of its shard), so the graph holds unit vectors. Norms of a band differ by a factor of four at
+most, so that this coordinate leaves the others their resolution.
 """
 
 from __future__ import annotations
@@ -30,6 +31,14 @@ QUERY_BLOCK = 256
 TASK_QUERIES = 2_048
 
 
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Vectors with the coordinate that makes all of them as long as the longest, at length one."""
+    vectors = vectors / np.abs(vectors).max()  # squares stay finite
+    norms = (vectors * vectors).sum(axis=1)
+    longest = norms.max()
+    return (np.column_stack([vectors, np.sqrt(np.maximum(longest - norms, 0))]) / np.sqrt(longest)).astype(np.float32)
+
+
 def _choose(points: np.ndarray, candidates: np.ndarray, sims: np.ndarray, limit: int) -> np.ndarray:
     """Up to ``limit`` links of each row out of candidates sorted by falling similarity (-1: none).
 
@@ -93,9 +102,7 @@ class Graph:
     @staticmethod
     def build(vectors: np.ndarray, seed: int = 5, width: int = BUILD_WIDTH) -> Graph:
         """The rows' order is the order of insertion."""
-        norms = (vectors * vectors).sum(axis=1)
-        longest = norms.max()
-        points = (np.column_stack([vectors, np.sqrt(np.maximum(longest - norms, 0))]) / np.sqrt(longest)).astype(np.float32)
+        points = _unit(vectors)
         height = (-np.log(np.random.default_rng(seed).random(len(points))) / np.log(LINKS)).astype(int)
         levels = []
         for level in range(height.max() + 1):
@@ -105,7 +112,8 @@ class Graph:
 
     def search(self, queries: np.ndarray, width: int = SEARCH_WIDTH) -> np.ndarray:
         """Node numbers of about the ``width`` nearest of each query (-1: fewer found)."""
-        queries = np.column_stack([queries, np.zeros(len(queries))]).astype(np.float32)
+        # only the direction of a query counts
+        queries = np.column_stack([queries / np.abs(queries).max(axis=1, keepdims=True), np.zeros(len(queries))]).astype(np.float32)
         entry = np.zeros((len(queries), 1), np.int64)
         nodes = self.levels[-1][0]
         for level in range(len(self.levels) - 1, -1, -1):
@@ -151,9 +159,7 @@ class Graph:
 
     @staticmethod
     def load(vectors: np.ndarray, flat: list[bytes]) -> Graph:
-        norms = (vectors * vectors).sum(axis=1)
-        longest = norms.max()
-        points = (np.column_stack([vectors, np.sqrt(np.maximum(longest - norms, 0))]) / np.sqrt(longest)).astype(np.float32)
+        points = _unit(vectors)
         plain = [np.frombuffer(x, "<i4").astype(np.int64) for x in flat]
         return Graph(points, [(n, k.reshape(len(n), -1)) for n, k in zip(plain[::2], plain[1::2])])
 
@@ -178,25 +184,35 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
-def build_index(distinct: DataFrame, shards: int) -> DataFrame:
-    """One row per shard and dimension: the vectors, their ids and the flat neighbour arrays."""
+def norm_band(vector: Column) -> Column:
+    """The band of a vector's norm: each spans a factor of four, and norms about one lie in the middle of theirs."""
+    top = F.array_max(F.transform(vector, F.abs))
+    squares = F.aggregate(vector, F.lit(0.0), lambda total, x: total + (x / top) * (x / top))
+    return F.floor((F.log2(top) + F.log2(squares) / 2) / 2 + 0.5).cast("int")
+
+
+def build_index(distinct: DataFrame, bands: DataFrame) -> DataFrame:
+    """One row per dimension, norm band and shard: the vectors, their ids and the flat neighbour arrays.
+
+    ``bands(size, band, shards)`` has the number of shards of each.
+    """
 
     def build(table: pa.Table) -> pa.Table:
         table = table.sort_by("order")
         vectors = _matrix(table.column("vector"))
         graph = Graph.build(vectors)
         return pa.table({
-            "size": table.column("size").slice(0, 1), "shard": table.column("shard").slice(0, 1),
+            "size": table.column("size").slice(0, 1), "band": table.column("band").slice(0, 1), "shard": table.column("shard").slice(0, 1),
             "vectors": pa.array([vectors.astype("<f8").tobytes()], pa.binary()),
             "ids": pa.array([table.column("ids").to_pylist()], pa.list_(pa.list_(pa.int64()))),
             "flat": pa.array([graph.arrays()], pa.list_(pa.binary())),
         })
 
-    keyed = distinct.select(
-        F.size("vector").alias("size"), F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int").alias("shard"),
+    keyed = distinct.join(bands, ["size", "band"]).select(
+        "size", "band", F.pmod(F.xxhash64("vector"), F.col("shards")).cast("int").alias("shard"),
         F.xxhash64("vector", F.lit(1)).alias("order"), "vector", "ids")
-    kind = "size int, shard int, vectors binary, ids array<array<long>>, flat array<binary>"
-    return keyed.groupBy("size", "shard").applyInArrow(build, kind)
+    kind = "size int, band int, shard int, vectors binary, ids array<array<long>>, flat array<binary>"
+    return keyed.groupBy("size", "band", "shard").applyInArrow(build, kind)
 
 
 def nearest(rows: DataFrame, k: int = 20, every: int = 20, shard_rows: int = SHARD_ROWS, width: int = SEARCH_WIDTH) -> DataFrame:
@@ -210,12 +226,12 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, shard_rows: int = SHA
     """
     plain = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
     plain = plain.filter(F.col("vec_id").isNotNull() & usable(F.col("vector"))).dropDuplicates(["vec_id", "vector"])
-    distinct = store(_distinct(plain, k + 1), "vectors")
-    shards = max(1, -(-distinct.count() // shard_rows))
-    index = store(build_index(distinct, shards), "index")
+    distinct = store(_distinct(plain, k + 1).withColumns({"size": F.size("vector"), "band": norm_band(F.col("vector"))}), "vectors")
+    bands = store(distinct.groupBy("size", "band").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards")), "bands")
+    index = store(build_index(distinct, bands), "index")
 
     asked = plain.filter(F.col("vec_id") % every == 0)
-    count = max(1, shards * shard_rows // (every * TASK_QUERIES))
+    count = max(1, -(-distinct.count() // shard_rows) * shard_rows // (every * TASK_QUERIES))
     blocks = asked.select("vector").distinct().select(
         F.size("vector").alias("size"), F.pmod(F.xxhash64("vector", F.lit(2)), F.lit(count)).cast("int").alias("block"), "vector")
 
@@ -244,9 +260,9 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, shard_rows: int = SHA
 
     OUT = pa.schema([("vector", pa.list_(pa.float64())), ("vec_id", pa.int64()), ("score", pa.float64())])
     # every block of queries meets every shard, and a shard's index is sent once a block
-    spread = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    spread = blocks.join(bands, "size").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
     sent = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    met = spread.groupBy("size", "shard", "block").cogroup(sent.groupBy("size", "shard", "block"))
+    met = spread.groupBy("size", "band", "shard", "block").cogroup(sent.groupBy("size", "band", "shard", "block"))
     hits = met.applyInArrow(search, "vector array<double>, vec_id long, score double")
     queries = asked.select(F.col("vec_id").alias("query_id"), "vector")
     best = Window.partitionBy("vector").orderBy(F.desc("score"), "vec_id")

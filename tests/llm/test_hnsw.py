@@ -41,6 +41,18 @@ def test_graph_recall_on_vectors_of_any_length():
     assert links.shape[1] == 2 * hnsw.LINKS and links.max() < 4000
 
 
+def test_recall_with_a_few_very_long_vectors(spark):
+    """Long vectors in a shard must not take the resolution from the others."""
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(3000, 16)).astype(np.float32)
+    for k, ratio in ((7, 1e4), (11, 1e6), (13, 1e8)):
+        vectors[k] *= ratio
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    want, got = exact([(k, v.astype(float)) for k, v in enumerate(vectors)]), found(hnsw.nearest(frame, width=96))
+    assert set(want) == set(got)
+    assert np.mean([len(set(want[q]) & set(got[q])) / 20 for q in want]) > 0.95
+
+
 def test_edges(spark):
     nan, inf = float("nan"), float("inf")
     same = [0.5, 0.5]
