@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tellerflow.sources.tables import table
 
-from . import chat, decontaminate, hnsw, langid, licences, mixing, pii, simhash, substring, toxicity
+from . import chat, decontaminate, hnsw, kmeans, langid, licences, mixing, pii, simhash, substring, toxicity, urlrules
 from .common import held_out
 
 
@@ -92,6 +92,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("found.lang").alias("lang_pred"), "found.score", "found.accepted")
 
 
+#: Host, path and action of the rules that the pages are judged by.
+URL_RULES = [
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"), ("com", "/de/", "block"),
+]
+
+
+def op11_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    found = urlrules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return found.select("page_id", "judged.*")
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return kmeans.table_of(kmeans.cluster(vectors), vectors)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_licence_scan": op2_licence_scan,
@@ -103,9 +121,59 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_language_id": op10_language_id,
+    "op11_url_rules": op11_url_rules,
+    "op12_centroid_clustering": op12_centroid_clustering,
 }
 
+
+
+def _clustering_sql(rounds: int = 3) -> str:
+    """Every round spelled out: ``near`` assigns the vectors, ``mid`` moves the centroids."""
+
+    def near(turn: int) -> str:
+        return f"""
+        near{turn} AS MATERIALIZED (
+          SELECT row, any_value(vec_id) AS vec_id, any_value(v) AS v,
+            min(CAST(list_inner_product(v, v) - 2 * list_inner_product(v, m) + list_inner_product(m, m) AS BIGINT) * 16 + c) AS best
+          FROM kept, mid{turn} GROUP BY row)"""
+
+    def mid(turn: int) -> str:
+        return f"""
+        mid{turn + 1} AS MATERIALIZED (
+          SELECT c, coalesce(any_value(moved), any_value(m)) AS m
+          FROM mid{turn} LEFT JOIN (
+            SELECT c, list(x ORDER BY k) AS moved
+            FROM (SELECT best % 16 AS c, k, floor(sum(v[k]) / count(*)) AS x FROM near{turn}, range(1, 65) AS axis(k) GROUP BY 1, k) GROUP BY c) USING (c)
+          GROUP BY c)"""
+
+    steps = ",".join(near(turn) + "," + mid(turn) for turn in range(rounds))
+    return f"""
+        WITH kept AS MATERIALIZED (
+          SELECT row_number() OVER () AS row, vec_id, [floor(64 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+          WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = 64),
+        mid0 AS MATERIALIZED (
+          SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, v) - 1 AS c, v AS m FROM kept QUALIFY c < 16),{steps},{near(rounds)},
+        final AS (SELECT c, sha256(string_agg(CAST(CAST(m[k] AS BIGINT) AS VARCHAR), ',' ORDER BY k)) AS centroid_sha256
+          FROM mid{rounds}, range(1, 65) AS axis(k) GROUP BY c)
+        SELECT vec_id, CAST(c AS INTEGER) AS cluster, best // 16 AS distance,
+          CAST(sum(best // 16) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(best // 16) OVER () AS BIGINT) AS inertia, centroid_sha256
+        FROM (SELECT *, best % 16 AS c FROM near{rounds}) JOIN final USING (c)"""
+
+
 ORACLES: dict[str, str] = {
+    "op11_url_rules": """
+        WITH rule(host, path, action) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
+          ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+        rest AS (
+          SELECT row_number() OVER () AS row, page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        page AS (
+          SELECT row, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+            regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+        fit AS (
+          SELECT row, arg_max(rule.host || rule.path, length(rule.host || rule.path)) AS rule, arg_max(action, length(rule.host || rule.path)) AS action
+          FROM page JOIN rule ON (page.host = rule.host OR ends_with(page.host, '.' || rule.host)) AND starts_with(page.path, rule.path) GROUP BY row)
+        SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM page LEFT JOIN fit USING (row)""",
+    "op12_centroid_clustering": _clustering_sql(),
     "op3_substring_dedup": r"""
         WITH doc AS (
           SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x{20}\x{09}-\x{0D}]+') AS words FROM documents),
