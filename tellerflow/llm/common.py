@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import sys
+import types
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -64,3 +67,15 @@ def arrow_column(function: Callable[[pa.Array], pa.Array], kind: str) -> Callabl
         return function(column)
 
     return F.arrow_udf(apply, kind)
+
+
+def per_worker(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What ``make`` returns, made once in a Python worker.
+
+    A worker serves many tasks, and each task brings its own copy of this package's functions and globals;
+    what shall outlive a task is kept in a module of its own.
+    """
+    kept = sys.modules.setdefault("_tellerflow_worker", types.ModuleType("_tellerflow_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]

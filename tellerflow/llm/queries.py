@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tellerflow.sources.tables import table
 
-from . import chat, decontaminate, hnsw, kmeans, langid, licences, mixing, pii, simhash, substring, toxicity, urlrules
+from . import chat, decontaminate, hnsw, kmeans, langid, licences, mixing, pii, simhash, substring, tokalign, toxicity, urlrules
 from .common import held_out
 
 
@@ -110,6 +110,10 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans.table_of(kmeans.cluster(vectors), vectors)
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokalign.align(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_licence_scan": op2_licence_scan,
@@ -123,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_url_rules": op11_url_rules,
     "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 
