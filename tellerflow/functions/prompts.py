@@ -55,6 +55,12 @@ def response_prompt(intent: Column, context: Column, message: Column, templates:
     return fill(REPLY, intent=intent, context=F.coalesce(context, F.lit("")), message=message, templates=listed)
 
 
+def response_prompt_text(intent: str, context: str, message: str, templates: list[str]) -> str:
+    """``response_prompt`` of one message."""
+    listed = "\n".join(f"- {t}" for t in templates)
+    return REPLY.format(intent=intent, context=context, message=message, templates=listed)
+
+
 def with_templates(messages: DataFrame, responses: DataFrame) -> DataFrame:
     """Add the templates of each message's intent, null for an unknown tag.
 
@@ -85,6 +91,15 @@ def fill_template(text: Column, intent: Column, balance: Column, transactions: C
     )
 
 
+def fill_template_text(text: str, intent: str, balance: str | None, transactions: str | None) -> str:
+    """``fill_template`` of one reply."""
+    if intent == "balance_inquiry" and balance is not None:
+        return text.replace("[AMOUNT]", balance)
+    if intent == "transaction_history" and transactions is not None:
+        return text.replace("[TRANSACTIONS]", transactions)
+    return text
+
+
 def apply_model(prompts: DataFrame, model: Callable[[list[str]], list[str]], prompt: str = "prompt") -> DataFrame:
     """Add ``raw``, the answer of a caller-supplied model, null where it failed.
 

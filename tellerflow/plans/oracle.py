@@ -619,6 +619,34 @@ SELECT event_id, intent, CAST(confidence AS DOUBLE) AS confidence, CASE
   ELSE 'On ' || intent || ': [AMOUNT] [TRANSACTIONS]' END AS response
 FROM asked"""
 
+ORACLES["model_dialogue"] = f"""
+WITH RECURSIVE said AS MATERIALIZED (
+  SELECT event_id, user_id, message, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS turn,
+    ['balance_inquiry', 'transaction_history', 'greeting', 'error'][length(message) % 4 + 1] AS intent,
+    [0.9, 0.9, 0.5, 0.0][length(message) % 4 + 1] AS confidence,
+    CASE WHEN user_id % 2 = 0 THEN CAST(user_id AS VARCHAR) END AS balance,
+    CASE WHEN user_id % 3 = 0 THEN 'T' || user_id END AS transactions
+  FROM ({tables.CONVERSATION_MESSAGES})),
+templates AS (SELECT * FROM (VALUES {", ".join(f"({_s(t)}, {_list(r)})" for t, _, r in c.DEFAULT_INTENTS)}) AS v(tag, replies)),
+rows AS MATERIALIZED (SELECT s.*, t.replies FROM said s LEFT JOIN templates t ON t.tag = s.intent),
+talk AS (
+  SELECT user_id, CAST(0 AS BIGINT) AS turn, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS response,
+    CAST([] AS VARCHAR[]) AS spoken, CAST([] AS VARCHAR[]) AS bots FROM (SELECT DISTINCT user_id FROM rows)
+  UNION ALL
+  SELECT user_id, turn, event_id, response, list_append(spoken, 'User: ' || message || chr(10) || 'Bot: ' || response), list_append(bots, response)
+  FROM (
+    SELECT *, CASE WHEN intent = 'error' THEN {_s(c.REPLIES['unknown_tag'])}
+      WHEN digest[1] IN ('c', 'f') THEN replies[event_id % len(replies) + 1]
+      WHEN intent = 'balance_inquiry' AND balance IS NOT NULL THEN 'After ' || digest[1:6] || ': ' || balance || ' [TRANSACTIONS]'
+      WHEN intent = 'transaction_history' AND transactions IS NOT NULL THEN 'After ' || digest[1:6] || ': [AMOUNT] ' || transactions
+      ELSE 'After ' || digest[1:6] || ': [AMOUNT] [TRANSACTIONS]' END AS response
+    FROM (
+      SELECT r.*, t.spoken, t.bots, md5(array_to_string(t.spoken[greatest(len(t.spoken) - 2, 1):], chr(10))) AS digest
+      FROM talk t JOIN rows r ON r.user_id = t.user_id AND r.turn = t.turn + 1)))
+SELECT t.event_id, t.turn, r.intent, CAST(r.confidence AS DOUBLE) AS confidence, t.response,
+  CAST(least(len(t.bots), 5) AS INTEGER) AS remembered, md5(array_to_string(t.bots[greatest(len(t.bots) - 4, 1):], chr(10))) AS bots_md5
+FROM talk t JOIN rows r USING (event_id)"""
+
 # --- Generated tables --------------------------------------------------------
 
 _NOW = f"TIMESTAMP '{AS_OF}'"

@@ -15,7 +15,7 @@ from tellerflow.functions.entities import with_entities
 from tellerflow.functions.intents import with_base_intent
 from tellerflow.operators import answering, chatlog, corpus, dialogue, lemmas
 from tellerflow.operators import ledger as ledgers
-from tellerflow.operators.model_answers import answer_with_model
+from tellerflow.operators.model_answers import answer_dialogues, answer_with_model
 from tellerflow.session import scratch_path
 from tellerflow.sources import catalogue, files, schemas, tables
 from tellerflow.sources.generate import generate
@@ -655,6 +655,36 @@ def model_answers(spark, sf_dir):
         "event_id", "intent", "confidence", "response")
 
 
+@query
+def model_dialogue(spark, sf_dir):
+    """The customers' turns of every conversation answered in the model's own dialogue, with a stub for the model.
+
+    The stub labels by the message's length, and answers with a digest of what was said before, or fails.
+    """
+    import hashlib
+
+    def model(texts: list[str]) -> list[str]:
+        answers = []
+        for text in texts:
+            before, _, rest = text.partition("\nMessage: ")
+            if "Intent: " not in before:
+                kind = len(rest.rpartition("\nAnswer with")[0]) % 4
+                answers.append(["balance_inquiry", "'transaction_history'", "?", None][kind])
+                continue
+            digest = hashlib.md5(before.partition("Earlier in this conversation:\n")[2].encode()).hexdigest()
+            answers.append(None if digest[0] in "cf" else f" After {digest[:6]}: [AMOUNT] [TRANSACTIONS]\n")
+        return answers
+
+    user = F.col("user_id")
+    messages = tables.view(spark, sf_dir, tables.CONVERSATION_MESSAGES).withColumns({
+        "balance": F.when(user % 2 == 0, user.cast("string")),
+        "transactions": F.when(user % 3 == 0, F.concat(F.lit("T"), user.cast("string")))})
+    told = answer_dialogues(messages, files.intent_responses(files.default_intents(spark)), model)
+    bots = F.array_join(F.transform("history", lambda x: x["bot"]), "\n")
+    return told.select(
+        "event_id", "turn", "intent", "confidence", "response", F.size("history").alias("remembered"), F.md5(bots).alias("bots_md5"))
+
+
 # --- Generated tables --------------------------------------------------------
 
 # Each generated table grows with the ids of one given table.

@@ -56,7 +56,7 @@ def to_parquet(spark: SparkSession, csv_path: str, schema: T.StructType, path: s
     return spark.read.schema(schema).parquet(path)
 
 
-def _missing(error: AnalysisException) -> bool:
+def is_missing(error: AnalysisException) -> bool:
     return (error.getCondition() or "").startswith("PATH_NOT_FOUND")
 
 
@@ -65,7 +65,7 @@ def read_optional(spark: SparkSession, path: str, schema: T.StructType, fmt: str
     try:
         return read_csv(spark, path, schema) if fmt == "csv" else spark.read.schema(schema).format(fmt).load(path)
     except AnalysisException as error:
-        if not _missing(error):
+        if not is_missing(error):
             raise
         log.warning("no table at %s, skipped", path)
         return None
@@ -94,7 +94,7 @@ def read_intents(spark: SparkSession, path: str, multi_line: bool = True) -> Dat
     try:
         return spark.read.schema(schemas.INTENTS).option("multiLine", str(multi_line).lower()).json(path)
     except AnalysisException as error:
-        if not _missing(error):
+        if not is_missing(error):
             raise
         log.warning("no intents at %s, built-in catalogue used", path)
         return default_intents(spark)
