@@ -765,3 +765,4 @@ def _generated() -> None:
 
 
 _generated()
+ORACLES["sliced_dialogue_stream"] = ORACLES["dialogue_stream"]

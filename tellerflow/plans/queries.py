@@ -20,6 +20,7 @@ from tellerflow.session import scratch_path
 from tellerflow.sources import catalogue, files, schemas, tables
 from tellerflow.sources.generate import generate
 from tellerflow.streaming.dialogue_stream import DialogueStream
+from tellerflow.streaming.keyed_dialogue import KeyedDialogue
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -719,18 +720,34 @@ QUERIES.update({f"gen_{name}": _generated(name) for name in GENERATED_FROM})
 # --- Streaming ---------------------------------------------------------------
 
 
-@query
-def dialogue_stream(spark, sf_dir):
-    """The chat log as the streaming job writes it, from event files in time order, one a batch."""
+BATCHES = 5
+
+
+def _stream_log(spark: SparkSession, sf_dir: str, job: DialogueStream | KeyedDialogue) -> DataFrame:
+    """The chat log a job writes of event files that arrive in time order; each arrival is a batch, and a restart."""
     events = tables.table(spark, sf_dir, "events")
     folder = scratch_path(spark, "events")
-    cuts = events.agg(F.percentile_approx("ts", [0.33, 0.67]).alias("cuts")).first().cuts
-    for low, high in zip([None, *cuts], [*cuts, None]):
-        part = events.filter(F.coalesce(F.col("ts") > F.lit(low), F.lit(low is None)) & F.coalesce(F.col("ts") <= F.lit(high), F.lit(high is None)))
-        part.coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    job = DialogueStream(
-        spark, scratch_path(spark, "dialogue"), tables.accounts(spark, sf_dir), tables.ledger(spark, sf_dir), snapshot_every=2
-    )
-    job.start(spark.sql(tables.on_frame(tables.UTTERANCES, "events"), events=stream), availableNow=True).awaitTermination()
+    shares = [k / BATCHES for k in range(1, BATCHES)]
+    cuts = events.agg(F.percentile_approx("ts", shares).alias("cuts")).first().cuts or []
+    # events without a time arrive first
+    arrival = sum((F.coalesce(F.col("ts") > F.lit(c), F.lit(False)).cast("int") for c in cuts), F.lit(0))
+    for number in range(len(cuts) + 1):
+        events.filter(arrival == number).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(events.schema).parquet(folder)
+        messages = spark.sql(tables.on_frame(tables.UTTERANCES, "events"), events=stream)
+        job.start(messages, availableNow=True).awaitTermination()
     return job.chat_log()
+
+
+@query
+def sliced_dialogue_stream(spark, sf_dir):
+    """The chat log as the job with its own state tables writes it; it cuts hot users into slices."""
+    accounts, ledger = tables.accounts(spark, sf_dir), tables.ledger(spark, sf_dir)
+    return _stream_log(spark, sf_dir, DialogueStream(spark, scratch_path(spark, "dialogue"), accounts, ledger, snapshot_every=2))
+
+
+@query
+def dialogue_stream(spark, sf_dir):
+    """The chat log as the job over Spark's keyed state writes it."""
+    accounts, ledger = tables.accounts(spark, sf_dir), tables.ledger(spark, sf_dir)
+    return _stream_log(spark, sf_dir, KeyedDialogue(spark, scratch_path(spark, "dialogue"), accounts, ledger))

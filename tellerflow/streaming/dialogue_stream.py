@@ -28,7 +28,8 @@ from pyspark.sql.streaming import StreamingQuery
 from tellerflow.functions.intents import with_base_intent
 from tellerflow.operators import answering, chatlog, dialogue, ledger as lookups
 from tellerflow.operators.timeline import HOT_ROWS, Trailing, along_timeline
-from tellerflow.sources.schemas import MESSAGES
+from tellerflow.sources.files import read_optional
+from tellerflow.sources.schemas import CHAT_HISTORY, MESSAGES
 
 SNAPSHOT_EVERY = 20
 HISTORY = 10
@@ -165,7 +166,8 @@ class DialogueStream:
         return (writer.trigger(**trigger) if trigger else writer).start()
 
     def chat_log(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/chat_log").drop("batch_id")
+        found = read_optional(self.spark, f"{self.folder}/chat_log", CHAT_HISTORY, "parquet")
+        return self.spark.createDataFrame([], CHAT_HISTORY) if found is None else found.select(*CHAT_HISTORY.names)
 
     def late_rows(self) -> DataFrame:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/late")
