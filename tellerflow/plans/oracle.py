@@ -571,6 +571,7 @@ SELECT doc_id, lang, CASE lang {" ".join(f"WHEN {_s(k)} THEN {_s(v)}" for k, v i
 # --- Files -------------------------------------------------------------------
 
 ORACLES["scan_csv_roundtrip"] = "SELECT doc_id, text, lang, source, n_chars FROM documents"
+ORACLES["scan_csv_splits"] = ORACLES["scan_csv_roundtrip"]
 ORACLES["intent_patterns_flat"] = """
 SELECT p_brand AS tag, CAST(generate_subscripts(w, 1) - 1 AS INTEGER) AS place, unnest(w) AS pattern
 FROM (SELECT p_brand, string_split(p_name, ' ') AS w FROM part) AS s

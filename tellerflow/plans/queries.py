@@ -18,6 +18,7 @@ from tellerflow.operators import ledger as ledgers
 from tellerflow.operators.model_answers import answer_dialogues, answer_with_model
 from tellerflow.session import scratch_path
 from tellerflow.sources import catalogue, files, schemas, tables
+from tellerflow.sources.csv_splits import read_csv_splits
 from tellerflow.sources.generate import generate
 from tellerflow.streaming.dialogue_stream import DialogueStream
 from tellerflow.streaming.keyed_dialogue import KeyedDialogue
@@ -577,6 +578,15 @@ def scan_csv_roundtrip(spark, sf_dir):
     return files.read_csv(spark, path, documents.schema)
 
 
+@query
+def scan_csv_splits(spark, sf_dir):
+    """Documents written as one CSV file, read back by many tasks."""
+    path = scratch_path(spark, "documents_csv")
+    documents = tables.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    files.write_csv(documents.coalesce(1), path)
+    return read_csv_splits(spark, path, documents.schema, split_bytes=1 << 22)
+
+
 @query
 def intent_patterns_flat(spark, sf_dir):
     """Intent files written per part, one document per line, scanned and flattened."""

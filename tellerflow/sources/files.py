@@ -22,15 +22,17 @@ CSV_OPTIONS = {
 }
 
 
+# No value is this; the reader would otherwise take empty text for null.
+NULL_MARK = "\u0000"
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV with a header row and quoted line breaks.
 
-    Such files cannot be split, so a large table should come as many files, or
-    be converted once with ``to_parquet``. Nothing between two commas is null;
-    ``""`` is empty text. (The null marker only keeps the reader from taking
-    empty text for null; it does not occur in files.)
+    One task reads a file: this is for tables of many files. Large files are read
+    by ``csv_splits.read_csv_splits``. Nothing between two commas is null; ``""`` is empty text.
     """
-    reader = spark.read.options(**CSV_OPTIONS).option("multiLine", "true").option("nullValue", "\u0000")
+    reader = spark.read.options(**CSV_OPTIONS).option("multiLine", "true").option("nullValue", NULL_MARK)
     return reader.schema(schema).csv(path)
 
 

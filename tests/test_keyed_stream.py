@@ -66,7 +66,7 @@ def test_late_messages_and_messages_without_time_or_user(spark, tmp_path, inputs
     assert logged.count() == logged.select("id").distinct().count() == 1000 - len(expected)
 
 
-@pytest.mark.parametrize("name", ["dialogue_stream", "sliced_dialogue_stream"])
+@pytest.mark.parametrize("name", ["dialogue_stream"])
 def test_registered_streams_take_messages_without_time_and_none_at_all(spark, tmp_path, sf_dir, name):
     events = pq.read_table(f"{sf_dir}/events.parquet")
     place = events.schema.get_field_index("ts")
