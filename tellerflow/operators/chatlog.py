@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tellerflow.functions.prompts import strip
+from tellerflow.operators.keyed_table import FOLDERS, KeyedTable
 from tellerflow.sources import schemas
 
 RECENT = 10
@@ -35,51 +36,15 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-class ChatLog:
-    """The stored log: a folder with one subfolder per generation, the newest complete one being the log.
+class ChatLog(KeyedTable):
+    """The stored log, by user and time."""
 
-    Appending adds files to the newest generation. Clearing writes the rows that stay
-    as the next generation, so nothing is read and overwritten at once, a job that
-    fails half-way leaves the log as it was, and readers of the old generation finish.
-    One writer at a time.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _files(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        return path, path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-
-    def generation(self) -> int:
-        """The newest generation whose first write has ended; 0 if there is none."""
-        path, fs = self._files()
-        if not fs.exists(path):
-            return 0
-        names = [s.getPath().getName() for s in fs.listStatus(path)]
-        found = [int(n.partition("=")[2]) for n in names if n.startswith("generation=")]
-        done = [g for g in found if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._path(g)}/_SUCCESS"))]
-        return max(done, default=0)
-
-    def _path(self, generation: int) -> str:
-        return f"{self.folder}/generation={generation}"
-
-    def append(self, rows: DataFrame) -> None:
-        append(rows, self._path(self.generation()))
-
-    def read(self) -> DataFrame:
-        return self.spark.read.schema(schemas.CHAT_HISTORY).parquet(self._path(self.generation()))
+    def __init__(self, spark: SparkSession, folder: str, folders: int = FOLDERS):
+        super().__init__(spark, folder, schemas.CHAT_HISTORY, "user_id", ("timestamp", "id"), folders)
 
     def clear(self, users: DataFrame) -> None:
-        """Remove the rows of the given users from the stored log."""
-        old = self.generation()
-        clear_chats(self.read(), users).write.mode("overwrite").parquet(self._path(old + 1))
-
-    def drop_old(self) -> None:
-        """Delete all generations before the newest, when nobody reads them any more."""
-        _, fs = self._files()
-        for generation in range(self.generation()):
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self._path(generation)), True)
+        """Remove the rows of the given users."""
+        self.rewrite(users, lambda rows: clear_chats(rows, users))
 
 
 def recent_chats(log: DataFrame, n: int = RECENT) -> DataFrame:

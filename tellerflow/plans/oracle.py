@@ -540,10 +540,13 @@ SELECT b.event_id, b.base_intent AS intent, {_CHOSEN} AS reply
 FROM base b LEFT JOIN templates t ON t.tag = b.base_intent"""
 ORACLES["template_fill"] = f"""
 WITH base AS ({_BASE}), {_RAW}, {_TABLES},
-newest AS (
-  SELECT user_id, string_agg({_LINE}, '; ' ORDER BY rn) AS transactions
-  FROM (SELECT *, {_TOP5.format(keys='user_id')} AS rn FROM ledger l WHERE account_type = 'checking') AS r
-  WHERE rn <= 5 GROUP BY user_id)
+shown AS (
+  SELECT user_id, account_type || ': ' || string_agg({_LINE}, '; ' ORDER BY rn) AS part
+  FROM (SELECT *, {_TOP5.format(keys='user_id, account_type')} AS rn FROM ledger l) AS r
+  WHERE rn <= 5 GROUP BY user_id, account_type),
+newest AS (SELECT user_id, string_agg(part, '; ' ORDER BY part) AS transactions FROM shown GROUP BY user_id),
+held AS (SELECT user_id, string_agg(account_type || ': ' || CAST(balance AS VARCHAR), '; ' ORDER BY account_type || ': ' || CAST(balance AS VARCHAR)) AS balance
+  FROM accounts GROUP BY user_id)
 SELECT b.event_id, b.intent, CASE
     WHEN b.intent = 'balance_inquiry' AND a.balance IS NOT NULL
       THEN replace({_CHOSEN}, '[AMOUNT]', CAST(a.balance AS VARCHAR))
@@ -551,7 +554,7 @@ SELECT b.event_id, b.intent, CASE
       THEN replace({_CHOSEN}, '[TRANSACTIONS]', n.transactions)
     ELSE {_CHOSEN} END AS reply
 FROM labelled b LEFT JOIN templates t ON t.tag = b.intent
-LEFT JOIN accounts a ON a.user_id = b.user_id AND a.account_type = 'savings'
+LEFT JOIN held a ON a.user_id = b.user_id
 LEFT JOIN newest n ON n.user_id = b.user_id"""
 _SHOWN = "coalesce(array_to_string(list_transform(t.choices, lambda x: '- ' || x), chr(10)), '')"
 ORACLES["prompt_dataset"] = f"""

@@ -15,6 +15,7 @@ from tellerflow.functions.entities import with_entities
 from tellerflow.functions.intents import with_base_intent
 from tellerflow.operators import answering, chatlog, corpus, dialogue, lemmas
 from tellerflow.operators import ledger as ledgers
+from tellerflow.operators.keyed_table import KeyedTable
 from tellerflow.operators.model_answers import answer_dialogues, answer_with_model
 from tellerflow.session import scratch_path
 from tellerflow.sources import catalogue, files, schemas, tables
@@ -378,8 +379,11 @@ def accounts_upsert(spark, sf_dir):
             F.col("first_order").cast("decimal(18,2)").alias("balance"),
         )
     )
-    merged = chatlog.upsert_accounts(tables.accounts(spark, sf_dir), incoming)
-    return merged.withColumn("balance", F.col("balance").cast("string"))
+    incoming, accounts = files.store(incoming, "incoming"), files.store(tables.accounts(spark, sf_dir), "accounts")
+    stored = KeyedTable(spark, scratch_path(spark, "accounts_by_user"), accounts.schema, "user_id", ("account_type",))
+    stored.append(accounts)
+    stored.rewrite(incoming, lambda rows: chatlog.upsert_accounts(rows, incoming))
+    return stored.read().withColumn("balance", F.col("balance").cast("string"))
 
 
 @query
@@ -405,7 +409,7 @@ def render_response(spark, sf_dir):
 
 def _stored_log(spark: SparkSession, sf_dir: str) -> chatlog.ChatLog:
     log = chatlog.ChatLog(spark, scratch_path(spark, "chat_log"))
-    log.append(_chat_log(spark, sf_dir))
+    log.append(files.store(_chat_log(spark, sf_dir), "chat-rows"))
     return log
 
 
@@ -424,7 +428,8 @@ def chat_history_top10(spark, sf_dir):
 @query
 def latest_chats(spark, sf_dir):
     """The newest rows of one user."""
-    return chatlog.user_chats(_stored_log(spark, sf_dir).read(), tables.SHOWN_USER).select("id", "message", "response")
+    shown = _stored_log(spark, sf_dir).of(tables.SHOWN_USER)
+    return chatlog.user_chats(shown, tables.SHOWN_USER).select("id", "message", "response")
 
 
 @query
@@ -446,8 +451,10 @@ def chat_orphans(spark, sf_dir):
 @query
 def user_lookup(spark, sf_dir):
     """The user row of one name."""
-    users = chatlog.unique_users(tables.view(spark, sf_dir, tables.REGISTRATIONS))
-    return chatlog.find_user(users, f"user{tables.SHOWN_USER}")
+    users = files.store(chatlog.unique_users(tables.view(spark, sf_dir, tables.REGISTRATIONS)), "users")
+    stored = KeyedTable(spark, scratch_path(spark, "users_by_name"), users.schema, "username")
+    stored.append(users)
+    return stored.of(f"user{tables.SHOWN_USER}")
 
 
 @query
@@ -524,14 +531,12 @@ def template_pick(spark, sf_dir):
 
 @query
 def template_fill(spark, sf_dir):
-    """Templates filled with each user's balance and newest transactions."""
+    """Templates filled with the balances and newest transactions of all accounts of each user."""
+    per_user = lambda lines: F.array_join(F.array_sort(F.collect_list(F.concat(F.col("account_type"), F.lit(": "), lines))), "; ")
     days = ledgers.daily_listing(tables.ledger(spark, sf_dir))
-    newest = ledgers.recent_listing(days).filter(F.col("account_type") == "checking").select(
-        "user_id", F.array_join(F.transform("rows", ledgers.signed_line), "; ").alias("transactions")
-    )
-    balance = tables.accounts(spark, sf_dir).filter(F.col("account_type") == "savings").select(
-        "user_id", F.col("balance").cast("string").alias("balance")
-    )
+    lines = F.array_join(F.transform("rows", ledgers.signed_line), "; ")
+    newest = ledgers.recent_listing(days).groupBy("user_id").agg(per_user(lines).alias("transactions"))
+    balance = tables.accounts(spark, sf_dir).groupBy("user_id").agg(per_user(F.col("balance").cast("string")).alias("balance"))
     found = prompts.with_templates(_labelled(spark, sf_dir), _responses(spark))
     facts = found.join(balance, "user_id", "left").join(newest, "user_id", "left")
     chosen = prompts.template_reply(F.col("templates"), F.col("event_id"))

@@ -192,29 +192,6 @@ def test_short_names_and_passwords_are_refused(spark):
     assert status == {1: "too_short", 2: "too_short", 3: "accepted"}
 
 
-def test_clearing_rewrites_the_stored_log(spark, tmp_path):
-    import os
-
-    start = dt.datetime(2024, 1, 1)
-    rows = spark.createDataFrame([(i, i % 3, "m", "r", "greeting", 0.5, start) for i in range(30)], schemas.CHAT_HISTORY)
-    log = chatlog.ChatLog(spark, f"{tmp_path}/log")
-    assert log.generation() == 0
-    log.append(rows.filter("id < 15"))
-    log.append(rows.filter("id >= 15"))
-    before = log.read()
-    log.clear(spark.createDataFrame([(1,)], "user_id long"))
-    assert log.generation() == 1
-    assert {r.user_id for r in log.read().collect()} == {0, 2} and log.read().count() == 20
-    assert before.count() == 30  # a reader of the old generation goes on
-    log.append(rows.filter("user_id = 1"))
-    assert log.read().count() == 30
-    # a rewrite that didn't end doesn't count
-    os.makedirs(f"{tmp_path}/log/generation=2")
-    assert log.generation() == 1
-    log.drop_old()
-    assert sorted(os.listdir(f"{tmp_path}/log")) == ["generation=1", "generation=2"]
-
-
 def test_scratch_tables_can_be_cleared(spark):
     import os
 
