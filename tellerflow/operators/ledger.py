@@ -119,6 +119,20 @@ def recent_listing(days: DataFrame) -> DataFrame:
     return days.groupBy(*ACCOUNT).agg(F.max_by("upto", "date").alias("rows"))
 
 
+def account_history(accounts: DataFrame, ledger: DataFrame, limit: int = LISTED) -> DataFrame:
+    """Every account with its balance and newest rows, null where it has none.
+
+    Of tables bucketed by user nothing moves: the newest rows are found where they lie, and users meet there.
+    """
+    kept = newest(ledger, ACCOUNT, limit).select(*ACCOUNT, F.struct(*_ROW).alias("row"))
+    listed = kept.groupBy(*ACCOUNT).agg(_newest_first(F.collect_list("row"), limit).alias("rows"))
+    # by user alone, as the buckets are: one entry for each account of a user
+    entries = F.map_from_entries(F.collect_list(F.struct("account_type", "rows")))
+    theirs = listed.groupBy("user_id").agg(entries.alias("listings"))
+    joined = accounts.select(*ACCOUNT, "balance").join(theirs, "user_id", "left")
+    return joined.select(*ACCOUNT, "balance", F.element_at("listings", F.col("account_type")).alias("rows"))
+
+
 def balances(asked: DataFrame, accounts: DataFrame) -> DataFrame:
     """Add the balance of the account each row names; null when it has none."""
     return asked.join(accounts.select(*ACCOUNT, "balance"), ACCOUNT, "left")

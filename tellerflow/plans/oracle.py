@@ -360,6 +360,14 @@ WITH {_TABLES},
 ranked AS (SELECT *, {_TOP5.format(keys='user_id, account_type')} AS rn FROM ledger l)
 SELECT user_id, account_type, string_agg(chr(10) || '- ' || {_LINE}, '' ORDER BY rn) AS listing
 FROM ranked WHERE rn <= 5 GROUP BY user_id, account_type"""
+ORACLES["bucketed_history"] = f"""
+WITH {_TABLES},
+ranked AS (SELECT *, {_TOP5.format(keys='user_id, account_type')} AS rn FROM ledger l),
+listed AS (
+  SELECT user_id, account_type, string_agg(chr(10) || '- ' || {_LINE}, '' ORDER BY rn) AS listing
+  FROM ranked WHERE rn <= 5 GROUP BY user_id, account_type)
+SELECT a.user_id, a.account_type, CAST(a.balance AS VARCHAR) AS balance, l.listing
+FROM accounts a LEFT JOIN listed l ON l.user_id = a.user_id AND l.account_type = a.account_type"""
 _SELECTED = "l.user_id = s.user_id AND l.account_type = s.active_account"
 ORACLES["txn_by_id"] = f"""
 WITH {_SCORED}, {_TABLES}

@@ -346,6 +346,16 @@ def render_history(spark, sf_dir):
     return ledgers.recent_listing(days).select("user_id", "account_type", lines.alias("listing"))
 
 
+@query
+def bucketed_history(spark, sf_dir):
+    """Balance and newest rows of every account from tables bucketed by user."""
+    ledger = files.store_bucketed(tables.ledger(spark, sf_dir), "ledger", "user_id", 16, ("account_type", "date"))
+    accounts = files.store_bucketed(tables.accounts(spark, sf_dir), "accounts", "user_id", 16, ("account_type",))
+    return ledgers.account_history(accounts, ledger).select(
+        "user_id", "account_type", F.col("balance").cast("string").alias("balance"),
+        ledgers.bullet_list(F.transform("rows", ledgers.signed_line)).alias("listing"))
+
+
 @query
 def txn_by_id(spark, sf_dir):
     asked = _requests(spark, sf_dir).filter(F.col("transaction_id").isNotNull())

@@ -52,6 +52,20 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def store_bucketed(df: DataFrame, name: str, key: str, buckets: int, order: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` stored as a table bucketed by ``key``, one file a bucket, sorted by ``key`` and ``order``.
+
+    Windows and groups by the key, alone or with other columns, and joins by the key then read it without a shuffle; a side
+    that isn't bucketed is shuffled to it. So do joins by the key and more columns where the session sets
+    ``spark.sql.requireAllClusterKeysForCoPartition`` to false. A bucket is one task: a table where one key holds a large part of all
+    rows is better left unbucketed. Take no fewer buckets than shuffle partitions, or Spark may shuffle after all.
+    """
+    path = scratch_path(df.sparkSession, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key, *order).option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def to_parquet(spark: SparkSession, csv_path: str, schema: T.StructType, path: str) -> DataFrame:
     """Convert a CSV table once; every later scan is columnar and splits."""
     write_table(read_csv(spark, csv_path, schema), path)

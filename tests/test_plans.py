@@ -5,6 +5,9 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from tellerflow.functions.intents import with_base_intent
+from tellerflow.operators import answering, ledger as ledgers
+from tellerflow.sources import files, tables
 
 
 def plan(df, mode="simple"):
@@ -13,7 +16,7 @@ def plan(df, mode="simple"):
     )
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.QUERIES) - {"dialogue_stream", "model_answers"}))
+@pytest.mark.parametrize("name", sorted(set(entry.QUERIES) - {"dialogue_stream", "sliced_dialogue_stream", "model_answers", "model_dialogue"}))
 def test_no_python_workers_and_no_cross_joins(spark, sf_dir, name):
     text = plan(entry.queries()[name](spark, sf_dir))
     for operator in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "CartesianProduct", "NestedLoopJoin"):
@@ -78,3 +81,41 @@ def test_log_queries_read_the_stored_log(spark, sf_dir):
     for name in ("chat_history_top10", "chat_orphans", "chat_cleared", "latest_chats"):
         text = plan(entry.QUERIES[name](spark, sf_dir))
         assert "ReadSchema: struct<id:bigint" in text and "fact" not in text and "entities" not in text, name
+
+
+def first_above(text, scan, names):
+    """The first of the named steps above each scan of a table."""
+    lines, found = text.splitlines(), []
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for at, line in enumerate(lines):
+        if "FileScan" in line and scan in line:
+            level = depth(line)
+            for above in reversed(lines[:at]):
+                if depth(above) < level:
+                    level = depth(above)
+                    if any(n in above for n in names):
+                        found.append(next(n for n in names if n in above))
+                        break
+            else:
+                found.append(None)
+    return found
+
+
+def test_bucketed_accounts_and_ledger_are_not_shuffled(spark, sf_dir):
+    ledger = files.store_bucketed(tables.ledger(spark, sf_dir), "ledger", "user_id", 16, ("account_type", "date"))
+    accounts = files.store_bucketed(tables.accounts(spark, sf_dir), "accounts", "user_id", 16, ("account_type",))
+    asked = files.store(answering.requests(with_base_intent(tables.utterances(spark, sf_dir))), "asked")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.requireAllClusterKeysForCoPartition": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert "Exchange" not in plan(ledgers.account_history(accounts, ledger))
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        text = plan(found := ledgers.facts(accounts, ledger, asked))
+        assert first_above(text, "default.ledger_", ["Exchange", "Aggregate"]) == ["Aggregate", "Aggregate"]
+        assert first_above(text, "default.accounts_", ["Exchange", "Union"]) == ["Union"]
+        plainly = ledgers.facts(tables.accounts(spark, sf_dir), tables.ledger(spark, sf_dir), asked)
+        assert sorted(map(str, found.collect())) == sorted(map(str, plainly.collect()))
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
