@@ -129,13 +129,14 @@ def keep_tokens(tokens: Column) -> Column:
     return F.filter(tokens, lambda t: ~t.isin(*dropped))
 
 
-def lemmatize_with(tokens: Column, lemmas: dict[str, str]) -> Column:
-    """Replace tokens by a literal table; domain terms stay as they are.
+def lemmatize_with(tokens: Column, lemmas: dict[str, str], keep: list[str] | None = None) -> Column:
+    """Replace tokens by a literal table; those to ``keep``, the domain terms if not given, stay as they are.
 
     Any size gives the same result, but each hit searches the whole literal: large
     tables are for ``lemmas.lemmatize_tokens``, which joins them.
     """
-    used = {token: lemma for token, lemma in lemmas.items() if token not in catalogue.DOMAIN_TERMS}
+    kept = catalogue.DOMAIN_TERMS if keep is None else keep
+    used = {token: lemma for token, lemma in lemmas.items() if token not in kept}
     if not used:
         return tokens
     table = F.from_json(F.lit(json.dumps(used)), "map<string,string>")

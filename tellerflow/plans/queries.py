@@ -141,7 +141,7 @@ def lemma_tokens(spark, sf_dir):
     """Lemmas found by the noun rules in the corpus's own vocabulary."""
     prepared = _document_tokens(spark, sf_dir).select("doc_id", textprep.keep_tokens(F.col("tokens")).alias("kept"))
     kept = files.store(prepared, "tokens")  # read three times
-    vocabulary = files.store(kept.select(F.explode(F.array_distinct("kept")).alias("token")).distinct(), "vocabulary")
+    vocabulary = files.store(kept.select(F.explode("kept").alias("token")).distinct(), "vocabulary")
     found = lemmas.noun_lemmas(vocabulary, vocabulary.withColumnRenamed("token", "word"))
     # stored, so that its real size decides how it joins the tokens
     table = files.store(found, "lemmas")

@@ -102,7 +102,8 @@ def test_noun_lemmas(spark):
 def test_lemma_join_keeps_order_and_empty_documents(spark):
     docs = spark.createDataFrame([(1, ["b", "cats", "b", "cats"]), (2, [])], "id int, tokens array<string>")
     table = spark.createDataFrame([("cats", "cat")], "token string, lemma string")
-    found = {r.id: r.lemmas for r in lemmas.lemmatize_tokens(docs, "id", "tokens", table).collect()}
+    found = {r.id: r.lemmas for r in lemmas.lemmatize_tokens(docs, "id", "tokens", table, literal=0).collect()}
+    assert found == {r.id: r.lemmas for r in lemmas.lemmatize_tokens(docs, "id", "tokens", table).collect()}
     assert found == {1: ["b", "cat", "b", "cat"], 2: []}
 
 
@@ -113,7 +114,7 @@ def test_large_lemma_tables_are_taken(spark):
     frame = spark.createDataFrame([(1, "word7s word1999s accounts words"), (2, "")], "id int, text string")
     tokens = frame.select("id", F.split("text", " ").alias("t"))
     plain = {r.id: r.x for r in tokens.select("id", textprep.lemmatize_with(F.col("t"), table).alias("x")).collect()}
-    joined = {r.id: r.lemmas for r in lemmas.lemmatize_tokens(tokens, "id", "t", spark.createDataFrame(list(table.items()), "token string, lemma string")).collect()}
+    joined = {r.id: r.lemmas for r in lemmas.lemmatize_tokens(tokens, "id", "t", spark.createDataFrame(list(table.items()), "token string, lemma string"), literal=0).collect()}
     assert plain == joined and plain[1] == ["word7", "word1999", "accounts", "words"]
 
 
@@ -121,7 +122,7 @@ def test_lemmas_do_not_move_the_tokens(spark):
     from tellerflow.operators import lemmas
 
     frame = spark.createDataFrame([(k, ["cars", "a", "cars", None]) for k in range(5)], "id int, t array<string>")
-    found = lemmas.lemmatize_tokens(frame, "id", "t", spark.createDataFrame([("cars", "car")], "token string, lemma string"), ["s"])
+    found = lemmas.lemmatize_tokens(frame, "id", "t", spark.createDataFrame([("cars", "car")], "token string, lemma string"), ["s"], literal=0)
     assert {tuple(r.lemmas) for r in found.collect()} == {("car", "a", "car")}
     text = found._jdf.queryExecution().optimizedPlan().toString()
     assert "posexplode" not in text and text.count("Generate explode") == 1
