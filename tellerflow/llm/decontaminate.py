@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, arrow_column, utf8
+from .common import LOWER, arrow_column, per_worker, utf8
 
-#: Item words one automaton may hold; more items make further automata, never fewer items.
-AUTOMATON_WORDS = 100_000
+#: Item words one automaton may hold (about 0.2 kB each); more items make further automata, never fewer items.
+AUTOMATON_WORDS = 1_000_000
 
 #: Bytes of normalised text: letters lowered, what isn't part of a word turned to a space.
 WORD_BYTES = bytes(
@@ -28,42 +29,76 @@ def words_of(data: bytes) -> list[bytes]:
     return data.translate(WORD_BYTES).split()
 
 
-def build(items: list[tuple[str | None, bytes]], width: int) -> tuple[dict[bytes, int], ahocorasick.Automaton | None]:
-    """Word numbers, and the automaton over the items' windows; each end knows its length and items."""
-    numbers: dict[bytes, int] = {}
-    windows: dict[tuple[int, ...], set[str]] = {}
-    for item, data in items:
-        sequence = [numbers.setdefault(w, len(numbers) + 1) for w in words_of(data)]
-        for at in range(max(1, len(sequence) - width + 1)) if sequence else ():
-            windows.setdefault(tuple(sequence[at:at + width]), set()).update([] if item is None else [item])
-    if not windows:
-        return numbers, None
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for window, names in windows.items():
-        automaton.add_word(window, (len(window), sorted(names)))
-    automaton.make_automaton()
-    return numbers, automaton
-
-
-def scan_text(data: bytes, numbers: dict[bytes, int], automaton: ahocorasick.Automaton | None) -> dict:
-    """The number of words, the original code points of every hit word, and the items found."""
+Context = tuple[tuple[int, ...], tuple[int, ...]]
+
+
+class Matcher:
+    """One automaton over the items, and how to tell the windows from what it finds.
+
+    Its patterns are blocks of half a window's words, at every place of an item that half a window's
+    words divide: each window holds one of them whole. With a block go its contexts, the words up to half a window before
+    and behind it in the items. Where a block occurs in a text, the words around it that agree with a
+    context tell which windows occur. So the automaton has about one state a word, not one a word and window.
+    An item shorter than a window is one pattern.
+    """
+
+    def __init__(self, items: list[tuple[str | None, bytes]], width: int):
+        self.block, self.width = (width + 1) // 2, width
+        self.numbers: dict[bytes, int] = {}
+        patterns: dict[tuple[int, ...], dict[Context | None, set[str]]] = {}
+        for item, data in items:
+            words = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(data))
+            names = set() if item is None else {item}
+            if 0 < len(words) < width:
+                patterns.setdefault(words, {}).setdefault(None, set()).update(names)
+                continue
+            reach = width - self.block
+            for at in range(0, len(words) - self.block + 1, self.block):
+                end = at + self.block
+                # nearest words first on both sides
+                context = (words[max(0, at - reach):at][::-1], words[end:end + reach])
+                patterns.setdefault(words[at:end], {}).setdefault(context, set()).update(names)
+        self.automaton = None
+        if patterns:
+            self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+            for pattern, found in patterns.items():
+                self.automaton.add_word(pattern, (len(pattern), list(found.items())))
+            self.automaton.make_automaton()
+
+    def spans(self, words: list[int]) -> tuple[list[tuple[int, int]], set[str]]:
+        """Word spans covered by windows, and the items whose windows occur."""
+        spans, names = [], set()
+        for last, (length, contexts) in self.automaton.iter(tuple(words)):
+            start, end = last - length + 1, last + 1
+            for context, items in contexts:
+                left = right = 0
+                if context is not None:
+                    before, behind = context
+                    while left < min(len(before), start) and words[start - left - 1] == before[left]:
+                        left += 1
+                    while right < min(len(behind), len(words) - end) and words[end + right] == behind[right]:
+                        right += 1
+                    if left + length + right < self.width:
+                        continue
+                spans.append((start - left, end + right))
+                names |= items
+        return spans, names
+
+
+def scan_text(data: bytes, matcher: Matcher) -> dict:
     words = words_of(data)
     out = {"n_words": len(words), "hits": [], "items": []}
-    if automaton is None or not words:
+    if matcher.automaton is None or not words:
         return out
-    get = numbers.get
-    spans, names = [], set()
-    for end, (length, found) in automaton.iter(tuple([get(w, 0) for w in words])):
-        if spans and spans[-1][0] <= end - length + 1 <= spans[-1][1]:
-            spans[-1][1] = end + 1
-        else:
-            spans.append([end - length + 1, end + 1])
-        names.update(found)
+    get = matcher.numbers.get
+    spans, names = matcher.spans([get(w, 0) for w in words])
     if spans:
         del words
         hit = set()
-        for a, b in spans:
-            hit.update(range(a, b))
+        reach = 0
+        for a, b in sorted(spans):
+            hit.update(range(max(a, reach), b))
+            reach = max(reach, b)
         out["hits"] = [{"start": m.start(), "end": m.end()} for k, m in enumerate(WORD.finditer(data.decode())) if k in hit]
         out["items"] = sorted(names)
     return out
@@ -80,19 +115,25 @@ def _blocks(spark: SparkSession, benchmark: DataFrame, automaton_words: int) ->
 def scanner(benchmark: DataFrame, width: int = 10, automaton_words: int = AUTOMATON_WORDS):
     """An expression over a text column: ``struct(n_words, hits, items)`` against the whole benchmark.
 
-    The benchmark is a given query set. Its items reach the executors in blocks of at most about
-    ``automaton_words`` words (one item is never split), one automaton each; a usual benchmark
-    is one block, so that one automaton reads each text once.
+    The benchmark is a given query set: its items are broadcast, and a worker builds their automaton once, whatever
+    number of batches and tasks it serves. One automaton reads each text once. Only a benchmark of more than about
+    ``automaton_words`` words, a bound on a worker's memory, is cut into several (an item never is).
     """
     spark = benchmark.sparkSession
-    readers = []
-    for block in _blocks(spark, benchmark, automaton_words):
+    readers, scan_id = [], uuid.uuid4().hex
+    for number, block in enumerate(_blocks(spark, benchmark, automaton_words)):
         items = spark.sparkContext.broadcast([(r.item, r.text.encode()) for r in block.collect()])
 
-        def scan(column: pa.Array, items=items) -> pa.Array:
-            numbers, automaton = build(items.value, width)
+        def scan(column: pa.Array, items=items, number=number) -> pa.Array:
+            kept = per_worker("decontaminate", dict)
+            if kept.get("scan") != scan_id:  # those of an earlier scan go
+                kept.clear()
+                kept["scan"] = scan_id
+            if number not in kept:
+                kept[number] = Matcher(items.value, width)
+            matcher = kept[number]
             return pa.array(
-                [scan_text(x, numbers, automaton) for x in utf8(column)],
+                [scan_text(x, matcher) for x in utf8(column)],
                 pa.struct([("n_words", pa.int64()),
                            ("hits", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
                            ("items", pa.list_(pa.string()))]),

@@ -11,6 +11,8 @@ most, so that this coordinate leaves the others their resolution.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,8 +29,10 @@ LINKS = 16
 BUILD_WIDTH, SEARCH_WIDTH = 64, 192
 #: Query vectors that walk together.
 QUERY_BLOCK = 256
-#: Query vectors of one task.
-TASK_QUERIES = 2_048
+#: Query vectors, about, that one copy of a shard's index serves; they stream past it.
+TASK_QUERIES = 100_000
+#: Tasks of a search, at most; with more shards a task takes several, one after the other.
+TASKS = 20_000
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -186,9 +190,13 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 def norm_band(vector: Column) -> Column:
     """The band of a vector's norm: each spans a factor of four, and norms about one lie in the middle of theirs."""
-    top = F.array_max(F.transform(vector, F.abs))
-    squares = F.aggregate(vector, F.lit(0.0), lambda total, x: total + (x / top) * (x / top))
-    return F.floor((F.log2(top) + F.log2(squares) / 2) / 2 + 0.5).cast("int")
+
+    def band(top: Column) -> Column:
+        squares = F.aggregate(vector, F.lit(0.0), lambda total, x: total + (x / top) * (x / top))
+        return F.floor((F.log2(top) + F.log2(squares) / 2) / 2 + 0.5).cast("int")
+
+    # as the variable of a lambda the largest component is found once, not once a component
+    return F.transform(F.array(F.array_max(F.transform(vector, F.abs))), band)[0]
 
 
 def build_index(distinct: DataFrame, bands: DataFrame) -> DataFrame:
@@ -231,18 +239,12 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, shard_rows: int = SHA
     index = store(build_index(distinct, bands), "index")
 
     asked = plain.filter(F.col("vec_id") % every == 0)
-    count = max(1, -(-distinct.count() // shard_rows) * shard_rows // (every * TASK_QUERIES))
+    count = distinct.count() // (every * TASK_QUERIES) + 1
     blocks = asked.select("vector").distinct().select(
         F.size("vector").alias("size"), F.pmod(F.xxhash64("vector", F.lit(2)), F.lit(count)).cast("int").alias("block"), "vector")
+    schema = pa.schema([("vector", pa.list_(pa.float64())), ("vec_id", pa.int64()), ("score", pa.float64())])
 
-    def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left) or not len(right):
-            return OUT.empty_table()
-        vectors = np.frombuffer(right.column("vectors")[0].as_py(), "<f8").reshape(-1, right.column("size")[0].as_py())
-        ids = right.column("ids")[0].as_py()
-        queries = _matrix(left.column("vector"))
-        graph = Graph.load(vectors, right.column("flat")[0].as_py())
-        asked_, found_, score_ = [], [], []
+    def walk(graph: Graph, vectors: np.ndarray, ids: list[list[int]], queries: np.ndarray) -> Iterator[tuple[int, int, float]]:
         for at in range(0, len(queries), QUERY_BLOCK):
             own = queries[at:at + QUERY_BLOCK]
             found = graph.search(own, width) if len(vectors) > 4 * width else np.tile(np.arange(len(vectors)), (len(own), 1))
@@ -253,17 +255,37 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, shard_rows: int = SHA
                 cut = np.sort(score)[-min(len(score), k + 1)]
                 best = nodes[score >= cut]
                 pairs = sorted((-s, i) for s, n in zip(score[score >= cut], best) for i in ids[n])[:k + 1]
-                asked_ += [at + q] * len(pairs)
-                found_ += [i for _, i in pairs]
-                score_ += [-s for s, _ in pairs]
-        return pa.table({"vector": left.column("vector").take(pa.array(asked_)), "vec_id": pa.array(found_, pa.int64()), "score": pa.array(score_, pa.float64())})
-
-    OUT = pa.schema([("vector", pa.list_(pa.float64())), ("vec_id", pa.int64()), ("score", pa.float64())])
-    # every block of queries meets every shard, and a shard's index is sent once a block
-    spread = blocks.join(bands, "size").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
-    sent = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    met = spread.groupBy("size", "band", "shard", "block").cogroup(sent.groupBy("size", "band", "shard", "block"))
-    hits = met.applyInArrow(search, "vector array<double>, vec_id long, score double")
+                yield from ((at + q, i, -s) for s, i in pairs)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each index row, then the queries that walk its graph, a batch of them in memory."""
+        row = graph = None
+        for batch in batches:
+            is_query = batch.column("query").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(is_query.astype(np.int8))) + 1).tolist(), batch.num_rows]
+            for low, high in zip(cuts, cuts[1:]):
+                part = batch.slice(low, high - low)
+                if not high - low:
+                    continue
+                if not is_query[low]:
+                    row, graph = part.slice(part.num_rows - 1), None  # one before it had no queries
+                    continue
+                if graph is None:
+                    vectors = np.frombuffer(row.column("vectors")[0].as_py(), "<f8").reshape(-1, row.column("size")[0].as_py())
+                    ids, graph = row.column("ids")[0].as_py(), Graph.load(vectors, row.column("flat")[0].as_py())
+                found = list(walk(graph, vectors, ids, _matrix(part.column("vector"))))
+                at, near, score = zip(*found) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("vector").take(pa.array(at, pa.int32())), pa.array(near, pa.int64()), pa.array(score, pa.float64())], schema=schema)
+
+    # every block of queries meets every shard; a shard's index is sent once a block, so once if queries are few
+    place = ["size", "band", "shard", "block"]
+    spread = blocks.join(bands, "size").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    sent = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).withColumn("query", F.lit(False))
+    both = sent.unionByName(spread.select(*place, "vector", F.lit(True).alias("query")), allowMissingColumns=True)
+    # a task for each, for the work isn't in the bytes
+    tasks = min(TASKS, 2 * count * int(bands.agg(F.sum("shards")).first()[0] or 1))
+    hits = both.repartition(tasks, *place).sortWithinPartitions(*place, "query").mapInArrow(search, "vector array<double>, vec_id long, score double")
     queries = asked.select(F.col("vec_id").alias("query_id"), "vector")
     best = Window.partitionBy("vector").orderBy(F.desc("score"), "vec_id")
     merged = hits.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1)

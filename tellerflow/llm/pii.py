@@ -267,17 +267,16 @@ def redact_text(text: str, chosen: list[dict]) -> str:
 
 
 def redactor(accepted: frozenset[int]):
-    """An expression over a text column: the text without its personal data. Null stays null."""
+    """An expression over a text and its column of candidates: the text without its personal data. Null stays null."""
 
-    def clean(column: pa.Array) -> pa.Array:
+    def clean(texts: pa.Array, found: pa.Array) -> pa.Array:
         rows = []
-        for value in column:
+        for value, spans_ in zip(texts, found, strict=True):
             text = value.as_py()
-            found = [{"kind": c.kind, "start": c.start, "end": c.end, "base": c.base, "code": vote(text, c)} for c in find(text)] if text else []
-            rows.append(redact_text(text, choose(found, accepted)) if found else text)
+            rows.append(redact_text(text, choose(spans_.as_py(), accepted)) if text and len(spans_) else text)
         return pa.array(rows, pa.string())
 
-    return arrow_column(clean, "string")
+    return F.arrow_udf(clean, "string")
 
 
 def personal_data(docs: DataFrame) -> DataFrame:

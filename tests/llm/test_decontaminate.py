@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -63,3 +64,40 @@ def test_short_items_offsets_and_edges(spark):
     assert got.count() == docs.count()
     assert decontaminate.contamination(none(spark), bench).count() == 0
     assert {len(r.found.hits) for r in decontaminate.contamination(docs, bench.limit(0)).collect()} == {0}
+
+
+def test_windows_from_blocks_and_contexts():
+    """Small alphabets, so that blocks, contexts and repeats meet in every way."""
+    rng = random.Random(9)
+    for width in (1, 2, 3, 7, 10):
+        for _ in range(60):
+            text = lambda n: " ".join(rng.choice("abc" if rng.random() < 0.8 else "d") for _ in range(rng.randint(0, n)))  # noqa: B023, E731
+            items = [(i, text(30)) for i in range(4)] + [(None, text(4 * width)), (9, "a " * 25)]
+            matcher = decontaminate.Matcher([(None if i is None else str(i), t.encode()) for i, t in items], width)
+            for body in (text(80), " ".join([text(9), items[0][1], text(9), items[1][1][:20]]), "a " * 60):
+                got = decontaminate.scan_text(body.encode(), matcher)
+                _, n, hits, names = plain([(0, body)], items, width)[0]
+                assert (got["n_words"], len(got["hits"]), got["items"]) == (n, hits, [x for x in names if x != "None"])
+
+
+def test_a_large_benchmark_is_one_automaton_read_once(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    items = [(i, " ".join(word() for _ in range(1000))) for i in range(300)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    words = items[7][1].split()
+    docs = spark.createDataFrame([(1, "x y z " + " ".join(words[100:115]) + " tail"), (2, " ".join(words[:9])), (3, items[250][1])], "doc_id long, text string")
+    assert len(decontaminate._blocks(spark, bench, decontaminate.AUTOMATON_WORDS)) == 1
+    text = decontaminate.contamination(docs, bench)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("[apply(text") == 1
+    got = decontaminate.contamination(docs, bench).collect()
+    assert {r.doc_id: (len(r.found.hits), list(r.found["items"])) for r in got} == {1: (15, ["7"]), 2: (0, []), 3: (1000, ["250"])}
+
+
+def test_a_worker_builds_its_automaton_once():
+    from tellerflow.llm.common import per_worker
+
+    made = []
+    for _ in range(3):
+        per_worker("test", lambda: made.append(1) or made)
+    assert made == [1]

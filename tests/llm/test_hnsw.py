@@ -63,3 +63,34 @@ def test_edges(spark):
     assert found(hnsw.nearest(frame)) == exact([(i, np.array(v)) for i, v in sorted(good)])
     assert hnsw.nearest(frame.limit(0)).count() == 0
     assert found(hnsw.nearest(frame.filter("vec_id = 40"))) == {}
+
+
+def test_norm_band_is_linear_in_the_dimension(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    frames = {}
+    for dims in (128, 512):
+        path = f"{spark.sparkContext.getCheckpointDir() or '/tmp'}/band-{dims}-{time.time_ns()}"
+        spark.range(0, 20_000, 1, 8).select(F.transform(F.sequence(F.lit(1), F.lit(dims)), lambda i: (F.col("id") * i % 97).cast("double") + 1).alias("v")).write.parquet(path)
+        frames[dims] = spark.read.parquet(path)
+        frames[dims].agg(F.sum(hnsw.norm_band(F.col("v")))).collect()
+    took = {}
+    for dims, frame in frames.items():
+        began = time.perf_counter()
+        frame.agg(F.sum(hnsw.norm_band(F.col("v")))).collect()
+        took[dims] = time.perf_counter() - began
+    # four times the components; the quadratic form took sixteen times as long
+    assert took[512] < 8 * took[128] + 0.5
+
+
+def test_blocks_of_queries_meet_every_shard(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    data = rng.normal(size=(600, 8))
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    whole = {tuple(r) for r in hnsw.nearest(frame, k=5, every=3).collect()}
+    monkeypatch.setattr(hnsw, "TASK_QUERIES", 40)
+    monkeypatch.setattr(hnsw, "TASKS", 3)
+    # small shards are searched whole, so the answers are exact either way
+    assert {tuple(r) for r in hnsw.nearest(frame, k=5, every=3, shard_rows=100).collect()} == whole

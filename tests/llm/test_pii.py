@@ -70,10 +70,10 @@ def test_further_kinds_and_redaction(spark):
     assert all(kind in found[k] for k, kind in enumerate(want))
     assert not any(found[1000 + k] for k in range(len(clean)))
     accepted = pii.train(docs.select(pii.candidates(F.col("text")).alias("spans")))
-    rows = {r.doc_id: r.clean for r in docs.select("doc_id", pii.redactor(accepted)(F.col("text")).alias("clean")).collect()}
+    rows = {r.doc_id: r.clean for r in docs.select("doc_id", pii.redactor(accepted)(F.col("text"), pii.candidates(F.col("text"))).alias("clean")).collect()}
     assert rows[0] == 'token = "<SECRET>" mail <EMAIL>'
     assert rows[1000] == clean[0]
-    assert docs.select(pii.redactor(accepted)(F.lit(None).cast("string")).alias("x")).first().x is None
+    assert docs.select(pii.redactor(accepted)(F.lit(None).cast("string"), pii.candidates(F.lit(None).cast("string"))).alias("x")).first().x is None
 
 
 def test_reliabilities_come_from_the_votes():
