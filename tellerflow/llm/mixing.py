@@ -22,7 +22,10 @@ from .common import fresh, row_hash, store
 BLOCK_TOKENS = 50_000
 #: Blocks of a source, at most; beyond it blocks get larger.
 MAX_BLOCKS = 100_000
-MAX_SOURCES = 100_000
+#: Up to so many sources their weights are computed on the driver, beyond it by sums in Spark.
+FEW_SOURCES = 100_000
+#: Exponents that one pass over the sources compares, and passes: an exponent is found to 1 / (GRID + 1) ** PASSES.
+GRID, PASSES = 15, 10
 TARGET_ENTROPY = 0.95
 MAX_EPOCHS = 4.0
 
@@ -112,12 +115,7 @@ def mix(docs: DataFrame, budget: int | None = None, entropy: float = TARGET_ENTR
         key.alias("key"), tokens(F.col("text")).alias("n"), row_hash(docs, seed).alias("row"),
         F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"),
     ).filter("n > 0"), "rows")
-    counts = source_tokens(rows)
-    mixture = temperature(counts, sum(counts.values()) if budget is None else budget, entropy, max_epochs)
-    # one row per source, of which there are few
-    plan = F.broadcast(spark.createDataFrame(
-        [((s is None, s or ""), min(MAX_BLOCKS, -(-counts[s] // block_tokens)), mixture.epochs[s], counts[s]) for s in mixture.weights],
-        "key struct<none:boolean,name:string>, blocks long, epochs double, total long"))
+    plan = source_plan(rows, budget, entropy, max_epochs, block_tokens)
     placed = rows.join(plan.select("key", "blocks"), "key").withColumn("block", F.pmod("row", "blocks")).drop("blocks")
     # tokens before a block in its source's order of the epoch
     sums = placed.groupBy("key", "block").agg(F.sum("n").alias("size")).join(plan, "key")
@@ -136,9 +134,66 @@ def mix(docs: DataFrame, budget: int | None = None, entropy: float = TARGET_ENTR
     return drawn.filter(position < F.col("budget")).select(*carried, *[v.alias(fresh(own, k)) for k, v in extra.items()])
 
 
-def source_tokens(rows: DataFrame) -> dict[str | None, int]:
-    """Tokens by source; sources are few by their nature and checked to be."""
-    found = rows.groupBy("key").agg(F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError("too many sources: group them first")
-    return {None if r.key.none else r.key.name: r.n for r in found}
+def source_plan(
+    rows: DataFrame, budget: int | None, entropy: float, max_epochs: float, block_tokens: int, few: int | None = None,
+) -> DataFrame:
+    """``(key, blocks, epochs, total)`` of every source of ``rows(key, n)``.
+
+    A few sources' token counts come to the driver. Of more only sums over all sources do, for several
+    exponents at once, and the plan stays a table that Spark joins as its size allows.
+    """
+    spark, few = rows.sparkSession, FEW_SOURCES if few is None else few
+    counts = store(rows.groupBy("key").agg(F.sum("n").alias("total")), "sources")
+    total, number = counts.agg(F.sum("total"), F.count("*")).first()
+    if not number:
+        return spark.createDataFrame([], "key struct<none:boolean,name:string>, blocks long, epochs double, total long")
+    budget = total if budget is None else budget
+    if number <= few:
+        known = {None if r.key.none else r.key.name: r.total for r in counts.collect()}
+        mixture = temperature(known, budget, entropy, max_epochs)
+        # one row per source, of which there are few
+        return F.broadcast(spark.createDataFrame(
+            [((s is None, s or ""), min(MAX_BLOCKS, -(-known[s] // block_tokens)), mixture.epochs[s], known[s]) for s in mixture.weights],
+            "key struct<none:boolean,name:string>, blocks long, epochs double, total long"))
+    exponent, norm, top = _exponent(counts, budget, number, entropy, max_epochs)
+    weight = F.pow(F.col("total") / F.lit(float(top)), F.lit(exponent)) / F.lit(norm)
+    blocks = F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("total") / F.lit(float(block_tokens)))).cast("long")
+    return counts.select("key", blocks.alias("blocks"), (weight * F.lit(float(budget)) / F.col("total")).alias("epochs"), "total")
+
+
+def _exponent(counts: DataFrame, budget: int, number: int, entropy: float, max_epochs: float) -> tuple[float, float, int]:
+    """:func:`temperature`'s exponent by sums over ``counts(total)``; with the weights' norm and the largest count."""
+    top, least = counts.agg(F.max("total"), F.min("total")).first()
+
+    def sums(exponents: list[float]) -> list[tuple[float, float]]:
+        """The norm and the entropy under each exponent."""
+        each = []
+        for e in exponents:
+            raised = F.pow(F.col("total") / F.lit(float(top)), F.lit(e))
+            each += [F.sum(raised), F.sum(raised * F.log(raised))]
+        found = list(counts.agg(*each).first())
+        return [(n, log(n) - weighed / n) for n, weighed in zip(found[::2], found[1::2])]
+
+    def search(low: float, holds) -> float:
+        """The end of the exponents from ``low`` on for which ``holds(exponent, norm, entropy)``; 1 if all do."""
+        high = 1.0
+        for _ in range(PASSES):
+            grid = [low + (high - low) * k / (GRID + 1) for k in range(1, GRID + 1)] + [high]
+            good = [holds(e, *s) for e, s in zip(grid, sums(grid))]
+            if all(good):
+                return high
+            first = good.index(False)
+            low, high = (grid[first - 1] if first else low), grid[first]
+        return low
+
+    def worst(e: float, norm: float) -> float:
+        # repetition falls with the source's size: weight by count is (n / top) ** e / norm / n
+        return (least / top) ** e / norm * budget / least
+
+    target = entropy * log(number)
+    exponent = search(0.0, lambda e, norm, found: found >= target)
+    ((norm, _),) = sums([exponent])
+    if worst(exponent, norm) > max_epochs:
+        exponent = search(exponent, lambda e, norm, _: worst(e, norm) > max_epochs)
+        ((norm, _),) = sums([exponent])
+    return exponent, norm, top

@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 from .common import arrow_column, learnable, store, texts
 from .linear import fit_linear, sigmoid
 
-#: Labelled rows the models are fitted on, at most.
-TRAIN_ROWS = 20_000
+#: Labelled rows the models are fitted on, at most, and the least share of them that each class gets if it has so many.
+TRAIN_ROWS = 30_000
+CLASS_SHARE = 0.1
+#: Terms that stand out, at most, of which the mined ones are chosen; the best by score.
+CANDIDATE_TERMS = 20_000
 #: Terms mined from the labelled rows that become voters.
 MINED_TERMS = 200
 #: A term that ends in ``~`` stands for all words that start so; stems have these lengths.
@@ -129,15 +132,22 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25) -> np.n
     return belief
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """Texts and labels of at most ``rows`` labelled ids, chosen by a hash of the id."""
-    chosen = (
-        labels.filter(learnable(F.col("doc_id")) & F.col("toxic").isin(0, 1))
-        .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    )
+def _labelled(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[DataFrame, float]:
+    """Texts and labels of at most ``rows`` labelled ids, and by how much the draw has raised the log odds of toxic.
+
+    Ids are drawn by their hash within each class. A class gets its share of the rows, a rare one more than that:
+    ``CLASS_SHARE`` of the rows, or all it has.
+    """
+    given = store(
+        labels.filter(learnable(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "given-labels")
+    number = {c: given.filter(F.col("toxic") == c).count() for c in (0, 1)}
+    total = sum(number.values())
+    share = {c: min(number[c], max(number[c] * rows // max(total, rows), int(rows * CLASS_SHARE))) for c in number}
+    rest = {c: min(share[c], rows - share[1 - c]) if share[c] >= share[1 - c] else share[c] for c in share}
+    chosen = [given.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rest[c]) for c in (0, 1)]
+    raised = float(np.log(rest[1] / rest[0]) - np.log(number[1] / number[0])) if all(rest.values()) else 0.0
     # the broadcast has ``rows`` pairs of numbers at most
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id"), raised
 
 
 def mine_terms(labelled: DataFrame, limit: int) -> list[str]:
@@ -146,34 +156,27 @@ def mine_terms(labelled: DataFrame, limit: int) -> list[str]:
     A term is passed over if a longer or shorter one already taken is as exact.
     """
 
-    def count(only: frozenset | None, label: int, name: str):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found: Counter = Counter()
-                for text, own in zip(texts(batch.column(0)), batch.column(1).to_pylist()):
-                    if own == label:
-                        units = units_of(WORD.findall(text.lower()))
-                        found.update(units if only is None else only & units)
-                        found[""] += 1
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["term", name])
-
-        return run
-
-    frame = labelled.select("text", "toxic")
-    toxic = frame.mapInArrow(count(None, 1, "n"), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    # a term in few toxic texts can't stand out; the rows are bounded, and so are the terms
-    often = dict(toxic.filter("term = '' or n >= 5").orderBy(F.desc("n"), "term").limit(50_000).collect())
-    total = often.pop("", 0)
-    if not total or not often:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[str, list[int]] = {}
+            for text, own in zip(texts(batch.column(0)), batch.column(1).to_pylist()):
+                for unit in {*units_of(WORD.findall(text.lower())), ""}:
+                    found.setdefault(unit, [0, 0])[own] += 1
+            columns = [pa.array(list(found), pa.string()), *(pa.array([v[c] for v in found.values()], pa.int64()) for c in (1, 0))]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "toxic", "clean"])
+
+    counted = store(
+        labelled.select("text", "toxic").mapInArrow(count, "term string, toxic long, clean long")
+        .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "terms")
+    whole = counted.filter("term = ''").first()
+    if not whole or not whole.toxic:
         return []
-    clean = dict(frame.mapInArrow(count(frozenset(often), 0, "n"), "term string, n long").groupBy("term").agg(F.sum("n")).collect())
-    others = clean.pop("", 0)
-    scored = []
-    for term, n in often.items():
-        a, b = (n + 0.5) / (total + 1), (clean.get(term, 0) + 0.5) / (others + 1)
-        z = np.log(a / b) / np.sqrt(1 / (n + 0.5) + 1 / (clean.get(term, 0) + 0.5))
-        if z > 3 and a > 5 * b:
-            scored.append((-z * a, term, a / b))
+    a, b = (F.col("toxic") + 0.5) / (whole.toxic + 1), (F.col("clean") + 0.5) / (whole.clean + 1)
+    z = F.log(a / b) / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+    # a term in few toxic texts can't stand out
+    telling = counted.filter("term <> '' AND toxic >= 5").select("term", (-z * a).alias("score"), (a / b).alias("ratio"), z.alias("z"), a.alias("a"), b.alias("b"))
+    telling = telling.filter("z > 3 AND a > 5 * b").orderBy("score", "term").limit(CANDIDATE_TERMS)
+    scored = [(r.score, r.term, r.ratio) for r in telling.select("score", "term", "ratio").collect()]
     kept: list[tuple[str, float]] = []
     for _, term, ratio in sorted(scored):
         bare = term.rstrip("~")
@@ -190,7 +193,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, mined: int
 
     Without any usable label the seed terms are trusted as they are.
     """
-    labelled = store(_labelled(docs, labels, rows), "labelled")
+    drawn, raised = _labelled(docs, labels, rows)
+    labelled = store(drawn, "labelled")
     terms = sorted({*SEED_TERMS, *mine_terms(labelled, mined)})
     width = len(terms) + len(PATTERNS)
 
@@ -212,7 +216,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, mined: int
     packed = np.frombuffer(b"".join(map(bytes, found.features)), np.uint8).reshape(len(found), -1)
     votes, extra = packed[:, :width].view(np.int8), np.ascontiguousarray(packed[:, width:]).view(np.float32)
     belief = label_model(votes, found.toxic.to_numpy())
-    return terms, fit_linear(np.column_stack([votes, extra]), belief)
+    weights = fit_linear(np.column_stack([votes, extra]), belief)
+    weights[-1] -= raised  # the odds of all labelled rows again
+    return terms, weights
 
 
 def scorer(terms: list[str], weights: np.ndarray):

@@ -193,3 +193,19 @@ def test_licences_in_the_corpus(middle):
     marks = {"MIT License": "MIT", "Apache License": "Apache-2.0", "GNU General": "GPL-3.0", "CC BY-NC": "CC-BY-NC"}
     for r in rows:
         assert {f.family for f in r.found if f.confirmed} == {v for k, v in marks.items() if k in r.text}
+
+
+def test_rare_toxic_labels_are_drawn_and_the_odds_put_right(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"))
+    labels = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") % 200 == 0).cast("int").alias("toxic"))
+    given = {r.toxic: r["count"] for r in labels.filter(toxicity.learnable(F.col("doc_id"))).groupBy("toxic").count().collect()}
+    drawn, raised = toxicity._labelled(docs, labels, 500)
+    found = {r.toxic: r["count"] for r in drawn.groupBy("toxic").count().collect()}
+    assert found == {0: 450, 1: 50} and given[1] >= 50
+    assert raised == pytest.approx(np.log(50 / 450) - np.log(given[1] / given[0]))
+    # where classes are common each keeps its share, and all rows are taken where there are few
+    half = labels.withColumn("toxic", (F.col("doc_id") % 4 == 0).cast("int"))
+    assert abs(toxicity._labelled(docs, half, 400)[1]) < 0.05
+    everything, raised = toxicity._labelled(docs, half, 10**6)
+    assert raised == pytest.approx(0.0) and everything.count() == sum(given.values())
+    assert toxicity._labelled(docs, labels.limit(0), 100)[0].count() == 0

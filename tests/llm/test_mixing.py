@@ -1,7 +1,10 @@
 from collections import Counter, defaultdict
 from math import log
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 from edge import documents, none
 
 from tellerflow.llm import mixing
@@ -76,3 +79,27 @@ def test_edges(spark):
     assert mixed.columns == [*docs.columns, "n_tokens", "_epoch", "block", "_position"]
     check(docs, [r for r in mixed.selectExpr("doc_id", "source", "n_tokens", "_epoch epoch", "block", "_position position").collect()])
     assert mixing.mix(none(spark)).count() == 0
+
+
+@pytest.mark.parametrize("entropy,epochs,budget", [(0.95, 4.0, None), (0.999, 1.5, None), (0.3, 4.0, None), (1.0, 3.0, 100_000), (0.9, 2.0, 10**9)])
+def test_plan_by_sums_is_the_drivers(spark, entropy, epochs, budget):
+    rng = random.Random(3)
+    rows = [((i == 0, "" if i == 0 else f"s{i}"), 1 + int(rng.paretovariate(0.7))) for i in range(500)]
+    frame = spark.createDataFrame(rows, "key struct<none:boolean,name:string>, n long")
+    plans = [mixing.source_plan(frame, budget, entropy, epochs, 50, few) for few in (10**6, 3)]
+    few, many = ({r.key: r for r in p.collect()} for p in plans)
+    assert few.keys() == many.keys() and len(few) == 500
+    for key, r in few.items():
+        assert (many[key].blocks, many[key].total) == (r.blocks, r.total) and many[key].epochs == pytest.approx(r.epochs, rel=1e-6)
+
+
+def test_many_sources(spark):
+    n = 150_001
+    docs = spark.range(0, n + 50_000, 1, 8).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") < n, F.concat(F.lit("host"), F.col("id").cast("string"))).otherwise("hot").alias("source"),
+        F.lit("one two three").alias("text"))
+    drawn = mixing.mix(docs, keep=["doc_id", "source"], block_tokens=1000)
+    # the hot source holds a quarter of all tokens; the others keep their share or more
+    by = {r["hot"]: (r["n"], r["sources"]) for r in drawn.groupBy((F.col("source") == "hot").alias("hot")).agg(
+        F.count("*").alias("n"), F.countDistinct("source").alias("sources")).collect()}
+    assert by[False][1] == n and n <= by[False][0] <= 2 * n and 0 < by[True][0] <= 50_000
