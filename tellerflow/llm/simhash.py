@@ -137,8 +137,11 @@ def plan_search(rows: int, correlation: np.ndarray, sample: np.ndarray, distance
         for group in groups:
             own = bits[:, group]
             ones = own.sum(axis=1)
-            apart = (ones[:, None] + ones[None, :] - 2 * own @ own.T).astype(np.int64)
-            near = [(int((apart <= t).sum()) - len(own) + 1) / pairs for t in range(3)]
+            within = np.zeros(3, np.int64)
+            for at in range(0, len(own), 512):  # a strip of the sample at once
+                apart = ones[at:at + 512, None] + ones[None, :] - 2 * own[at:at + 512] @ own.T
+                within += [int((apart <= t).sum()) for t in range(3)]
+            near = [(int(n) - len(own) + 1) / pairs for n in within]
             probes = [sum(comb(len(group), j) for j in range(t + 1)) for t in range(3)]
             costs.append([0.0] + [rows * (p + (p > 1)) * PROBE_COST + rows * rows / 2 * n * PAIR_COST for p, n in zip(probes, near)])
         cost, chosen = allocate(costs, distance - parts + 1)
