@@ -4,14 +4,17 @@ Listings show at most five rows, newest date first, equal dates in ledger
 order. None of the operators pairs messages with ledger rows: the ledger is
 reduced to short listings first, and a message joins the one listing it asks
 for. A user with a third of all messages and a third of the ledger therefore
-costs rows, not rows times rows.
+costs rows, not rows times rows, and the timeline of such an account is cut
+into slices.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tellerflow.operators.timeline import HOT_ROWS
 from tellerflow.sources import catalogue
+from tellerflow.sources.files import store
 
 LISTED = 5
 ACCOUNT = ["user_id", "account_type"]
@@ -95,25 +98,76 @@ def daily_listing(ledger: DataFrame, limit: int = LISTED) -> DataFrame:
     return days.withColumn("upto", _newest_first(F.flatten(F.collect_list("rows").over(back)), limit))
 
 
-def as_of(days: DataFrame, asked: DataFrame, limit: int = LISTED) -> DataFrame:
+def _last_days(keys: list[str], order: str, limit: int) -> Column:
+    """The rows of the last ``limit`` days before this point of a timeline, latest day first. All look back in one sorted pass."""
+    over = f"IGNORE NULLS OVER (PARTITION BY {', '.join(keys)} ORDER BY {order})"
+    return F.array_compact(F.array(*[F.expr(f"lag(rows, {k}) {over}") for k in range(1, limit + 1)]))
+
+
+def busy_accounts(ledger: DataFrame, asked: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """Accounts with more than ``hot_rows`` ledger rows and questions together, and how many: None if there are none."""
+    busy = (
+        ledger.select(*ACCOUNT).unionByName(asked.select(*ACCOUNT)).groupBy(*ACCOUNT)
+        .agg(F.count("*").alias("n")).filter(F.col("n") > hot_rows)
+    )
+    return None if busy.isEmpty() else store(busy, "busy-accounts")
+
+
+def as_of(
+    days: DataFrame, asked: DataFrame, limit: int = LISTED, busy: DataFrame | None = None, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """For each distinct question (user_id, account_type, start, end) the newest rows of the closed range.
 
     The newest rows up to the end of a range, less those before its start, are its
-    listing. Days and questions share one timeline and one exchange: a question
-    counts the days before its end, and collects the last ``limit`` of them.
+    listing. Days and questions share one timeline and one exchange, and a question
+    looks back at the last ``limit`` days before its end. Accounts in ``busy`` (see
+    ``busy_accounts``) have their timelines cut into slices of about ``hot_rows`` points.
     """
     points = days.select(*ACCOUNT, "date", "rows").unionByName(
         asked.select(*ACCOUNT, "start", F.col("end").alias("date")).distinct(), allowMissingColumns=True
     )
-    is_question = F.col("rows").isNull()
-    along = Window.partitionBy(*ACCOUNT).orderBy("date", is_question).rowsBetween(Window.unboundedPreceding, 0)
-    points = points.withColumn("days", F.count("rows").over(along))
-    back = Window.partitionBy(*ACCOUNT).orderBy("days").rangeBetween(-(limit - 1), 0)
-    found = points.withColumn("upto", F.collect_list("rows").over(back)).filter(is_question)
+
+    def plainly(points: DataFrame) -> DataFrame:
+        return points.withColumn("upto", _last_days(ACCOUNT, "date, isnull(rows)", limit)).filter("rows IS NULL")
+
+    if busy is None:
+        found = plainly(points)
+    else:
+        points = store(points, "points")
+        slices = int(busy.agg(F.sum("n")).first()[0]) // max(hot_rows, 1) + 1
+        busy = busy.select(*ACCOUNT)
+        few = points.join(busy, ACCOUNT, "left_anti").select(*points.columns)
+        many = points.join(busy, ACCOUNT, "left_semi").select(*points.columns)
+        found = plainly(few).unionByName(_upto_in_slices(many, limit, slices))
     rows = F.filter(_newest_first(F.flatten("upto"), limit), lambda r: r["date"] >= F.col("start"))
     return found.select(*ACCOUNT, "start", F.col("date").alias("end"), rows.alias("rows"))
 
 
+def _upto_in_slices(points: DataFrame, limit: int, slices: int) -> DataFrame:
+    """Each question with ``upto``, its last ``limit`` days, where no task takes a whole account.
+
+    The points are range-partitioned on (account, date) into slices and stored, so that
+    a lost executor reads the same slices again. Days are looked back at within a slice;
+    the last days of the slices before it come through a carry, for which a slice gives
+    at most ``limit`` days and one mark.
+    """
+    ranges = points.repartitionByRange(slices, *ACCOUNT, "date", F.col("rows").isNull())
+    sliced = store(ranges.withColumn("slice", F.spark_partition_id()), "slices")
+    part = [*ACCOUNT, "slice"]
+    own = sliced.withColumn("upto", _last_days(part, "date, isnull(rows)", limit)).filter("rows IS NULL")
+
+    newest_days = Window.partitionBy(*part).orderBy(F.desc("date"))
+    last = sliced.filter("rows IS NOT NULL").withColumn("rn", F.row_number().over(newest_days)).filter(F.col("rn") <= limit)
+    # a slice's mark stands before its own days, so it sees those of the slices before
+    marks = sliced.select(*part).distinct()
+    along = last.select(*part, "date", "rows").unionByName(marks, allowMissingColumns=True)
+    carried = along.withColumn("carry", _last_days(ACCOUNT, "slice, isnotnull(rows), date", limit)).filter("rows IS NULL")
+    # stored, so that Spark knows how few they are
+    carried = store(carried.select(*part, "carry"), "carry")
+    upto = F.slice(F.concat("upto", F.coalesce("carry", F.array().cast(carried.schema["carry"].dataType))), 1, limit)
+    return own.join(carried, part, "left").withColumn("upto", upto).drop("slice", "carry")
+
+
 def recent_listing(days: DataFrame) -> DataFrame:
     """Listing of every account: the newest rows up to its last day."""
     return days.groupBy(*ACCOUNT).agg(F.max_by("upto", "date").alias("rows"))
@@ -138,7 +192,7 @@ def balances(asked: DataFrame, accounts: DataFrame) -> DataFrame:
     return asked.join(accounts.select(*ACCOUNT, "balance"), ACCOUNT, "left")
 
 
-def transactions(asked: DataFrame, ledger: DataFrame, limit: int = LISTED) -> DataFrame:
+def transactions(asked: DataFrame, ledger: DataFrame, limit: int = LISTED, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The ledger rows each request selects, one output row each with rank ``rn``.
 
     ``asked`` has user_id, account_type and, nullable, transaction_id, date,
@@ -146,6 +200,7 @@ def transactions(asked: DataFrame, ledger: DataFrame, limit: int = LISTED) -> Da
     limit; otherwise date and range both restrict the newest-first listing.
     Requests for an unknown account, or that select nothing, give no rows.
     """
+    asked = store(asked, "requests")  # read several times below
     columns, by_number = asked.columns, F.col("transaction_id").isNotNull()
     row = F.struct(*_ROW).alias("row")
     by_id = asked.filter(by_number).join(
@@ -161,7 +216,8 @@ def transactions(asked: DataFrame, ledger: DataFrame, limit: int = LISTED) -> Da
         }
     )
     ranges = listings.select(*ACCOUNT, F.col("_from").alias("start"), F.col("_to").alias("end"))
-    found = as_of(daily_rows(ledger, limit), ranges, limit).withColumnsRenamed({"start": "_from", "end": "_to"})
+    busy = busy_accounts(ledger, ranges, hot_rows)
+    found = as_of(daily_rows(ledger, limit), ranges, limit, busy, hot_rows).withColumnsRenamed({"start": "_from", "end": "_to"})
     listed = listings.join(found, [*ACCOUNT, "_from", "_to"]).select(
         *columns, F.posexplode("rows").alias("place", "row")
     )
@@ -203,7 +259,7 @@ def range_arg(start: Column, end: Column) -> Column:
     return F.concat(start, F.lit(".."), end)
 
 
-def facts(accounts: DataFrame, ledger: DataFrame, requests: DataFrame) -> DataFrame:
+def facts(accounts: DataFrame, ledger: DataFrame, requests: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Everything the replies can quote, one row per (user, account, kind, arg).
 
     One keyed table instead of four lets messages be shuffled once for all
@@ -226,7 +282,8 @@ def facts(accounts: DataFrame, ledger: DataFrame, requests: DataFrame) -> DataFr
     )
     days = daily_rows(ledger.join(askers("recent", "range"), "user_id", "left_semi"))
     whole = (F.col("start") == "") & (F.col("end") == "~")
-    listings = as_of(days, ranges).filter(F.size("rows") > 0).select(
+    busy = busy_accounts(ledger, ranges, hot_rows)
+    listings = as_of(days, ranges, busy=busy, hot_rows=hot_rows).filter(F.size("rows") > 0).select(
         *ACCOUNT,
         F.when(whole, "recent").otherwise("range").alias("kind"),
         F.when(whole, "").otherwise(range_arg(F.col("start"), F.col("end"))).alias("arg"),

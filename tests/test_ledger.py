@@ -1,6 +1,7 @@
 """Ledger lookups against brute force, and the sample ledger by hand."""
 
 import random
+import re
 from decimal import Decimal
 
 import pytest
@@ -68,7 +69,8 @@ def select(rows, asked, limit=5):
     return [(event, i + 1, r[2]) for i, r in enumerate(mine[:limit])]
 
 
-def test_requests_on_random_ledgers(spark):
+@pytest.mark.parametrize("hot_rows", [lookups.HOT_ROWS, 200, 40, 0])
+def test_requests_on_random_ledgers(spark, hot_rows):
     rng = random.Random(5)
     days = [f"2024-01-{d:02d}" for d in range(1, 20)]
     kinds = ["checking", "savings", "none"]
@@ -84,12 +86,45 @@ def test_requests_on_random_ledgers(spark):
         asked.append((i, rng.choice([0, 0, 1, 2, 9]), rng.choice(kinds), f"T{rng.randint(0, 320)}" if numbered else None,
                       rng.choice(days) if dated else None, start if ranged else None, end if ranged else None))
     ledger = spark.createDataFrame(rng.sample(rows, len(rows)), ROWS)
-    found = lookups.transactions(spark.createDataFrame(asked, ASKED), ledger).collect()
+    found = lookups.transactions(spark.createDataFrame(asked, ASKED), ledger, hot_rows=hot_rows).collect()
     key = lambda t: (t[0], t[1] or 0, t[2])
     got = sorted(((r.event_id, r.rn, r.txn_pos) for r in found), key=key)
     assert got == sorted((x for a in asked for x in select(rows, a)), key=key)
 
 
+def test_slices_without_days_pass_on_what_lies_before(spark):
+    """Five days, then questions only: many slices away, each still finds the days."""
+    rows = [(1, "checking", i, f"2024-01-{i + 1:02d}", "d", Decimal("1.00"), f"T{i}") for i in range(7)]
+    asked = [(i, 1, "checking", None, None, "2024-01-01", f"2025-{i:04d}") for i in range(300)]
+    asked.append((300, 1, "checking", None, None, "2024-01-01", "2024-01-03"))
+    ledger = spark.createDataFrame(rows, ROWS)
+    found = lookups.transactions(spark.createDataFrame(asked, ASKED), ledger, hot_rows=10).collect()
+    got = sorted((r.event_id, r.rn, r.txn_pos) for r in found)
+    assert got == sorted(x for a in asked for x in select(rows, a))
+
+
+def test_busy_accounts_are_cut_into_slices(spark):
+    rows = [(1, "checking", i, f"2024-{i:04d}", "d", Decimal("1.00"), f"T{i}") for i in range(90)]
+    rows += [(u, "savings", 0, "2024-0001", "d", Decimal("1.00"), "T0") for u in range(2, 30)]
+    asked = spark.createDataFrame([(1, "checking", "", f"2024-{i:04d}") for i in range(0, 90, 2)],
+                                  "user_id long, account_type string, start string, end string")
+    ledger = spark.createDataFrame(rows, ROWS)
+    assert lookups.busy_accounts(ledger, asked) is None
+    busy = lookups.busy_accounts(ledger, asked, 20)
+    assert [tuple(r) for r in busy.collect()] == [(1, "checking", 135)]
+    days = lookups.daily_rows(ledger)
+    found = lookups.as_of(days, asked, busy=busy, hot_rows=20)
+    same = lookups.as_of(days, asked)
+    assert sorted(map(str, found.collect())) == sorted(map(str, same.collect()))
+    # what follows the cut goes by account and slice, never by the account alone
+    points = days.select(*lookups.ACCOUNT, "date", "rows", F.lit(None).cast("string").alias("start"))
+    sliced = lookups._upto_in_slices(points, 5, 7)
+    text = sliced._jdf.queryExecution().explainString(
+        sliced._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    moved = re.findall(r"hashpartitioning\((.*?), \d+\)", text)
+    assert moved and all("slice#" in columns for columns in moved)
+
+
 def test_answers_use_the_account_in_effect(spark, sample):
     accounts = spark.createDataFrame(
         [(1, "checking", "1", Decimal("1250.75")), (1, "savings", "2", Decimal("5432.10"))], schemas.ACCOUNTS
