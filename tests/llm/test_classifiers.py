@@ -1,3 +1,8 @@
+import random
+import re
+import tracemalloc
+from collections import Counter
+
 import numpy as np
 import pytest
 from edge import documents, none
@@ -99,12 +104,97 @@ def test_probabilities_sum_to_one(spark):
         assert abs(sum(chance(context, x) for x in letters) + chance(context, "?") - 1) < 1e-6
 
 
-def test_pruned_model_still_learns(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    whole, pruned = langid.train(docs), langid.train(docs, model_grams=4000)
-    assert len(pruned.tables[3][0]) < len(whole.tables[3][0])
-    rows = [(r.text, r.lang) for r in docs.limit(60).collect()]
-    assert np.mean([p["lang"] == lang for p, (_, lang) in zip(pruned.predict([t for t, _ in rows]), rows)]) > 0.9
+def plain_entropy(training, text, order=4):
+    """Cross-entropy of a text by language, by the textbook's recursion over plain dictionaries."""
+    lines = lambda t: ["\x02" * (order - 1) + w + "\x03" for w in re.findall(r"[^\W\d_]+", t.lower())]
+    counts = {}
+    for lang, sample in training:
+        own = counts.setdefault(lang, Counter())
+        for line in lines(sample):
+            own.update(line[k:k + order] for k in range(len(line) - order + 1))
+    letters = {g[-1] for own in counts.values() for g in own}
+    out = {}
+    for lang, own in counts.items():
+        levels = {order: own}
+        for k in range(order - 1, 0, -1):
+            levels[k] = Counter(g[1:] for g in levels[k + 1])
+        discounts = {}
+        for k, level in levels.items():
+            ones, twos = (sum(n == m for n in level.values()) for m in (1, 2))
+            discounts[k] = min(0.95, max(0.1, ones / max(1, ones + 2 * twos)))
+
+        def chance(gram):
+            if not gram:
+                return 1 / (len(letters) + 1)
+            level = levels[len(gram)]
+            follow = [n for g, n in level.items() if g[:-1] == gram[:-1]]
+            if not follow:
+                return chance(gram[1:])
+            discount = discounts[len(gram)]
+            return (max(level[gram] - discount, 0) + discount * len(follow) * chance(gram[1:])) / sum(follow)
+
+        grams = [line[k:k + order] for line in lines(text) for k in range(len(line) - order + 1)]
+        out[lang] = -sum(np.log(chance(g)) for g in grams) / len(grams)
+    return out
+
+
+def test_entropies_are_those_of_plain_kneser_ney(spark):
+    training = [("en", "the cat sat on the mat and the dog ran to the cat"), ("de", "der hund und die katze sind auf der matte"),
+                ("en", "a dog and a cat and a man"), ("xx", "zz zzz z")]
+    model = langid.train(spark.createDataFrame(training, "lang string, text string"))
+    tests = ["the dog sat", "die matte", "unseen Wörter qqq", "a", "zz", "x1y cat-dog THE"]
+    found, chars = model.entropies(iter(tests))
+    for own, n, text in zip(found, chars, tests):
+        want = plain_entropy(training, text)
+        assert n == sum(len(w) + 1 for w in langid.words_of(text))
+        assert np.allclose(own, [want[lang] for lang in model.langs], rtol=1e-5), text
+
+
+def test_words_without_a_break_are_scored_and_counted_in_pieces(spark, monkeypatch):
+    rng = random.Random(3)
+    letters = "abcdefgh한글日本語"
+    long = "".join(rng.choices(letters, k=3000))
+    rows = [(f"l{k % 7}", "".join(rng.choices(letters[k % 7:], k=400)) + " " + long[:k]) for k in range(40)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    whole = langid.train(docs)
+    tests = [long, long + " ab " + long[:50], "", "a", "12", "hgf " * 30]
+    before = whole.entropies(iter(tests))
+    for size in (1, 7, 64):
+        monkeypatch.setattr(langid, "SCORED_CELLS", size * len(whole.langs))
+        monkeypatch.setattr(langid, "HELD_GRAMS", size)
+        after = langid.train(docs).entropies(iter(tests))
+        assert (before[1] == after[1]).all() and np.allclose(before[0], after[0], rtol=1e-6)
+
+
+def test_memory_of_very_long_words_and_many_languages():
+    """20 million characters without a break, and 100 languages: what scoring takes beyond the text stays small."""
+
+    def model(langs):
+        rng = np.random.default_rng(1)
+        tables = []
+        for order in range(1, 5):
+            keys = np.sort(langid.hashes(rng.integers(97, 123, 3000).astype(np.uint64), order))
+            tables.append((keys, rng.normal(-3, 1, (len(keys), langs)).astype(np.float32), rng.normal(-1, 1, (len(keys), langs)).astype(np.float32)))
+        return langid.Model([f"l{k}" for k in range(langs)], 4, tables, np.full(langs, -5, np.float32))
+
+    for langs, size in ((4, 20_000_000), (100, 400_000)):
+        text = "abcdefghijklmnopqrstuvwxyz"[:23] * (size // 23)
+        own = model(langs)
+        tracemalloc.start()
+        entropy, chars = own.entropies(iter([text]))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert chars[0] == len(text) + 1 and np.isfinite(entropy).all()
+        assert peak < 400 << 20, (langs, peak >> 20)
+
+
+def test_switch_goes_by_bytes(spark):
+    """What fitting takes grows with the n-grams and with the languages."""
+    few = spark.createDataFrame([("a", "abcd", 1), ("b", "abcd", 2)], "lang string, gram string, n long")
+    many = spark.createDataFrame([(f"l{k}", "abcd", 1) for k in range(50)], "lang string, gram string, n long")
+    assert langid.fitting_bytes(few.limit(0), 4) == 0
+    assert langid.fitting_bytes(few, 4) == 2 * langid.GRAM_BYTES + 4 * (8 + 16)
+    assert langid.fitting_bytes(many, 4) == 50 * langid.GRAM_BYTES + 4 * (8 + 400)
 
 
 def test_language_of_many_grams_loses_nothing(spark, sf_dir):
@@ -113,15 +203,12 @@ def test_language_of_many_grams_loses_nothing(spark, sf_dir):
     rare = spark.createDataFrame([(10**6 + k, f"qwxz{chr(97 + k)} vjjk{chr(98 + k)}", "zz") for k in range(12)], "doc_id long, text string, lang string")
     docs = docs.union(rare)
     whole = {r.doc_id: r.found for r in langid.identify(docs).collect()}
-    joined = {r.doc_id: r.found for r in langid.identify(docs, model_grams=100).collect()}
+    joined = {r.doc_id: r.found for r in langid.identify(docs, model_bytes=100).collect()}
     assert whole.keys() == joined.keys()
     for k, found in whole.items():
         assert (joined[k].lang, joined[k].accepted) == (found.lang, found.accepted)
         assert np.isclose(joined[k].score, found.score, atol=1e-4)
     assert {joined[10**6 + k].lang for k in range(12)} == {"zz"}
-    bounded = langid.train(docs, model_grams=100)
-    assert "zz" in bounded.langs
-    langid.calibrate(bounded, docs)
 
 
 LICENSED = {
