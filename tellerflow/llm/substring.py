@@ -5,10 +5,11 @@ word in a repeated window goes. The reference text is only what may be repeated,
 
 * each window has an anchor, the smallest hash among its short word n-grams. Equal windows have
   equal anchors, so windows whose anchor occurs once in the corpus are unique;
-* neighbouring windows with one anchor form a run. Where all runs of an anchor are the same words,
+* neighbouring windows with one anchor form a run; a long run is cut into runs that overlap by
+  ``width - 1`` words, so periodic text gives equal runs, not one of its own length. Where all runs of an anchor are the same words,
   all their windows are repeated;
 * the other anchors' distinct runs, with the number of their occurrences, are the reference. They
-  are cut into shards by anchor, so that all places of a window are in one shard. A task builds the
+  are cut by anchor into shards of about equally many words, so that all places of a window are in one shard. A task builds the
   shard's suffix automaton with occurrence counts and streams the shard's runs through it: the
   matching statistic at a word is the longest suffix that occurs twice, and where it reaches
   ``width`` a repeated window ends.
@@ -20,7 +21,7 @@ all tasks: a shard's automaton goes with the runs that can match it.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +33,12 @@ from .common import store, utf8
 
 #: Words of an anchor n-gram.
 ANCHOR = 8
-#: Distinct runs in a shard, about.
-SHARD_RUNS = 4_000
-#: An anchor with more distinct runs than this is cut further, window by window.
-HOT_RUNS = 10_000
+#: Words of the distinct runs in a shard, about.
+SHARD_WORDS = 240_000
+#: An anchor whose distinct runs have more words than this is cut further, window by window.
+HOT_WORDS = 300_000
+#: Windows of a run at most. Only text of a short period has longer stretches with one anchor.
+RUN_WINDOWS = 1_000
 
 RUN = "struct<key:long,seg:long,start:int,len:int,self:boolean>"
 RUN_TYPE = pa.struct([("key", pa.int64()), ("seg", pa.int64()), ("start", pa.int32()), ("len", pa.int32()), ("self", pa.bool_())])
@@ -58,7 +61,7 @@ class SpanHash:
 
     def __init__(self, words: list[bytes]):
         digest = xxhash.xxh64_intdigest
-        self.words = np.array([digest(w) for w in words], np.uint64)
+        self.words = np.fromiter(map(digest, words), np.uint64, len(words))
         self.sums = np.concatenate([[np.uint64(0)], np.cumsum(self.words * _powers(BASE, len(words))[:-1], dtype=np.uint64)])
         self.back = _powers(INVERSE, len(words))
 
@@ -84,6 +87,10 @@ def runs_of(words: list[bytes], width: int, anchor: int = ANCHOR) -> tuple[np.nd
     least = np.minimum(least[:len(least) - rest], least[rest:]) if rest else least
     starts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
     lengths = np.diff(np.append(starts, windows))
+    if lengths.max() > RUN_WINDOWS:
+        parts = -(-lengths // RUN_WINDOWS)
+        shift = (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * RUN_WINDOWS
+        starts, lengths = np.repeat(starts, parts) + shift, np.minimum(np.repeat(lengths, parts) - shift, RUN_WINDOWS)
     keys = least[starts]
     ordered = np.sort(grams)
     recurring = ordered[1:][ordered[1:] == ordered[:-1]]
@@ -187,7 +194,7 @@ def _first_pass(width: int):
     return read
 
 
-def _cover(size: int, starts: list[int], lengths: list[int], width: int) -> np.ndarray:
+def _cover(size: int, starts: Sequence[int], lengths: Sequence[int], width: int) -> np.ndarray:
     """Which words some window covers; a run of n windows covers n + width - 1 words."""
     edge = np.zeros(size + 1, np.int64)
     np.add.at(edge, np.array(starts, np.int64), 1)
@@ -273,9 +280,10 @@ def _finish(width: int):
                 words = line.as_py().split()
                 same = [e for e in entries.as_py() if not e["mixed"]]
                 starts, lengths = [e["start"] for e in same], [e["len"] for e in same]
-                for d in decided.as_py() or ():
-                    starts += [d["start"] + x for x in d["hits"]]
-                    lengths += [1] * len(d["hits"])
+                if decided.is_valid:
+                    places, hits = decided.values.field("start").to_numpy(), decided.values.field("hits")
+                    single = np.repeat(places, hits.value_lengths().to_numpy()) + hits.flatten().to_numpy()
+                    starts, lengths = np.append(starts, single), np.append(lengths, np.ones(len(single)))
                 covered = _cover(len(words), starts, lengths, width)
                 rids.append(rid.as_py())
                 removed.append(int(covered.sum()))
@@ -286,7 +294,7 @@ def _finish(width: int):
     return finish
 
 
-def remove_repeats(docs: DataFrame, width: int = 35, hot_runs: int = HOT_RUNS, digest_only: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 35, hot_words: int = HOT_WORDS, digest_only: bool = False) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept)`` per row of ``docs(doc_id, text, ...)``.
 
     ``kept`` is the text of the words that stay, joined by one space: null where nothing was removed
@@ -308,8 +316,10 @@ def remove_repeats(docs: DataFrame, width: int = 35, hot_runs: int = HOT_RUNS, d
         F.sum("n").alias("w"), F.min(F.struct("rid", "start", "len")).alias("place"))
     distinct = store(distinct, "distinct")
     # stored, so that Spark knows how few they are and needn't deal the distinct runs by anchor
-    hot = store(distinct.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot_runs).select("key", F.lit(True).alias("hot")), "hot")
-    shards = max(1, -(-distinct.count() // SHARD_RUNS))
+    n_words = F.col("place.len").cast("long") + (width - 1)
+    hot = store(distinct.groupBy("key").agg(F.sum(n_words).alias("n")).filter(F.col("n") > hot_words).select("key", F.lit(True).alias("hot")), "hot")
+    reference = distinct.join(hot, "key", "left").agg(F.sum(F.when(F.col("hot"), F.col("place.len").cast("long") * width).otherwise(n_words)))
+    shards = max(1, -(-(reference.first()[0] or 0) // SHARD_WORDS))
 
     def entry(mixed: Column, w: Column, is_hot: Column) -> Column:
         return F.struct("start", "len", "key", "seg", mixed.alias("mixed"), w.alias("w"), is_hot.alias("hot"))

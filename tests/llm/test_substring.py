@@ -1,9 +1,14 @@
+import os
 import random
+import subprocess
+import sys
 from collections import Counter
 
 import pytest
 from edge import documents, none
 
+import __spark_entry__ as entry
+
 from tellerflow.llm import substring
 
 
@@ -40,13 +45,45 @@ def corpus(seed):
     return rows + [(100, rows[0][1]), (101, rows[1][1].replace(" ", "\n")), (102, None), (103, ""), (102, "y " * 40)]
 
 
-@pytest.mark.parametrize("seed,width,hot", [(1, 12, 10_000), (2, 12, 0), (3, 35, 2), (4, 9, 1)])
+@pytest.mark.parametrize("seed,width,hot", [(1, 12, substring.HOT_WORDS), (2, 12, 0), (3, 35, 400), (4, 9, 60)])
 def test_against_all_windows(spark, seed, width, hot):
     rows = corpus(seed)
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert found(substring.remove_repeats(frame, width, hot)) == plain(rows, width)
 
 
+@pytest.mark.parametrize("hot", [substring.HOT_WORDS, 500])
+def test_periodic_text(spark, monkeypatch, hot):
+    """Runs longer than a piece, periods that divide it or not, a break within, copies and shifted copies."""
+    monkeypatch.setattr(substring, "RUN_WINDOWS", 50)
+    monkeypatch.setattr(substring, "SHARD_WORDS", 300)
+    beat = lambda n, size: " ".join(f"p{n}x{k % n}" for k in range(size))
+    rows = [(1, beat(7, 900)), (2, beat(20, 1100)), (3, beat(20, 130) + " stop " + beat(20, 400)), (4, beat(1, 300)),
+            (5, "a b " + beat(7, 120)), (6, beat(11, 46)), (7, beat(11, 45) + " end"), (8, beat(13, 47)), (9, beat(28, 200)), (9, beat(28, 200))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(substring.remove_repeats(frame, 35, hot)) == plain(rows, 35)
+
+
+MILLIONS = """
+import resource, sys
+import pyarrow as pa
+from tellerflow.llm import substring
+text = " ".join(["w%d" % k for k in range(20)] * 250_000)
+batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([b"r"]), pa.array([text])], ["doc_id", "rid", "text"])
+runs = [b.column(4).to_pylist()[0] for b in substring._first_pass(35)(iter([batch]))][0]
+words = text.encode().split()
+lines = {r["seg"]: b" ".join(words[r["start"]:r["start"] + r["len"] + 34]) for r in runs}
+hits = substring.find_repeated(list(lines.values()), [1] * len(lines), 35)
+print(len(runs), len(lines), sum(map(len, hits)), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10)
+"""
+
+
+def test_memory_of_five_million_periodic_words():
+    done = subprocess.run([sys.executable, "-c", MILLIONS], capture_output=True, text=True, check=True, cwd=os.path.dirname(entry.__file__))
+    runs, lines, hits, peak = map(int, done.stdout.split()[-4:])
+    assert runs == 5000 and lines <= 2 and hits >= 1000 and peak < 1000, done.stdout
+
+
 def test_edges(spark):
     docs = documents(spark, "rid", "runs", "key", "kept")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
