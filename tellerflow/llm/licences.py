@@ -2,8 +2,9 @@
 
 Words in small letters form n-grams of two and three words. A multinomial logistic regression over
 the n-grams of the templates tells the licence families and an unknown class apart; it is trained on
-distorted copies of the templates and on paragraphs of the corpus itself, and the limit below which
-a prediction counts as unknown is calibrated on examples kept back. A paragraph may hold several notices:
+distorted copies of the templates and on paragraphs of the corpus itself; a scale and the limit below which
+a prediction counts as unknown are fitted on examples kept back: the scale makes probabilities
+honest there, the limit keeps the share of wrong verdicts low. A paragraph may hold several notices:
 the places of whole templates and the lines around them are classified one by one.
 """
 
@@ -13,6 +14,7 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,10 @@ EXAMPLE_CHARS = 400
 VARIANTS = 24
 #: Words of a shingle and the share of shared shingles that confirm a prediction.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Examples of the unknown class that may pass the calibrated limit.
-FALSE_SHARE = 0.001
+#: Share of the verdicts above the limit that may be wrong, on examples kept back and counting one more wrong one.
+FALSE_SHARE = 0.02
+#: Probability bands of the reported calibration curve.
+BANDS = 10
 
 WORD = re.compile(r"[a-z0-9]+(?:[.\-+][a-z0-9]+)*")
 FOUND = "array<struct<start:int,end:int,family:string,probability:double,similarity:double,confirmed:boolean>>"
@@ -38,7 +42,8 @@ FOUND_TYPE = pa.list_(pa.struct([
     ("start", pa.int32()), ("end", pa.int32()), ("family", pa.string()), ("probability", pa.float64()),
     ("similarity", pa.float64()), ("confirmed", pa.bool_())]))
 
-#: Notices as the licences' publishers recommend them, and usual short forms. Fixed values.
+#: Notices as the licences' publishers recommend them, passages of their texts that no other family shares, and usual
+#: short forms of a shingle's words at least. Fixed values.
 TEMPLATES = {
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
@@ -47,6 +52,9 @@ TEMPLATES = {
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
         "\"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
         "This project is licensed under the Apache License 2.0",
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, "
+        "non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly "
+        "display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
     ),
     "MIT": (
         "Released under the MIT License.",
@@ -56,6 +64,10 @@ TEMPLATES = {
         "files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, "
         "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES "
+        "OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE "
+        "LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+        "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
@@ -69,9 +81,19 @@ TEMPLATES = {
         "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the "
         "License, or (at your option) any later version.",
     ),
+    "AGPL-3.0": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "Licensed under the GNU Affero General Public License v3.0",
+        "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of "
+        "the License, or (at your option) any later version.",
+    ),
     "LGPL": (
         "This library is licensed under the GNU Lesser General Public License.",
         "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of "
+        "the License, or (at your option) any later version.",
+        "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of "
+        "the License, or (at your option) any later version.",
     ),
     "BSD": (
         "Licensed under the BSD 3-Clause License.",
@@ -79,10 +101,47 @@ TEMPLATES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
         "conditions are met",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in "
+        "the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+        "this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT "
+        "NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    ),
+    "BSD-2-Clause": (
+        "Licensed under the BSD 2-Clause License.",
+        "This project is licensed under the BSD 2-Clause \"Simplified\" License",
+    ),
+    "ISC": (
+        "Licensed under the ISC License.",
+        "This project is licensed under the ISC License",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided "
+        "that the above copyright notice and this permission notice appear in all copies.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED "
+        "WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    ),
+    "Zlib": (
+        "Licensed under the zlib License.",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any "
+        "damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and "
+        "redistribute it freely, subject to the following restrictions",
+    ),
+    "Unlicense": (
+        "This project is released under the Unlicense.",
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a "
+        "compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
+    "EPL-2.0": (
+        "Licensed under the Eclipse Public License 2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is "
+        "available at https://www.eclipse.org/legal/epl-2.0",
     ),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License 2.0",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     ),
     "CC-BY": (
         "Licensed under CC BY 4.0.",
@@ -119,11 +178,16 @@ def shingles(words: list[str], size: int = SHINGLE) -> set[tuple[str, ...]]:
     return {tuple(words[k:k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
 
 
+@cache
+def template_shingles(template: str, size: int = SHINGLE) -> frozenset[tuple[str, ...]]:
+    return frozenset(shingles(words_of(template), size))
+
+
 def similarity(words: list[str], family: str) -> float:
     """How much of a template's shingles the words hold, or of the words' own a template: the best of the family's."""
     own, best = shingles(words), 0.0
     for template in TEMPLATES[family]:
-        theirs = shingles(words_of(template), min(SHINGLE, max(1, len(words))))
+        theirs = template_shingles(template, min(SHINGLE, max(1, len(words))))
         mine = own if len(words) >= SHINGLE else shingles(words, len(words))
         shared = len(mine & theirs)
         best = max(best, shared / len(theirs) if theirs else 0, shared / len(mine) if mine and len(words) >= SHINGLE else 0)
@@ -136,11 +200,13 @@ class Model:
     place: dict[tuple[str, ...], int]
     weights: np.ndarray  # a row per n-gram, the constant last
     limit: float
+    scale: float = 1.0
+    curve: tuple[tuple[float, float, int], ...] = ()  # mean probability, share right, examples, of each band of kept-back ones
 
     def probabilities(self, words: list[str]) -> np.ndarray:
         rows = [k for g in grams(words) if (k := self.place.get(g)) is not None]
         score = self.weights[-1] + self.weights[rows].sum(axis=0) / max(1, len(rows)) ** 0.5
-        raised = np.exp(score - score.max())
+        raised = np.exp((score - score.max()) * self.scale)
         return raised / raised.sum()
 
     def read(self, words: list[str]) -> tuple[str, float, float, bool]:
@@ -199,12 +265,40 @@ def fit(negatives: list[list[str]], seed: int = 11, rounds: int = 300) -> Model:
         chance /= chance.sum(axis=1, keepdims=True)
         speed = 0.9 * speed + train.T @ (chance - target[held:]) / len(train) + 1e-5 * weights
         weights -= 4.0 * speed
-    score = rest @ weights
-    chance = np.exp(score - score.max(axis=1, keepdims=True))
-    chance /= chance.sum(axis=1, keepdims=True)
-    strange = np.sort(chance[target[:held, -1] == 1][:, :-1].max(axis=1)) if held else np.zeros(0)
-    limit = float(strange[min(len(strange) - 1, int(len(strange) * (1 - FALSE_SHARE)))]) if len(strange) else 0.5
-    return Model(classes, place, weights, min(0.9, max(0.5, limit)))
+    own = np.array([k for _, k in examples[:held]], int)
+    scale, limit, curve = calibrate((rest @ weights).astype(float), own)
+    return Model(classes, place, weights, limit, scale, curve)
+
+
+def calibrate(scores: np.ndarray, own: np.ndarray) -> tuple[float, float, tuple[tuple[float, float, int], ...]]:
+    """Scale, limit and calibration curve from scores by class (unknown the last) and true classes of kept-back examples.
+
+    The scale is the one under which the true classes are likeliest. The limit is the smallest probability
+    of a family, at least a half, from which on all verdicts together hold their share of wrong ones.
+    Without examples the scale is one and the limit a half; where no limit holds, nothing is accepted.
+    """
+    if not len(own):
+        return 1.0, 0.5, ()
+
+    def chances(scale: float) -> np.ndarray:
+        raised = np.exp((scores - scores.max(axis=1, keepdims=True)) * scale)
+        return raised / raised.sum(axis=1, keepdims=True)
+
+    # the likelihood is concave in the scale: its slope is the true score less the expected one
+    true, low, high = scores[np.arange(len(own)), own], 0.05, 20.0
+    for _ in range(40):
+        scale = (low * high) ** 0.5
+        low, high = (scale, high) if (true - (chances(scale) * scores).sum(axis=1)).sum() > 0 else (low, scale)
+    families = chances(scale)[:, :-1]
+    best = families.argmax(axis=1)
+    top, right = families.max(axis=1), best == own
+    down = np.argsort(-top, kind="stable")
+    wrong = np.cumsum(~right[down])
+    good = ((wrong + 1) / (np.arange(len(own)) + 2) <= FALSE_SHARE) & (np.append(top[down][1:], -1) < top[down])
+    limit = max(0.5, float(top[down][np.flatnonzero(good)[-1]])) if good.any() else float(np.nextafter(1.0, 2.0))
+    band = np.minimum((top * BANDS).astype(int), BANDS - 1)
+    curve = tuple((float(top[band == k].mean()), float(right[band == k].mean()), int((band == k).sum())) for k in range(BANDS) if (band == k).any())
+    return scale, limit, curve
 
 
 def paragraphs(text: str, place: dict[tuple[str, ...], int]) -> Iterator[tuple[int, int, list[str]]]:
@@ -275,7 +369,7 @@ def _places(words: list[str]) -> tuple[list[tuple[int, int]], list[int]]:
 def _own_share(words: list[str], family: str) -> float:
     """The share of the words' shingles that one template of the family holds."""
     own = shingles(words)
-    return max(len(own & shingles(words_of(t))) / len(own) for t in TEMPLATES[family]) if len(words) >= SHINGLE else 0.0
+    return max(len(own & template_shingles(t)) / len(own) for t in TEMPLATES[family]) if len(words) >= SHINGLE else 0.0
 
 
 def _line_ranges(text: str, start: int, end: int) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
@@ -295,7 +389,7 @@ def _line_ranges(text: str, start: int, end: int) -> tuple[list[tuple[int, int,
 def notices(text: str, model: Model) -> Iterator[tuple[int, int, str, float, float, bool]]:
     """Start, end and verdict of every licence-like piece of a text, in order.
 
-    A paragraph with one notice is one piece. Otherwise whole templates wherever they lie and what
+    A paragraph with one notice is one piece, without the lines around it that only chained. Otherwise whole templates wherever they lie and what
     remains of each line are read one by one; neighbours are joined where they continue one template
     or have the same family. A part of a template counts where it makes up its line.
     """
@@ -309,7 +403,20 @@ def notices(text: str, model: Model) -> Iterator[tuple[int, int, str, float, flo
                 yield from kept
                 continue
         if whole[0] != UNKNOWN or whole[2] >= SIMILARITY:
-            yield start, end, *whole
+            yield _without_prose(text, start, end, words, hits, whole, model)
+
+
+def _without_prose(text: str, start: int, end: int, words: list[str], hits: list[int], whole: tuple[str, float, float, bool],
+                   model: Model) -> tuple[int, int, str, float, float, bool]:
+    """A paragraph's verdict without the lines before the first and after the last shingle of a template, if that reads no worse."""
+    if hits:
+        lines, _ = _line_ranges(text, start, end)
+        inner = [x for x in lines if x[1] > hits[0] and x[0] < hits[-1] + SHINGLE]
+        if len(inner) < len(lines):
+            own = model.read(words[inner[0][0]:inner[-1][1]])
+            if own[0] == whole[0] and own[3] >= whole[3]:
+                return inner[0][2], inner[-1][3], *own
+    return start, end, *whole
 
 
 def _pieces(text: str, start: int, end: int, words: list[str], places: list[tuple[int, int]], hits: list[int],
@@ -366,7 +473,7 @@ def train(docs: DataFrame, negatives: int = NEGATIVES, documents: int = NEGATIVE
 
 def finder(model: Model):
     """An expression over a text column: every licence-like piece with its verdict, in order."""
-    shared = SparkSession.active().sparkContext.broadcast((model.classes, model.place, model.weights, model.limit))
+    shared = SparkSession.active().sparkContext.broadcast((model.classes, model.place, model.weights, model.limit, model.scale))
 
     def find(column: pa.Array) -> pa.Array:
         own = Model(*shared.value)

@@ -2,6 +2,7 @@ import random
 import re
 import tracemalloc
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pytest
@@ -104,48 +105,60 @@ def test_probabilities_sum_to_one(spark):
         assert abs(sum(chance(context, x) for x in letters) + chance(context, "?") - 1) < 1e-6
 
 
-def plain_entropy(training, text, order=4):
-    """Cross-entropy of a text by language, by the textbook's recursion over plain dictionaries."""
-    lines = lambda t: ["\x02" * (order - 1) + w + "\x03" for w in re.findall(r"[^\W\d_]+", t.lower())]
+def plain_lines(text, order=4):
+    return ["\x02" * (order - 1) + w + "\x03" for w in re.findall(r"[^\W\d_]+", text.lower())]
+
+
+def plain_models(training, order=4):
+    """The probability of an n-gram's last character by language, by the textbook's recursion over plain dictionaries."""
     counts = {}
     for lang, sample in training:
         own = counts.setdefault(lang, Counter())
-        for line in lines(sample):
+        for line in plain_lines(sample):
             own.update(line[k:k + order] for k in range(len(line) - order + 1))
     letters = {g[-1] for own in counts.values() for g in own}
-    out = {}
-    for lang, own in counts.items():
+
+    def model(own):
         levels = {order: own}
         for k in range(order - 1, 0, -1):
             levels[k] = Counter(g[1:] for g in levels[k + 1])
-        discounts = {}
+        discounts, follow = {}, {}
         for k, level in levels.items():
             ones, twos = (sum(n == m for n in level.values()) for m in (1, 2))
             discounts[k] = min(0.95, max(0.1, ones / max(1, ones + 2 * twos)))
+            for gram, n in level.items():
+                follow.setdefault(gram[:-1], []).append(n)
 
+        @cache
         def chance(gram):
             if not gram:
                 return 1 / (len(letters) + 1)
-            level = levels[len(gram)]
-            follow = [n for g, n in level.items() if g[:-1] == gram[:-1]]
-            if not follow:
+            after = follow.get(gram[:-1])
+            if not after:
                 return chance(gram[1:])
             discount = discounts[len(gram)]
-            return (max(level[gram] - discount, 0) + discount * len(follow) * chance(gram[1:])) / sum(follow)
+            return (max(levels[len(gram)][gram] - discount, 0) + discount * len(after) * chance(gram[1:])) / sum(after)
+
+        return chance
+
+    return {lang: model(own) for lang, own in counts.items()}
 
-        grams = [line[k:k + order] for line in lines(text) for k in range(len(line) - order + 1)]
-        out[lang] = -sum(np.log(chance(g)) for g in grams) / len(grams)
-    return out
+
+def plain_entropy(models, text, order=4):
+    """Cross-entropy of a text by language."""
+    grams = [line[k:k + order] for line in plain_lines(text) for k in range(len(line) - order + 1)]
+    return {lang: -sum(np.log(chance(g)) for g in grams) / len(grams) for lang, chance in models.items()}
 
 
 def test_entropies_are_those_of_plain_kneser_ney(spark):
     training = [("en", "the cat sat on the mat and the dog ran to the cat"), ("de", "der hund und die katze sind auf der matte"),
                 ("en", "a dog and a cat and a man"), ("xx", "zz zzz z")]
     model = langid.train(spark.createDataFrame(training, "lang string, text string"))
+    plain = plain_models(training)
     tests = ["the dog sat", "die matte", "unseen Wörter qqq", "a", "zz", "x1y cat-dog THE"]
     found, chars = model.entropies(iter(tests))
     for own, n, text in zip(found, chars, tests):
-        want = plain_entropy(training, text)
+        want = plain_entropy(plain, text)
         assert n == sum(len(w) + 1 for w in langid.words_of(text))
         assert np.allclose(own, [want[lang] for lang in model.langs], rtol=1e-5), text
 
@@ -237,6 +250,46 @@ def test_licences(spark, sf_dir):
         assert not any(model.read(words)[3] for _, _, words in licences.paragraphs(text, model.place)), text
 
 
+def test_every_family_is_told_by_each_of_its_notices(spark, sf_dir):
+    model = licences.train(table(spark, sf_dir, "documents"))
+    for family, templates in licences.TEMPLATES.items():
+        for template in templates:
+            for text in (template, f"Some words before.\n{template.upper()}\nand after", f"Copyright (c) 2019 the authors. {template}"):
+                assert [(f, sure) for _, _, f, _, _, sure in licences.notices(text, model)] == [(family, True)], text
+    # the sharpest neighbours: one word apart
+    terms = "it under the terms of the GNU %sGeneral Public License as published by the Free Software Foundation, either version 3 of the " \
+        "License, or (at your option) any later version."
+    for word, family in (("", "GPL-3.0"), ("Affero ", "AGPL-3.0"), ("Lesser ", "LGPL")):
+        assert [f for _, _, f, _, _, sure in licences.notices(terms % word, model) if sure] == [family]
+
+
+def test_calibration_of_licences():
+    """Scale and limit against a plain search, on scores whose true sharpness is known."""
+    rng = np.random.default_rng(5)
+    scores = rng.normal(0, 1, (6000, 4))
+    chance = np.exp(2.5 * scores)
+    chance /= chance.sum(axis=1, keepdims=True)
+    own = (rng.random(6000)[:, None] > chance.cumsum(axis=1)).sum(axis=1)
+    scale, limit, curve = licences.calibrate(scores, own)
+    assert abs(scale - 2.5) < 0.15
+    assert sum(n for _, _, n in curve) == 6000
+    # a band holds what it promises for families alone, as the probability is one of a family
+    assert all(abs(p - share) < 0.06 for p, share, n in curve if n > 100)
+    chance = np.exp(scale * scores)
+    chance /= chance.sum(axis=1, keepdims=True)
+    top, right = chance[:, :-1].max(axis=1), chance[:, :-1].argmax(axis=1) == own
+
+    def fits(x):
+        return ((~right[top >= x]).sum() + 1) / ((top >= x).sum() + 1) <= licences.FALSE_SHARE
+
+    assert limit == pytest.approx(max(0.5, min(x for x in top if fits(x))))
+    # nothing kept back; nothing that any limit could part; ties
+    assert licences.calibrate(np.zeros((0, 4)), np.zeros(0, int)) == (1.0, 0.5, ())
+    assert licences.calibrate(np.zeros((90, 3)), np.arange(90) % 3)[1] > 1
+    same = licences.calibrate(np.repeat([[3.0, 0.0, 0.0]], 200, axis=0), np.r_[np.zeros(100, int), np.ones(100, int)])
+    assert same[1] > 1
+
+
 def test_several_notices_in_a_paragraph(spark, sf_dir):
     model = licences.train(table(spark, sf_dir, "documents"))
     mit, apache, gpl = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", \
@@ -255,6 +308,8 @@ def test_several_notices_in_a_paragraph(spark, sf_dir):
     assert confirmed(f"İ {prose}{apache} {mit}") == pair[::-1]
     for text, family in LICENSED.items():
         assert [x[1] for x in confirmed(text)] == [family], text
+    # lines that share common word pairs with a template are no part of the notice
+    assert confirmed(f"no id but words enough to be of use\n{mit}\nand it has to be the use of this") == pair[:1]
     for text in FREE:
         assert not confirmed(text), text
 
