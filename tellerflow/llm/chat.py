@@ -133,7 +133,9 @@ def read_back(rows: DataFrame, role: str = "assistant") -> DataFrame:
     The turns of a conversation stream through one parser in order (turn, then role, then text;
     null turns first), so a conversation of any length needs the memory of one turn. The digest
     over all turns is sequential by its definition: one conversation is one task's stream. Rows
-    without a conv_id form a conversation of their own.
+    without a conv_id form a conversation of their own; repeated rows are turns of their own, and of rows
+    that tie in turn, role and text any order gives the same. An empty table gives no row; extra columns,
+    whatever their names, are ignored.
     """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

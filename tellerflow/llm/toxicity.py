@@ -239,6 +239,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS)
 
     Null and empty texts get the score of a text without any hit. Labels other than 0 and 1 and
     labels of null ids are not learnt from; contradictory labels of an id count as toxic.
-    Repeated rows stay repeated and extra columns are ignored.
+    Repeated rows stay repeated and extra columns are ignored. No documents give no row; without a usable
+    label the seed terms are trusted as they are. Texts are read whole, whatever their length. Terms that
+    stand out alike are taken in their order, and equal draws are told apart by the id.
     """
     return docs.select("doc_id", scorer(*train(docs, labels, rows))(F.col("text")).alias("score"))

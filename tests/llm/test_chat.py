@@ -46,5 +46,7 @@ def test_digests(spark):
         assert got[conv].turns_sha256 == hashlib.sha256(told.encode()).hexdigest()
         assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
         assert got[conv].formatted_chars == sum(len(chat.render(r or "", t or "")[0]) for _, _, r, t in own)
+    clashing = formatted.select("conv_id", "turn", "role", "text", "_turn_text.rendered", F.lit(7).alias("n_turns"), F.lit("x").alias("loss_sha256"))
+    assert {r.conv_id: r for r in chat.read_back(clashing.orderBy(F.rand(3))).collect()} == got
     empty = chat.format_turns(frame.drop("rendered").limit(0)).select("conv_id", "turn", "role", "text", "_turn_text.rendered")
     assert chat.read_back(empty).count() == 0

@@ -327,6 +327,9 @@ def test_licence_edges(spark):
             text = texts[row.doc_id] + line
             assert [(text[f.start:f.end], f.family) for f in row.found if f.confirmed] == [(line.strip(), "MIT")]
     assert licences.scan(none(spark)).count() == 0
+    # equally likely families: the first one
+    even = licences.Model([*licences.TEMPLATES, licences.UNKNOWN], {}, np.zeros((1, len(licences.TEMPLATES) + 1), np.float32), 0.0)
+    assert even.read(["any", "words"])[0] == next(iter(licences.TEMPLATES))
 
 
 def test_licences_in_the_corpus(middle):
