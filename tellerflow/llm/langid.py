@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_column, learnable, store, texts
@@ -31,8 +31,10 @@ SCORED_CELLS = 4 << 20
 HELD_GRAMS = 500_000
 #: Characters of a block of texts that gets a model of its own, about.
 BLOCK_CHARS = 8 << 20
-#: Training documents on which the rejection limits are calibrated.
-CALIBRATION_ROWS = 4_000
+#: Bins a nat in which the ranks of quantiles are looked for first.
+QUANTILE_BINS = 1 << 10
+#: A score as a whole number, and passes in which its scale is searched, each over 32 steps.
+SCORE_UNITS, SCALE_PASSES = 1 << 30, 6
 UNKNOWN = "und"
 PREDICTION = "struct<lang:string,score:double,entropy:double,accepted:boolean>"
 PREDICTION_TYPE = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("entropy", pa.float64()), ("accepted", pa.bool_())])
@@ -421,54 +423,103 @@ def _decider(model: Model):
     return arrow_column(decide, PREDICTION)
 
 
-def calibrate(model: Model, docs: DataFrame, rows: int = CALIBRATION_ROWS) -> Model:
-    """Set each language's rejection limit and the scale of the scores, on a bounded sample of training rows.
-
-    The limit is far outside what the sample's own texts show (median plus eight times the
-    spread of the middle half); the scale makes the mean score equal the share of right answers.
-    """
-    chosen = docs.filter("lang is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+def entropies(model: Model, docs: DataFrame) -> DataFrame:
+    """``(doc_id, lang, chars, entropy)`` per row of ``docs(doc_id, lang, text)`` under a broadcast model."""
     shared = docs.sparkSession.sparkContext.broadcast(model.state())
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         for batch in batches:
             at = 0
-            for part in _slices(batch.column(1)):
+            for part in _slices(batch.column(2)):
                 entropy, chars = own.entropies(iter(part))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(part)), pa.array(chars), pa.array(list(entropy), pa.list_(pa.float64()))],
-                    ["lang", "chars", "entropy"])
+                    [*(c.slice(at, len(part)) for c in batch.columns[:2]), pa.array(chars), pa.array(list(entropy), pa.list_(pa.float64()))],
+                    ["doc_id", "lang", "chars", "entropy"])
                 at += len(part)
 
-    sample = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").select("lang", "text")
-    found = sample.mapInArrow(measure, "lang string, chars long, entropy array<double>").filter("chars > 0")
-    return _set_limits(model, found, rows)
+    key = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string"
+    return docs.select("doc_id", "lang", "text").mapInArrow(measure, f"{key}, chars long, entropy array<double>")
+
+
+def _quantiles(values: DataFrame, shares: tuple[float, ...]) -> dict[int, list[float]]:
+    """Exact quantiles of ``values(place, value)`` by place, as ``np.quantile`` has them, where there are four values at least.
+
+    The driver gets the numbers of values a bin; those of the few bins that hold a wanted rank are then ranked in Spark.
+    """
+    spark = values.sparkSession
+    binned = values.withColumn("bin", F.floor(F.col("value") * QUANTILE_BINS))
+    by: dict[int, list[tuple[int, int]]] = {}
+    for r in binned.groupBy("place", "bin").agg(F.count("*").alias("n")).collect():
+        by.setdefault(r.place, []).append((r.bin, r.n))
+    ranks, at = [], {}
+    for place, counts in by.items():
+        counts.sort()
+        ends = np.cumsum([n for _, n in counts])
+        if ends[-1] < 4:
+            continue
+        at[place] = [float(q * (ends[-1] - 1)) for q in shares]
+        for rank in sorted({int(f(x)) for x in at[place] for f in (np.floor, np.ceil)}):
+            k = int(np.searchsorted(ends, rank, side="right"))
+            ranks.append((place, counts[k][0], rank, rank - int(ends[k]) + counts[k][1]))
+    if not ranks:
+        return {}
+    wanted = spark.createDataFrame(ranks, "place int, bin long, rank long, inside long")
+    few = binned.join(wanted.select("place", "bin").distinct(), ["place", "bin"]).groupBy("place", "bin", "value").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("place", "bin").orderBy("value"))
+    found = few.withColumn("upto", upto).join(wanted, ["place", "bin"]).filter("inside < upto AND inside >= upto - n")
+    value = {(r.place, r.rank): r.value for r in found.collect()}
+    out = {}
+    for place, wants in at.items():
+        ends = [(value[place, int(np.floor(x))], value[place, int(np.ceil(x))], x % 1) for x in wants]
+        out[place] = [low + (high - low) * part for low, high, part in ends]
+    return out
+
+
+def _mean_scores(known: DataFrame, scales: np.ndarray, rows: int) -> np.ndarray:
+    """The mean score over ``known(chars, entropy)`` at each scale; summed as whole numbers, so in any order alike."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(len(scales), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            chars = np.minimum(batch.column(0).to_numpy(zero_copy_only=False), 100)
+            entropy = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            gap = (entropy - entropy.min(axis=1, keepdims=True)) * chars[:, None]
+            for k, scale in enumerate(scales):
+                sums[k] += np.rint(SCORE_UNITS / np.exp(-gap * scale).sum(axis=1)).astype(np.int64).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(scales)), pa.int32()), pa.array(sums)], ["k", "total"])
+
+    totals = known.select("chars", "entropy").mapInArrow(add, "k int, total long").groupBy("k").agg(F.sum("total").alias("total")).collect()
+    return np.array([r.total for r in sorted(totals)]) / SCORE_UNITS / rows
+
 
+def _set_limits(model: Model, found: DataFrame) -> Model:
+    """Set each language's rejection limit and the scale of the scores, from ``found(lang, chars, entropy)`` of all training rows.
 
-def _set_limits(model: Model, found: DataFrame, rows: int) -> Model:
-    """What ``calibrate`` sets, from ``found(lang, chars, entropy)`` of the sample."""
-    known = found.orderBy(F.xxhash64("lang", "chars", "entropy")).limit(rows).collect()
-    if not known:
+    The limit is far outside what a language's own texts show (median plus eight times the spread of the
+    middle half); the scale makes the mean score equal the share of right answers. ``found`` is read several
+    times: pass a stored frame.
+    """
+    place = F.array_position(F.array(*map(F.lit, model.langs)), F.col("lang")).cast("int") - 1
+    known = found.select(place.alias("place"), "chars", "entropy").filter("chars > 0")
+    best = F.array_position("entropy", F.array_min("entropy")) - 1
+    rows, right = known.agg(F.count("*"), F.sum((best == F.col("place")).cast("long"))).first()
+    if not rows:
         return model
-    entropy = np.array([r.entropy for r in known])
-    best = entropy.argmin(axis=1)
-    own = np.array([model.langs.index(r.lang) for r in known])
-    chars = np.minimum([r.chars for r in known], 100)
-    for k in range(len(model.langs)):
-        if len(values := entropy[own == k, k]) >= 4:
-            low, mid, high = np.quantile(values, [0.25, 0.5, 0.75])
-            model.limits[k] = mid + 8 * max(high - low, 0.01)
-    right = (best == own).mean()
-    gap = (entropy - entropy.min(axis=1, keepdims=True)) * chars[:, None]
+    for k, (low, mid, high) in _quantiles(known.select("place", F.get("entropy", F.col("place")).alias("value")), (0.25, 0.5, 0.75)).items():
+        model.limits[k] = mid + 8 * max(high - low, 0.01)
     low, high = 1e-3, 10.0
-    for _ in range(40):
-        model.scale = (low * high) ** 0.5
-        low, high = (model.scale, high) if (1 / np.exp(-gap * model.scale).sum(axis=1)).mean() < right else (low, model.scale)
+    for _ in range(SCALE_PASSES):
+        grid = np.geomspace(low, high, 33)
+        k = int((_mean_scores(known, grid[1:-1], rows) < right / rows).sum())  # the mean grows with the scale
+        low, high = float(grid[k]), float(grid[k + 1])
+    model.scale = (low * high) ** 0.5
     return model
 
 
-def identify(docs: DataFrame, order: int = 4, model_bytes: int = MODEL_BYTES, calibration_rows: int = CALIBRATION_ROWS) -> DataFrame:
+def identify(docs: DataFrame, order: int = 4, model_bytes: int = MODEL_BYTES) -> DataFrame:
     """``(doc_id, found)`` per row of ``docs(doc_id, text, lang, ...)``.
 
     Learns from rows with a language whose id isn't held out (a null id is never learnt from).
@@ -476,19 +527,21 @@ def identify(docs: DataFrame, order: int = 4, model_bytes: int = MODEL_BYTES, ca
     could be learnt. Ties go to the language that sorts first. Repeated rows stay repeated;
     extra columns are ignored. ``model_bytes`` only decides whether the model is broadcast or joined
     as a table: all n-grams count either way. Words of any length are counted and scored in pieces.
+    Each text is scored once; limits and scale are then set from all training rows.
     """
-    learn = docs.filter(learnable(F.col("doc_id"))).select("doc_id", "lang", "text")
-    counted = store(count_grams(learn.filter("lang is not null").select("lang", "text"), order), "grams")
+    learn = docs.filter(learnable(F.col("doc_id"))).select("lang", "text")
+    counted = store(count_grams(learn.filter("lang is not null"), order), "grams")
+    own = F.when(learnable(F.col("doc_id")), F.col("lang")).alias("lang")
+    asked = docs.select("doc_id", own, "text")
     if fitting_bytes(counted, order) <= model_bytes:
         model = _collected(counted, order)
-        if model is not None:
-            model = calibrate(model, learn, calibration_rows)
-        return docs.select("doc_id", predictor(model)(F.col("text")).alias("found"))
-    langs, floor, table = statistics(counted, order)
-    own = F.when(learnable(F.col("doc_id")), F.col("lang")).alias("lang")
-    scored = store(block_entropies(docs.select("doc_id", own, "text"), langs, order, floor, table), "entropies")
-    known = scored.filter("lang is not null")
-    chosen = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows)
-    sample = known.filter("chars > 0").join(F.broadcast(chosen), "doc_id").select("lang", "chars", "entropy")
-    model = _set_limits(Model(langs, order, [], floor), sample, calibration_rows)
+        if model is None:
+            return docs.select("doc_id", predictor(None)(F.col("text")).alias("found"))
+        scored = entropies(model, asked)
+    else:
+        langs, floor, table = statistics(counted, order)
+        model = Model(langs, order, [], floor)
+        scored = block_entropies(asked, langs, order, floor, table)
+    scored = store(scored, "entropies")
+    model = _set_limits(model, scored.filter("lang is not null AND chars > 0").select("lang", "chars", "entropy"))
     return scored.select("doc_id", _decider(model)(F.struct("chars", "entropy")).alias("found"))

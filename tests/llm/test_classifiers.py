@@ -224,6 +224,30 @@ def test_language_of_many_grams_loses_nothing(spark, sf_dir):
     assert {joined[10**6 + k].lang for k in range(12)} == {"zz"}
 
 
+def test_language_limits_come_from_all_training_rows(spark, monkeypatch):
+    """No sample of the training rows: limits and scale are those of plain sums over every one."""
+    rng = random.Random(11)
+    rows = [(k, " ".join("".join(rng.choices("abcdef" if k % 2 else "defghi", k=rng.randint(1, 6))) for _ in range(1 + k % 3)), "xy"[k % 2])
+            for k in range(6200)]
+    given, inner = [], langid._set_limits
+
+    def spy(model, found, *rest):
+        given.append((model, found.select("lang", "chars", "entropy").collect()))
+        return inner(model, found, *rest)
+
+    monkeypatch.setattr(langid, "_set_limits", spy)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.identify(docs).collect()
+    (model, known), = given
+    assert len(known) == docs.filter(~held_out(F.col("doc_id"))).count() > 4000 and len(found) == 6200
+    entropy, own = np.array([r.entropy for r in known]), np.array([model.langs.index(r.lang) for r in known])
+    for k in range(2):
+        low, mid, high = np.quantile(entropy[own == k, k], [0.25, 0.5, 0.75])
+        assert np.isclose(model.limits[k], mid + 8 * max(high - low, 0.01), rtol=1e-12)
+    gap = (entropy - entropy.min(axis=1, keepdims=True)) * np.minimum([r.chars for r in known], 100)[:, None]
+    assert np.isclose((1 / np.exp(-gap * model.scale).sum(axis=1)).mean(), (entropy.argmin(axis=1) == own).mean(), atol=1e-6)
+
+
 LICENSED = {
     "Released under the MIT License.": "MIT",
     "some text\nThis work is licensed under the GNU General Public License, version 3.\nmore": "GPL-3.0",
