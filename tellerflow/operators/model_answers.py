@@ -20,6 +20,8 @@ Model = Callable[[list[str]], list[str]]
 REMEMBERED, SHOWN = 5, 3
 # Prompts between two commits of the answers.
 WAVE = 1_000_000
+# Rows that share a prompt from which on its answer is brought to them; the others meet theirs by key.
+OFTEN = 10_000
 # Turns answered for all users at once; what a user says after these is answered in order, one by one.
 ROUNDS = 64
 
@@ -57,16 +59,25 @@ class Answers:
             given = prompts.apply_model(part, self.model).filter(F.col("raw").isNotNull())
             given.select(self.KEY, "raw").write.mode("append").parquet(self.folder)
 
-    def ask(self, frame: DataFrame, prompt: Column) -> DataFrame:
-        """Add ``raw``, the model's answer to ``prompt``; null where the prompt is null or the model failed.
+    def ask(self, frame: DataFrame, prompt: Column, keep: list[str] | None = None) -> DataFrame:
+        """``frame``, or its columns ``keep``, with ``raw``, the model's answer to ``prompt``; null where the prompt is null or the model failed.
 
-        ``frame`` is read twice: pass a stored one. Prompts are counted map-side first, so one that
-        most rows share travels once a task.
+        ``frame`` is read several times: pass a stored one. Prompts are counted map-side first, so one that
+        most rows share travels once a task. Its answer travels to the rows, and rows without a prompt stay where they are: the
+        shuffle to the answers holds no key that is in more than ``OFTEN`` rows.
         """
-        keyed = frame.withColumn(self.KEY, F.sha2(prompt, 256))
-        asked = keyed.select(self.KEY, prompt.alias("prompt")).filter(F.col(self.KEY).isNotNull())
-        self._answer(asked.groupBy(self.KEY).agg(F.first("prompt").alias("prompt")))
-        return keyed.join(self.read(), self.KEY, "left").drop(self.KEY)
+        columns = frame.columns if keep is None else keep
+        keyed = frame.select(*columns, F.sha2(prompt, 256).alias(self.KEY))
+        # by key and prompt, a hash table of the different ones; an aggregate of the prompt's text would sort all rows
+        asked = frame.select(F.sha2(prompt, 256).alias(self.KEY), prompt.alias("prompt")).filter(F.col(self.KEY).isNotNull())
+        asked = store(asked.groupBy(self.KEY, "prompt").agg(F.count("*").alias("n")), "prompts")
+        self._answer(asked.select(self.KEY, "prompt"))
+        given = self.read()
+        often = asked.filter(F.col("n") > OFTEN).select(self.KEY, F.lit(True).alias("_often"))
+        often = store(often.join(given, self.KEY, "left"), "often")  # few: Spark sees it by the size
+        here = keyed.join(often, self.KEY, "left").filter(F.col(self.KEY).isNull() | F.col("_often"))
+        rest = keyed.filter(F.col(self.KEY).isNotNull()).join(often, self.KEY, "left_anti").join(given, self.KEY, "left")
+        return here.select(*columns, "raw").unionByName(rest.select(*columns, "raw"))
 
 
 def _answers(spark: SparkSession, model: Model | Answers) -> Answers:
@@ -88,7 +99,8 @@ def _replied(labelled: DataFrame, responses: DataFrame, answers: Answers) -> Dat
     templated = prompts.with_templates(labelled, responses)
     known = F.coalesce(F.size("templates"), F.lit(0)) > 0
     prompt = prompts.response_prompt(F.col("intent"), F.col("context"), F.col("message"), F.col("templates"))
-    replied = answers.ask(templated, F.when(known, prompt))
+    # templates are long and few: rows are moved without them
+    replied = prompts.with_templates(answers.ask(templated, F.when(known, prompt), labelled.columns), responses)
     filled = prompts.fill_template(prompts.strip(F.col("raw")), F.col("intent"), F.col("balance"), F.col("transactions"))
     fallback = prompts.template_reply(F.col("templates"), F.col("event_id"))
     response = F.when(known, F.coalesce(filled, fallback)).otherwise(fallback)
@@ -109,6 +121,7 @@ def answer_with_model(messages: DataFrame, responses: DataFrame, model: Model |
             {"intent": F.lit("error"), "confidence": F.lit(0.0), "response": F.lit(catalogue.REPLIES["no_model"])}
         )
     answers = _answers(messages.sparkSession, model)
+    responses = store(responses, "templates")  # so that Spark knows its size: rows by intent would be a few huge groups
     labelled = store(_labelled(store(messages, "asked"), answers), "labelled")
     return _replied(labelled, responses, answers)
 
@@ -148,6 +161,7 @@ def answer_dialogues(
     """
     spark = messages.sparkSession
     answers = _answers(spark, model)
+    responses = store(responses, "templates")
     placed = store(along_timeline(messages, lambda f: f.derive(turn=Position()).rows, hot_rows=hot_rows), "placed")
     labelled = _labelled(placed, answers)
     # clustered by turn, so that a round reads its rows only

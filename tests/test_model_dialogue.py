@@ -136,3 +136,31 @@ def test_a_failed_call_goes_on_where_it_stopped(spark, tmp_path):
     raws = answers.ask(frame, F.col("prompt")).collect()
     assert {r.id: r.raw for r in raws} == {i: answer(f"prompt {i}") for i in range(200)}
     assert len(notes(f"{tmp_path}/more")) == 200 - kept
+
+
+def test_rows_that_share_a_prompt_stay_apart(spark, monkeypatch):
+    """A prompt that half of all rows share, and rows without one, don't meet in one task; nothing is shuffled by intent."""
+    from tellerflow.operators import model_answers
+
+    monkeypatch.setattr(model_answers, "OFTEN", 50, raising=False)
+    n = 8000
+    messages = spark.range(0, n, 1, 8).select(
+        F.col("id").alias("event_id"),
+        F.when(F.col("id") % 4 < 2, "the same words").when(F.col("id") % 4 == 2, F.concat(F.lit("words "), "id")).alias("message"),
+        F.lit("").alias("context"), F.lit(None).cast("string").alias("balance"), F.lit(None).cast("string").alias("transactions"))
+
+    def model(texts):
+        return ["greeting" if text.startswith("Choose") else f"to {text.split('Message: ')[1].split(chr(10))[0]}" for text in texts]
+
+    told = answer_with_model(messages, files.intent_responses(files.default_intents(spark)), model)
+    assert "hashpartitioning(intent" not in told._jdf.queryExecution().executedPlan().toString()
+    rows = told.select("event_id", "intent", "response", F.spark_partition_id().alias("part")).collect()
+    assert {r.event_id for r in rows} == set(range(n)) and len(rows) == n
+    for r in rows:
+        said = [None, "the same words", f"words {r.event_id}"][(1, 1, 2, 0)[r.event_id % 4]]
+        assert (r.intent, r.response) == (("error", catalogue.REPLIES["unknown_tag"]) if said is None else ("greeting", f"to {said}"))
+    size = {}
+    for r in rows:
+        if r.event_id % 4 != 2:
+            size[r.part] = size.get(r.part, 0) + 1
+    assert max(size.values()) < n // 4, size
