@@ -593,12 +593,17 @@ def scan_csv_roundtrip(spark, sf_dir):
     return files.read_csv(spark, path, documents.schema)
 
 
+# Text of one CSV file, about: one task writes a file.
+CSV_FILE_BYTES = 256 << 20
+
+
 @query
 def scan_csv_splits(spark, sf_dir):
-    """Documents written as one CSV file, read back by many tasks."""
+    """Documents written as CSV files of many splits, one file up to 256 MB of text, read back by many tasks a file."""
     path = scratch_path(spark, "documents_csv")
     documents = tables.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
-    files.write_csv(documents.coalesce(1), path)
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files.write_csv(documents.coalesce(size // CSV_FILE_BYTES + 1), path)
     return read_csv_splits(spark, path, documents.schema, split_bytes=1 << 22)
 
 

@@ -47,3 +47,30 @@ def test_one_file_is_read_by_many_tasks(spark, tmp_path):
     assert len(splits) >= 10 and max(r["count"] for r in splits) < 1000
     back = csv_splits.read_csv_splits(spark, str(tmp_path), spark.createDataFrame([], "id int, text string, more string").schema, 64_000)
     assert back.count() == 4000 and back.filter(F.col("text").contains("\nbreak")).select("id").distinct().count() == 4000
+
+
+def test_documents_are_written_by_many_tasks(spark, sf_dir, tmp_path, monkeypatch):
+    """No task of the query writes all documents; small tables are one file as before."""
+    from tellerflow.plans import queries
+    from tellerflow.sources import tables
+
+    documents = tables.table(spark, sf_dir, "documents")
+    documents.withColumn("part", F.col("doc_id") % 6).repartition(6, "part").drop("part").write.parquet(f"{tmp_path}/documents.parquet")
+    text = documents.agg(F.sum(F.octet_length("text"))).first()[0]
+    written, inner = [], files.write_csv
+
+    def spy(frame, path):
+        inner(frame, path)
+        written.append([r["count"] for r in spark.read.text(path).groupBy(F.input_file_name()).count().collect()])
+
+    monkeypatch.setattr(files, "write_csv", spy)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "134217728")  # a partition a file
+    try:
+        for limit in (1 << 28, text // 3):
+            monkeypatch.setattr(queries, "CSV_FILE_BYTES", limit, raising=False)
+            back = queries.scan_csv_splits(spark, str(tmp_path))
+            assert sorted(map(str, back.collect())) == sorted(str(r) for r in documents.select(*back.columns).collect())
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert len(written[0]) == 1 and len(written[1]) > 2 and max(written[1]) < sum(written[1]) * 0.7, written
