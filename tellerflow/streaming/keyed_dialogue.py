@@ -15,8 +15,8 @@ batch by the source (``maxFilesPerTrigger``). For batches in which one user send
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
@@ -26,7 +26,7 @@ from tellerflow.functions.intents import follow_up, with_base_intent
 from tellerflow.operators import answering, chatlog, ledger as lookups
 from tellerflow.operators.dialogue import ENTITY_FIELDS
 from tellerflow.sources import catalogue
-from tellerflow.sources.files import read_optional
+from tellerflow.sources.files import read_optional, store
 from tellerflow.sources.schemas import CHAT_HISTORY, MESSAGES
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -42,21 +42,38 @@ STATE = (
     "pending_type string, pending_amount decimal(38,2), pending_recipient string, pending_from string, "
     + ", ".join(f"memory_{f} {t}" for f, t in FLAT.items())
 )
-SCORED = (
-    "user_id bigint, event_id bigint, ts timestamp_ntz, message string, " + ", ".join(f"{f} {t}" for f, t in FLAT.items())
-    + ", base_intent string, intent string, confidence double, state string, active_account string, account_before string, "
-    "pending_amount decimal(38,2), pending_recipient string, late boolean"
-)
+# On the way to Python and back a message has few columns, as each costs there by row and by user: what it is by
+# itself is one list of texts, and what the dialogue makes of it another.
+OWN = [*FLAT, "base_intent", "base_confidence", "base_state", "if_amount", "if_confirmation"]
+TOLD = {
+    "intent": "string", "confidence": "double", "state": "string", "active_account": "string", "account_before": "string",
+    "pending_amount": "decimal(38,2)", "pending_recipient": "string",
+}
+SCORED = "user_id bigint, event_id bigint, ts timestamp_ntz, message string, own array<string>, told array<string>, late boolean"
 
 
 def prepared(messages: DataFrame) -> DataFrame:
     """Messages with all that the rules say about each by itself."""
     e = F.col("entities")
     flat = {f: e[f] for f in ENTITY_FIELDS if f != "date_range"} | {"range_start": e["date_range"]["start"], "range_end": e["date_range"]["end"]}
+    own = {f: flat[f].cast(t) for f, t in FLAT.items()} | {
+        "if_amount": follow_up(F.lit("awaiting_amount"), F.col("answers")),
+        "if_confirmation": follow_up(F.lit("awaiting_confirmation"), F.col("answers"))}
+    texts = [own.get(f, F.col(f)).cast("string") for f in OWN]
     return with_base_intent(messages.select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "message")).select(
-        "event_id", "user_id", "ts", "message", *[flat[f].cast(t).alias(f) for f, t in FLAT.items()], "base_intent", "base_confidence", "base_state",
-        follow_up(F.lit("awaiting_amount"), F.col("answers")).alias("if_amount"),
-        follow_up(F.lit("awaiting_confirmation"), F.col("answers")).alias("if_confirmation"))
+        "event_id", "user_id", "ts", "message", F.array(*texts).alias("own"))
+
+
+def opened(scored: DataFrame) -> DataFrame:
+    """What the stateful step returns, a column each."""
+    return scored.select(
+        "user_id", "event_id", "ts", "message",
+        *[F.get("own", F.lit(OWN.index(f))).cast(t).alias(f) for f, t in (FLAT | {"base_intent": "string"}).items()],
+        *[F.get("told", F.lit(k)).cast(t).alias(f) for k, (f, t) in enumerate(TOLD.items())],
+        "late")
+
+
+ACCOUNT, AMOUNT, RECIPIENT = (OWN.index(f) for f in ("account_type", "amount", "recipient"))
 
 
 def _place(ts: Any, event_id: int) -> tuple:
@@ -69,7 +86,7 @@ class Dialogue(StatefulProcessor):
 
     def __init__(self, default_account: str = catalogue.DEFAULT_ACCOUNT):
         self.default_account = default_account
-        self.row = Row(*[field.strip().split(" ")[0] for field in re.sub(r"\(.*?\)", "", SCORED).split(",")])
+        self.row = Row(*[field.split(" ")[0] for field in SCORED.split(", ")])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.carried = handle.getValueState("dialogue", STATE)
@@ -78,29 +95,33 @@ class Dialogue(StatefulProcessor):
         found = self.carried.get() if self.carried.exists() else None
         ts, event, state, active, asked_amount, asked_recipient, *rest = found or (None, None, None, None, None, None, *[None] * 11)
         pending, memory, last = tuple(rest[:4]), list(rest[4:]), _place(ts, event) if found else None
-        for r in sorted(rows, key=lambda r: _place(r.ts, r.event_id)):
-            entities = [r[f] for f in FLAT]
-            told = (key[0], r.event_id, r.ts, r.message, *entities, r.base_intent)
-            place = _place(r.ts, r.event_id)
-            if r.message is None or (found and place <= last):
-                yield self.row(*told, None, None, None, None, None, None, None, r.message is not None)
+        for user, event_id, at, message, own in sorted(
+                ((r.user_id, r.event_id, r.ts, r.message, r.own) for r in rows), key=lambda r: _place(r[2], r[1])):
+            entities = own[:len(FLAT)]
+            entities[AMOUNT] = amount = None if own[AMOUNT] is None else Decimal(own[AMOUNT])
+            account, recipient = entities[ACCOUNT], entities[RECIPIENT]
+            base_intent, base_confidence, base_state, if_amount, if_confirmation = own[len(FLAT):]
+            if message is None or (found and _place(at, event_id) <= last):
+                yield self.row(user, event_id, at, message, own, None, message is not None)
                 continue
-            answer = {"awaiting_amount": r.if_amount, "awaiting_confirmation": r.if_confirmation}.get(state)
-            intent = answer or r.base_intent
+            answer = {"awaiting_amount": if_amount, "awaiting_confirmation": if_confirmation}.get(state)
+            intent = answer or base_intent
             before = active or self.default_account
-            active = r.account_type or before
-            state = r.base_state if not answer else "transfer_completed" if answer == "confirmation_yes" else "initial"
+            active = account or before
+            state = base_state if not answer else "transfer_completed" if answer == "confirmation_yes" else "initial"
             of_transfer = (asked_amount, asked_recipient) if answer else (None, None)
-            if intent == "transfer_money" and (r.amount is not None or r.recipient is not None):
-                pending = ("transfer", r.amount, r.recipient, active if r.amount is not None and r.recipient is not None else None)
-            elif intent == "amount_specification" and r.amount is not None:
-                pending = ("transfer", r.amount, of_transfer[1], None)
+            if intent == "transfer_money" and (amount is not None or recipient is not None):
+                pending = ("transfer", amount, recipient, active if amount is not None and recipient is not None else None)
+            elif intent == "amount_specification" and amount is not None:
+                pending = ("transfer", amount, of_transfer[1], None)
             elif intent == "confirmation_no":
                 pending = (None,) * 4
-            asked_amount, asked_recipient = (r.amount, r.recipient) if r.base_intent == "transfer_money" else (None, None)
+            asked_amount, asked_recipient = (amount, recipient) if base_intent == "transfer_money" else (None, None)
             memory = [new if new is not None else old for new, old in zip(entities, memory)]
-            ts, event = r.ts, r.event_id
-            yield self.row(*told, intent, 0.9 if answer else r.base_confidence, state, active, before, *of_transfer, False)
+            ts, event = at, event_id
+            told = [intent, "0.9" if answer else base_confidence, state, active, before,
+                    None if of_transfer[0] is None else str(of_transfer[0]), of_transfer[1]]
+            yield self.row(user, event_id, at, message, own, told, False)
         if state is not None:
             self.carried.update((ts, event, state, active, asked_amount, asked_recipient, *pending, *memory))
 
@@ -109,11 +130,15 @@ class Dialogue(StatefulProcessor):
 
 
 class KeyedDialogue:
-    """Answers a stream of messages (event_id, user_id, ts, message) under ``folder``."""
+    """Answers a stream of messages (event_id, user_id, ts, message) under ``folder``.
+
+    The ledger is reduced to its days once, with the first batch that this object takes; all batches read these.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, accounts: DataFrame, ledger: DataFrame):
         self.spark, self.folder = spark, folder.rstrip("/")
         self.accounts, self.ledger = accounts, ledger
+        self.days: DataFrame | None = None
 
     def _path(self, table: str, batch_id: int) -> str:
         return f"{self.folder}/{table}/batch_id={batch_id}"
@@ -122,6 +147,7 @@ class KeyedDialogue:
         """Answer one batch of scored messages."""
         # written first: read several times, and the stateful step runs once
         path = self._path("scored", batch_id)
+        batch = opened(batch)
         batch.write.mode("overwrite").parquet(path)
         scored = self.spark.read.schema(batch.schema).parquet(path)
         late = scored.filter("late").select("event_id", "user_id", "ts", "message")
@@ -131,9 +157,10 @@ class KeyedDialogue:
         entities = F.struct(
             *[F.when(F.col("range_start").isNotNull(), span).alias(f) if f == "date_range" else F.col(f) for f in ENTITY_FIELDS])
         kept = scored.filter("NOT late AND message IS NOT NULL").withColumn("entities", entities).drop(*FLAT, "late")
-        users = kept.select("user_id").distinct()
-        facts = lookups.facts(
-            self.accounts.join(users, "user_id", "left_semi"), self.ledger.join(users, "user_id", "left_semi"), answering.requests(kept))
+        if self.days is None:
+            self.days = store(lookups.daily_rows(self.ledger), "days")
+        # stored: read by every part of the facts, and small
+        facts = lookups.facts(self.accounts, self.ledger, store(answering.requests(kept), "requests"), days=self.days)
         answered = answering.with_response(kept, facts)
         failed = answering.failed(scored.select("event_id", "user_id", "ts", "message"))
         rows = chatlog.chat_rows(answered.unionByName(failed, allowMissingColumns=True))

@@ -81,3 +81,16 @@ def test_registered_streams_take_messages_without_time_and_none_at_all(spark, tm
         got = entry.queries()[name](spark, folder)
         assert got.count() == rows.num_rows
         assert {tuple(r) for r in got.collect()} == {tuple(r) for r in entry.queries()["chat_log"](spark, folder).select(*got.columns).collect()}
+
+
+@pytest.mark.parametrize("name", ["dialogue_stream", "sliced_dialogue_stream"])
+def test_streams_reduce_the_ledger_once(spark, sf_dir, monkeypatch, name):
+    """Five batches, one pass that finds the ledger's rows a day; the log is the batch's."""
+    from tellerflow.operators import ledger
+
+    calls, inner = [], ledger.daily_rows
+    monkeypatch.setattr(ledger, "daily_rows", lambda *a, **k: calls.append(1) or inner(*a, **k))
+    got = entry.queries()[name](spark, sf_dir)
+    found = {tuple(r) for r in got.collect()}
+    assert len(calls) == 1
+    assert found == {tuple(r) for r in entry.queries()["chat_log"](spark, sf_dir).select(*got.columns).collect()}
