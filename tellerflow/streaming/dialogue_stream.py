@@ -28,7 +28,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tellerflow.functions.intents import with_base_intent
 from tellerflow.operators import answering, chatlog, dialogue, ledger as lookups
 from tellerflow.operators.timeline import HOT_ROWS, Trailing, along_timeline
-from tellerflow.sources.files import read_optional
+from tellerflow.sources.files import read_optional, store
 from tellerflow.sources.schemas import CHAT_HISTORY, MESSAGES
 
 SNAPSHOT_EVERY = 20
@@ -49,7 +49,10 @@ STATE = (
 
 
 class DialogueStream:
-    """Answers a stream of messages (event_id, user_id, ts, message) under ``folder``."""
+    """Answers a stream of messages (event_id, user_id, ts, message) under ``folder``.
+
+    The ledger is reduced to its days once, with the first batch that this object takes; all batches read these.
+    """
 
     def __init__(
         self, spark: SparkSession, folder: str, accounts: DataFrame, ledger: DataFrame,
@@ -57,6 +60,7 @@ class DialogueStream:
     ):
         self.spark, self.folder = spark, folder.rstrip("/")
         self.accounts, self.ledger = accounts, ledger
+        self.days: DataFrame | None = None
         self.hot_rows, self.snapshot_every = hot_rows, snapshot_every
 
     # --- State tables --------------------------------------------------------
@@ -129,10 +133,11 @@ class DialogueStream:
 
         understood = keep(with_base_intent(placed.filter(~is_late).drop("last")))
         tracked = keep(dialogue.track(_with_seeds(understood, state), self.hot_rows).filter(F.col("seed").isNull()))
-        # only the accounts and ledger rows of users heard from
-        accounts = self.accounts.join(users, "user_id", "left_semi")
-        ledger = self.ledger.join(users, "user_id", "left_semi")
-        facts = lookups.facts(accounts, ledger, answering.requests(understood))
+        if self.days is None:
+            self.days = store(lookups.daily_rows(self.ledger), "days")
+        # stored: read by every part of the facts, and small
+        requests = store(answering.requests(understood), "requests")
+        facts = lookups.facts(self.accounts, self.ledger, requests, days=self.days)
         answered = keep(answering.with_response(tracked, facts))
 
         rows = answered.unionByName(answering.failed(batch), allowMissingColumns=True)
